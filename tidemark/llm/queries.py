@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact_dedup, simhash, token_store
+from tidemark.llm import chat, decontam, exact_dedup, simhash, suffix_dedup, token_store
 from tidemark.llm.common import hex_sha256, table
 
 
@@ -50,9 +50,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_decontamination, op3_token_output, op7_exact_dedup, op9_chat_format)
+    for f in (op1_simhash_near_dedup, op2_decontamination, op3_token_output, op7_exact_dedup, op9_chat_format, op10_suffix_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
