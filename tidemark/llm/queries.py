@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact_dedup, simhash, suffix_dedup, token_store
+from tidemark.llm import chat, decontam, exact_dedup, pii, secret_scan, simhash, suffix_dedup, token_store
 from tidemark.llm.common import hex_sha256, table
+from tidemark.llm.spans import joined
 
 
 def tokenizer_path() -> str:
@@ -29,6 +30,19 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _span_digests(found: DataFrame, kinds: list[str], counted: list[str]) -> DataFrame:
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in counted]  # noqa: B023
+    return found.select("doc_id", *counts, hex_sha256(joined(F.col("base"), kinds)).alias("base_sha256"), joined(F.col("spans"), kinds).alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS, pii.KINDS)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS, secret_scan.KINDS[:3])
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,7 +72,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_decontamination, op3_token_output, op7_exact_dedup, op9_chat_format, op10_suffix_dedup)
+    for f in (op1_simhash_near_dedup, op2_decontamination, op3_token_output, op4_pii, op5_secret_scan, op7_exact_dedup, op9_chat_format, op10_suffix_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
