@@ -3,7 +3,7 @@
 Features of a text are the counts of all pairs of neighbouring byte classes
 over the whole text, damped and weighted by how rare a pair is; they follow
 spelling, marks, case and layout in any language. A bounded sample of
-labelled rows (SAMPLE of each label, the smallest by a hash of the id) gives
+labelled rows (SAMPLE says how many of each label, the smallest by a hash of the id) gives
 the weights and, by a singular value decomposition, the latent space. Its
 labelled vectors, of bounded size, are broadcast; for every document the exact
 cosines with all of them are computed in blocks, and the labels of the NEIGHBOURS
@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each label that are learnt from, at most; more rows in the table change nothing else.
-SAMPLE = 1500
+#: Labelled rows that are learnt from, at most, by label; more rows in the table change nothing else.
+SAMPLE = {0: 1500, 1: 4500}
 DIMENSIONS, NEIGHBOURS, BLOCK = 48, 15, 512
 #: Similarities count with this power.
 SHARPNESS = 4
@@ -51,14 +51,25 @@ CLASSES = _classes()
 WIDE = int(CLASSES.max()) + 1
 
 
+#: Bytes that count as seen before a text begins: the shorter it is, the less its pairs say.
+PRIOR = 40
+#: Beside the pairs: share of words that are new, share of lines that are new, length, mean length of a word.
+LAYOUT = 4
+
+
 def features(texts: list[str | None]) -> np.ndarray:
-    """Damped counts of class pairs, one row per text."""
-    out = np.zeros((len(texts), WIDE * WIDE), np.float32)
+    """Damped counts of class pairs and figures of layout, one row per text."""
+    out = np.zeros((len(texts), WIDE * WIDE + LAYOUT), np.float32)
     for k, t in enumerate(texts):
-        c = CLASSES[np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)]
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        c = CLASSES[np.frombuffer(raw, np.uint8)]
         if len(c) > 1:
             n = np.bincount(c[:-1] * WIDE + c[1:], minlength=WIDE * WIDE)
-            out[k] = np.sqrt(n / (len(c) - 1))
+            out[k, : WIDE * WIDE] = np.sqrt(n / (len(c) + PRIOR))
+        words, lines = raw.lower().split(), raw.split(b"\n")
+        # new words grow with the square root of their number in ordinary text
+        fresh = len(set(words)) / max(len(words), 1) ** 0.75 if words else 1.0
+        out[k, WIDE * WIDE :] = fresh, len(set(lines)) / len(lines), np.log1p(len(raw)) / 10, min(len(raw) / (len(words) + 1), 40) / 20
     return out
 
 
@@ -106,22 +117,22 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
-    """The space of at most sample labelled rows of each label, none of them held out.
+def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Space:
+    """The space of at most sample[label] labelled rows of each label, none of them held out.
 
     Rows are taken by the smallest hash of their id. Null labels and null ids
     teach nothing; an id with several labels counts once for each.
     """
     usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = usable.where("quality = 0").orderBy(*order).limit(sample).union(usable.where("quality = 1").orderBy(*order).limit(sample))
+    picked = usable.where("quality = 0").orderBy(*order).limit(sample[0]).union(usable.where("quality = 1").orderBy(*order).limit(sample[1]))
     d = docs.select("doc_id", "text").where("doc_id is not null")
     rows = d.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
     return Space([r["text"] for r in rows], [r["quality"] for r in rows])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     docs needs doc_id and text, labels doc_id and quality; other columns are
@@ -144,7 +155,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
     """The rows of docs that are not rejected (score under 0.5), with all their columns, without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact_dedup, pii, secret_scan, simhash, suffix_dedup, token_store
+from tidemark.llm import chat, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup, token_store
 from tidemark.llm.common import hex_sha256, table
 from tidemark.llm.spans import joined
 
@@ -43,6 +43,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS, secret_scan.KINDS[:3])
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_order").alias("order_in_slot"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -72,7 +80,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_decontamination, op3_token_output, op4_pii, op5_secret_scan, op7_exact_dedup, op9_chat_format, op10_suffix_dedup)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_decontamination,
+        op3_token_output,
+        op4_pii,
+        op5_secret_scan,
+        op6_quality,
+        op7_exact_dedup,
+        op8_mixing,
+        op9_chat_format,
+        op10_suffix_dedup,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
