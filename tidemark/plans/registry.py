@@ -1,4 +1,11 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
+from tidemark.plans import matching
+
+_PLANS = (matching,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
