@@ -1,8 +1,8 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
-from tidemark.plans import matching
+from tidemark.plans import matching, selection
 
-_PLANS = (matching,)
+_PLANS = (matching, selection)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
