@@ -1,8 +1,8 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
-from tidemark.plans import matching, selection
+from tidemark.plans import evaluation, matching, selection
 
-_PLANS = (matching, selection)
+_PLANS = (matching, selection, evaluation)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
