@@ -51,13 +51,14 @@ FROM part CROSS JOIN (SELECT 0 AS i, CAST(24 AS DOUBLE)/8 AS dx, CAST(16 AS DOUB
   UNION ALL SELECT 4, CAST(119 AS DOUBLE)/8, CAST(27 AS DOUBLE)/8, CAST(3000 AS DOUBLE)) v
 WHERE p_partkey % 40 = 0""",
     "tiles": """
-SELECT y.yr AS year, (p_partkey - p_partkey % 8) / 8 AS row8, p_partkey % 8 AS col8,
-  CAST((p_partkey % 8)*64 - (p_partkey - p_partkey % 8)*2 + y.dx AS DOUBLE) AS x0,
-  CAST((p_partkey - p_partkey % 8)*8 + y.dy AS DOUBLE) AS y0,
-  CAST((p_partkey % 8)*64 - (p_partkey - p_partkey % 8)*2 + y.dx + 64 AS DOUBLE) AS x1,
-  CAST((p_partkey - p_partkey % 8)*8 + y.dy + 64 AS DOUBLE) AS y1
-FROM part CROSS JOIN (SELECT 24 AS yr, 0 AS dx, 0 AS dy UNION ALL SELECT 25, 24, 10) y
-WHERE p_partkey < 64""",
+SELECT CAST((p_partkey - p_partkey % 64) / 64 AS BIGINT) AS site, y.yr AS year,
+  CAST((p_partkey % 64 - p_partkey % 8) / 8 AS BIGINT) AS tile_row, p_partkey % 8 AS tile_col,
+  CAST((p_partkey % 8)*64 - (p_partkey % 64 - p_partkey % 8)*2 + y.dx AS DOUBLE) AS x1,
+  CAST((p_partkey % 64 - p_partkey % 8)*8 + y.dy AS DOUBLE) AS y1,
+  CAST((p_partkey % 8)*64 - (p_partkey % 64 - p_partkey % 8)*2 + y.dx + 64 AS DOUBLE) AS x2,
+  CAST((p_partkey % 64 - p_partkey % 8)*8 + y.dy + 64 AS DOUBLE) AS y2,
+  2 * p_partkey + CASE WHEN y.yr = 25 THEN 1 ELSE 0 END AS tile_id
+FROM part CROSS JOIN (SELECT 24 AS yr, 0 AS dx, 0 AS dy UNION ALL SELECT 25, 24, 10) y""",
     "gt_boxes": """
 SELECT o_orderkey AS gt_id, o_orderkey % 97 AS image_id,
   CAST((o_orderkey*37 + o_orderkey*o_orderkey*11) % 1500 AS DOUBLE) AS x,
@@ -82,7 +83,7 @@ FROM orders WHERE o_orderkey % 33 = 1""",
 SELECT event_id % 5 AS run, CAST((event_id - event_id % 5) * 100 AS BIGINT) AS iteration,
   CAST((event_id*37 + event_id*event_id*5) % 1000 AS DOUBLE)/16 AS bbox_ap50,
   CAST((event_id*53 + event_id*event_id*3) % 1000 AS DOUBLE)/16 AS segm_ap50
-FROM events WHERE event_id < 200""",
+FROM events""",
     "dsm_cells": """
 SELECT CAST((o_orderkey - o_orderkey % 1024) / 1024 AS BIGINT) AS raster_id,
   CAST((o_orderkey % 1024 - o_orderkey % 32) / 32 AS BIGINT) AS r, o_orderkey % 32 AS c,

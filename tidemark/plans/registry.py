@@ -1,8 +1,8 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
-from tidemark.plans import evaluation, matching, selection
+from tidemark.plans import evaluation, matching, selection, splits
 
-_PLANS = (matching, selection, evaluation)
+_PLANS = (matching, selection, evaluation, splits)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
