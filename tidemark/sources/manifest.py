@@ -19,7 +19,7 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     after = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     year = F.last(F.when(F.length(header) > 0, (header.cast("int") - 2000)), ignorenulls=True).over(after)
     row = F.regexp_extract("text", r"^\s*(\d+)\s*:", 1)
-    parts = F.explode(F.transform(F.split(F.regexp_replace("text", r"^\s*\d+\s*:", ""), ","), F.trim))
+    parts = F.explode(F.transform(F.split(F.regexp_replace("text", r"^\s*\d+\s*:", ""), ","), lambda p: F.trim(p)))
     spec = lines.withColumn("year", year).where((F.length(row) > 0) & F.col("year").isNotNull()).select("file", "year", row.cast("int").alias("tile_row"), parts.alias("part"))
     first, last = F.regexp_extract("part", r"^(\d+)", 1), F.regexp_extract("part", r"^\d+\s*-\s*(\d+)$", 1)
     whole = spec.where(F.col("part").rlike(r"^\d+(\s*-\s*\d+)?$"))
