@@ -111,6 +111,17 @@ def _with_lists(rows: DataFrame, lists: DataFrame, how: str, size: int) -> DataF
     return rows.join(F.broadcast(b) if size <= BROADCAST_BYTES else b, cond, how).drop("b_id", "b_th")
 
 
+def joined_ranges(spans: list[list[int]]) -> list[list[int]]:
+    """Ranges (begin, end) in order, merged where they meet or overlap."""
+    out: list[list[int]] = []
+    for k, e in sorted(spans):
+        if out and k <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([k, e])
+    return out
+
+
 class Levels:
     """The index family of one task: (fingerprint, owner) arrays in order, of sizes 1, 2, 4, ... batches."""
 
@@ -187,12 +198,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else [], pa.int64()), b.column(0).take(which), b.column(1).take(which), pa.array(np.concatenate(ns) if ns else [], pa.int32())], ["h", "doc_id", "th", "n"])
 
     found = stored(rows.mapInArrow(find, "h long, doc_id long, th int, n int"))
-    often = stored(found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h", (F.col("places") > hot_anchor).alias("hot")))
+    # a text's own repeats of a context are settled in its task: what gathers elsewhere is one row a text
+    often = stored(found.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("texts")).where("places > 1").select("h", (F.col("texts") > hot_anchor).alias("hot")))
     lists = stored(found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")))
     total = lists.agg(F.count(F.lit(1)), F.sum(F.size("hs"))).first()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of recurring anchors; a context that recurs in its own text is covered at once and sent once."""
+        """Contexts of recurring anchors; one that recurs in its own text is covered at once and sent once."""
         grams = Rolling(1)
         for b in batches:
             for a in range(0, b.num_rows, 64):
@@ -205,18 +217,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                     use = np.isin(keys, hs.values.to_numpy(zero_copy_only=False))
                     warm = set(hot.values.to_pylist())
                     seen: dict[tuple, int] = {}
+                    own: list[list[int]] = []
                     for x, h in zip(places[use].tolist(), keys[use].tolist()):
                         start, end = max(0, x - side), min(len(raw), x + length)
                         ctx = raw[start:end]
                         first = seen.setdefault((h, x - start, ctx), x)
                         again = first != x
-                        if not again:
-                            emit = [(h, i, th, x, x - start, ctx, int(h in warm))]
-                        else:  # a span: where it begins and its length
-                            emit = [(h, i, th, s, len(ctx), None, 2) for s in (start, first - x + start)]
-                        for e in emit:
-                            for o, v in zip(out, e):
+                        if again:
+                            own += [[k, k + len(ctx)] for k in (start, first - x + start)]
+                        else:
+                            for o, v in zip(out, (h, i, th, x, x - start, ctx, int(h in warm))):
                                 o.append(v)
+                    for k, e in joined_ranges(own):  # a span: where it begins and its length
+                        for o, v in zip(out, (0, i, th, k, e - k, None, 2)):
+                            o.append(v)
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], ["h", "doc_id", "th", "x", "left", "ctx", "kind"])
 
@@ -287,12 +301,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anc
                 sizes, removed, kept = [], [], []
                 for text, spans in zip(part.column(1), part.column(2).to_pylist()):
                     raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    out: list[list[int]] = []
-                    for s, e in sorted((s["first"], min(s["last"], len(raw))) for s in spans or []):
-                        if out and s <= out[-1][1]:
-                            out[-1][1] = max(out[-1][1], e)
-                        else:
-                            out.append([s, e])
+                    out = joined_ranges([[s["first"], min(s["last"], len(raw))] for s in spans or []])
                     at, rest = 0, []
                     for s, e in out:
                         rest.append(raw[at:s])
