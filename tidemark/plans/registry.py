@@ -1,8 +1,8 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
-from tidemark.plans import evaluation, matching, rasters, selection, splits
+from tidemark.plans import datasets, evaluation, matching, rasters, selection, splits
 
-_PLANS = (matching, selection, evaluation, splits, rasters)
+_PLANS = (matching, selection, evaluation, splits, rasters, datasets)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
