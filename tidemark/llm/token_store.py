@@ -31,7 +31,10 @@ BLOCK, SEGMENT, WIDTH = 1 << 16, 1 << 20, 4
 END_ID = 0
 LEVEL = 3
 #: Words whose ids a Python worker remembers; beyond it words are encoded anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+
+#: White space other than the space and the line feed.
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 SEGMENT_SCHEMA = "shard int, seq long, shard_start long, n_ids long, docs array<struct<doc_id:long,n_tokens:long>>, payload binary"
 
@@ -137,28 +140,34 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         self.ready()
-        split: list[list[str] | None] = []
-        fresh: set[str] = set()
         known = self.known
+        found: list[list[bytes | None] | None] = []
+        split: list[list[str]] = []
+        fresh: set[str] = set()
         for text in texts:
             words = text.replace("\n", " \n").split(" ")
-            # No empty word, no other white space: every border is a plain one.
-            if len(words) < 2 or [w.lstrip("\n") for w in words if w != "\n"] != text.split() or "" in words or "\n" in words or words[0][0] == "\n":
-                split.append(None)
-                continue
             split.append(words)
-            fresh.update(w for w in words[1:] if w not in known)
-        now = self._new(list(fresh)) if fresh else {}
+            # No empty word, and no white space but single spaces and line feeds: every border is a plain one.
+            plain = len(words) > 1 and "" not in words and "\n" not in words and words[0][0] != "\n"
+            if not plain or any(map(text.__contains__, OTHER_SPACES)):
+                found.append(None)
+                continue
+            ids = list(map(known.get, words))
+            ids[0] = b""  # the first word has no space before it
+            found.append(ids)
+            if None in ids:
+                fresh.update(w for w, i in zip(words, ids) if i is None)
+        now = self._new(list(fresh))
         if len(known) < self.cache_words:
             known.update(now)
-            now = {}
         out = []
-        for text, words in zip(texts, split):
-            if words is None:
+        for text, words, ids in zip(texts, split, found):
+            if ids is None:
                 out.append(self.whole(text) if text else np.zeros(0, "<u4"))
                 continue
-            raw = b"".join([known[w] if w in known else now[w] for w in words[1:]] if now else map(known.__getitem__, words[1:]))
-            out.append(np.concatenate([self.whole(words[0]), np.frombuffer(raw, "<u4")]))
+            if None in ids:
+                ids = [now[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(np.concatenate([self.whole(words[0]), np.frombuffer(b"".join(ids), "<u4")]))
         return out
 
 
