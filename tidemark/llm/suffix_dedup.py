@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, stored
+from tidemark.storage import stored
 
 LENGTH, GRAM = 400, 32
 HOT_ANCHOR = 200_000
@@ -104,11 +104,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"))
 
 
-def _with_lists(rows: DataFrame, lists: DataFrame, how: str, size: int) -> DataFrame:
-    """rows joined with lists on doc_id and th; lists are broadcast only if small."""
+def _with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """rows joined with lists on doc_id and th, by shuffle at every size: lists grow with the corpus."""
     b = lists.withColumnsRenamed({"doc_id": "b_id", "th": "b_th"})
     cond = rows.doc_id.eqNullSafe(b.b_id) & (rows.th == b.b_th)
-    return rows.join(F.broadcast(b) if size <= BROADCAST_BYTES else b, cond, how).drop("b_id", "b_th")
+    return rows.join(b.hint("merge"), cond, how).drop("b_id", "b_th")
 
 
 def joined_ranges(spans: list[list[int]]) -> list[list[int]]:
@@ -201,7 +201,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     # a text's own repeats of a context are settled in its task: what gathers elsewhere is one row a text
     often = stored(found.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("texts")).where("places > 1").select("h", (F.col("texts") > hot_anchor).alias("hot")))
     lists = stored(found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")))
-    total = lists.agg(F.count(F.lit(1)), F.sum(F.size("hs"))).first()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of recurring anchors; one that recurs in its own text is covered at once and sent once."""
@@ -234,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], ["h", "doc_id", "th", "x", "left", "ctx", "kind"])
 
-    near = _with_lists(rows, lists, "inner", 64 * (total[0] or 0) + 16 * (total[1] or 0))
+    near = _with_lists(rows, lists, "inner")
     contexts = stored(near.select("doc_id", "th", "text", "hs", "hot").mapInArrow(cut, "h long, doc_id long, th int, x long, left long, ctx binary, kind int"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +291,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anc
     Cases as for repeated_spans(); null text is empty, and its kept bytes too.
     """
     spans = repeated_spans(docs, length, gram, hot_anchor, task_contexts)
-    total = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,7 +309,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anc
                     kept.append(b"".join([*rest, raw[at:]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    rows = _with_lists(_keyed(docs), spans, "left", 64 * (total[0] or 0) + 32 * (total[1] or 0))
+    rows = _with_lists(_keyed(docs), spans, "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:long,last:long>>, kept binary")
 
 
