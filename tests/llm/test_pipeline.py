@@ -7,7 +7,8 @@ from tests.conftest import SF
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_text import brute_contamination, reference_ids
 from tidemark.llm import mixing, quality
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import table
+from tidemark.storage import stored
 
 
 def test_every_stage_against_a_plain_version(spark):

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,23 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: no lineage is left to recompute."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, small_bytes: int) -> DataFrame:
     """Join, broadcasting small only if its measured size is within BROADCAST_BYTES."""
     if small_bytes <= BROADCAST_BYTES:
@@ -46,14 +25,3 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, small_
 
 def hex_sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
-
-
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality of the named columns in which null equals null."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
-Query = Callable[[SparkSession, str], DataFrame]

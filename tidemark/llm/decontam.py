@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, stored
+from tidemark.llm.common import BROADCAST_BYTES
+from tidemark.storage import stored
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, hex_sha256, join_sized, stored
+from tidemark.llm.common import SPACES, hex_sha256, join_sized
+from tidemark.storage import stored
 
 
 def normalised(text: Column) -> Column:

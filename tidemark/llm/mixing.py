@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import BROADCAST_BYTES, stored
+from tidemark.llm.common import BROADCAST_BYTES
+from tidemark.storage import stored
 
 #: Characters in a block, slots in a period (more if there are more sources), exponent that smooths shares.
 BLOCK_CHARS, PERIOD, EXPONENT = 1 << 16, 1000, 0.5

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, stored
-from tidemark.llm.graph import components
+from tidemark.llm.common import BROADCAST_BYTES
+from tidemark.operators.graph import components
+from tidemark.storage import stored
 
 BITS = 3
 SHINGLE = 3

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir
+from tidemark.storage import shared_dir
 
 MAGIC = b"TIDEPL01"
 #: Ids in a chunk, ids after which a segment closes, bytes of an id.
