@@ -80,6 +80,12 @@ def test_levels_grow_geometrically():
 def test_every_window_holds_an_anchor():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 101, 3000).astype(np.uint8)
-    places, _ = suffix_dedup.anchors(data, suffix_dedup.Rolling(1), 60, 16)
+    grams = suffix_dedup.Rolling(1)
+    places = suffix_dedup.anchors(grams.sums(data), grams, 60, 16)
     for p in range(len(data) - 60 + 1):
         assert ((places >= p) & (places <= p + 44)).any()
+    # every window lies in the context of a core that it holds
+    x, begin, end, keys = suffix_dedup.cores(data, grams, 60, 16)
+    assert len(x) == len(begin) == len(end) == len(keys)
+    for p in range(len(data) - 60 + 1):
+        assert ((begin <= p) & (end >= p + 60) & (x >= p) & (x <= p + 44)).any()

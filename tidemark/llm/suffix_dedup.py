@@ -3,9 +3,9 @@
 A string of LENGTH bytes is repeated if it also starts anywhere else. Every
 such string holds an anchor: the GRAM-byte gram of smallest hash among its
 grams, which depends on the string alone, so equal strings hold equal anchors
-at equal places. Suffixes are therefore taken only around anchors that recur
-in the corpus, about one in a hundred and eighty bytes, and equal anchors are
-brought to one task.
+at equal places, and around it one of two cores of over half its length. Suffixes
+are therefore taken only around anchors, about one in a hundred and eighty
+bytes, whose cores recur in the corpus, and equal cores are brought to one task.
 
 There, contexts come in batches. A batch's suffixes are put in order (by the
 fingerprint of their first LENGTH bytes, all that matters for equality), the
@@ -60,13 +60,25 @@ class Rolling:
                 setattr(self, name, np.multiply.accumulate(p))
         return self.up, self.down
 
-    def windows(self, data: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of all windows of a row, or of each row of a matrix."""
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums of a row, or of each row of a matrix, from which windows of any width follow."""
         n = data.shape[-1]
-        up, down = self.powers(n + 1)
-        sums = np.zeros((*data.shape[:-1], n + 1), np.uint64)
-        np.cumsum(self.values[data] * up[:n], axis=-1, out=sums[..., 1:])
-        out = (sums[..., width:] - sums[..., : n + 1 - width]) * down[: n + 1 - width]
+        up, _ = self.powers(n + 1)
+        out = np.zeros((*data.shape[:-1], n + 1), np.uint64)
+        np.cumsum(self.values[data] * up[:n], axis=-1, out=out[..., 1:])
+        return out
+
+    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all windows of a width."""
+        n = sums.shape[-1]
+        return self.mixed((sums[..., width:] - sums[..., : n - width]) * self.down[: n - width])
+
+    def at(self, sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the windows that begin at starts."""
+        return self.mixed((sums[starts + width] - sums[starts]) * self.down[starts])
+
+    @staticmethod
+    def mixed(out: np.ndarray) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
@@ -84,16 +96,35 @@ def sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, grams: Rolling, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all windows, and their hashes; ties are all anchors."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(sums: np.ndarray, grams: Rolling, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Places of the anchors of all windows of a text; ties are all anchors."""
+    if len(sums) <= length:
+        return np.zeros(0, np.int64)
     w = length - gram + 1
-    h = grams.windows(data, gram)
+    h = grams.windows(sums, gram)
     least = sliding(h, w, np.minimum, (1 << 64) - 1)
     edge = np.zeros(w - 1, np.uint64)
-    places = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), w, np.maximum, 0) == h)
-    return places, h[places].view(np.int64)
+    return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), w, np.maximum, 0) == h)
+
+
+def cores(data: np.ndarray, grams: Rolling, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchors with their cores: place, begin and end of the context, hash of the core.
+
+    The windows that hold an anchor fall into two halves, by how far before it
+    they begin. All windows of a half share a core of more than half their
+    length around the anchor: two equal windows have equal cores. A context is
+    what a half's windows cover; a half without a window in the text is left out.
+    """
+    sums = grams.sums(data)
+    x, n = anchors(sums, grams, length, gram), len(data)
+    side = length - gram
+    half = side // 2
+    early = x[(x >= half) & (x - np.minimum(side, x) + length <= n)]
+    late = x[x - np.minimum(half - 1, x) + length <= n]
+    keys = [grams.at(sums, early - half, gram + half), ~grams.at(sums, late, length - half + 1)]
+    begin = np.concatenate([np.maximum(0, early - side), np.maximum(0, late - half + 1)])
+    end = np.minimum(n, np.concatenate([early - half, late]) + length)
+    return np.concatenate([early, late]), begin, end, np.concatenate(keys).view(np.int64)
 
 
 def _bytes(text) -> np.ndarray:
@@ -155,22 +186,19 @@ class Levels:
 
 
 def context_windows(h: np.ndarray, contexts: list[bytes], left: np.ndarray, whole: Rolling, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of every window that holds the anchor; its row; its place, from the leftmost possible one.
+    """Fingerprints of every window of the contexts; its row; its place: where it begins, from the farthest before the anchor.
 
-    Anchor and place go into the fingerprint: a window that holds two anchors is met under each.
+    Core and place go into the fingerprint: a window that holds two anchors is met under each.
     """
-    side = length - gram
-    grid = np.zeros((len(contexts), side + length), np.uint8)
-    low, high = side - left, np.zeros(len(contexts), np.int64)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    grid = np.zeros((len(contexts), max(length, int(sizes.max(initial=0)))), np.uint8)
     for k, c in enumerate(contexts):
-        high[k] = low[k] + len(c)
-        grid[k, low[k] : high[k]] = np.frombuffer(c, np.uint8)
-    keys = whole.windows(grid, length)
-    places = np.arange(side + 1)
+        grid[k, : len(c)] = np.frombuffer(c, np.uint8)
+    keys = whole.windows(whole.sums(grid), length)
+    places = (length - gram - left)[:, None] + np.arange(keys.shape[1])
     keys ^= (h.view(np.uint64)[:, None] + places.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    valid = (places >= low[:, None]) & (places + length <= high[:, None])
-    row, place = np.nonzero(valid)
-    return keys[valid], row, place
+    row, at = np.nonzero(np.arange(keys.shape[1]) + length <= sizes[:, None])
+    return keys[row, at], row, places[row, at]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR, task_contexts: int = TASK_CONTEXTS) -> DataFrame:
@@ -190,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         for b in batches:
             hs, which, ns = [], [], []
             for k, text in enumerate(b.column(2)):
-                h, n = np.unique(anchors(_bytes(text), grams, length, gram)[1], return_counts=True)
+                h, n = np.unique(cores(_bytes(text), grams, length, gram)[3], return_counts=True)
                 hs.append(h)
                 ns.append(n)
                 which.append(np.full(len(h), k))
@@ -203,7 +231,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     lists = stored(found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of recurring anchors; one that recurs in its own text is covered at once and sent once."""
+        """Contexts of recurring cores; one that recurs in its own text is covered at once and sent once."""
         grams = Rolling(1)
         for b in batches:
             for a in range(0, b.num_rows, 64):
@@ -212,13 +240,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 for i, th, text, hs, hot in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), part.column(4)):
                     data = _bytes(text)
                     raw = data.tobytes()
-                    places, keys = anchors(data, grams, length, gram)
-                    use = np.isin(keys, hs.values.to_numpy(zero_copy_only=False))
+                    found_at = cores(data, grams, length, gram)
+                    use = np.isin(found_at[3], hs.values.to_numpy(zero_copy_only=False))
                     warm = set(hot.values.to_pylist())
                     seen: dict[tuple, int] = {}
                     own: list[list[int]] = []
-                    for x, h in zip(places[use].tolist(), keys[use].tolist()):
-                        start, end = max(0, x - side), min(len(raw), x + length)
+                    for x, start, end, h in zip(*(a[use].tolist() for a in found_at)):
                         ctx = raw[start:end]
                         first = seen.setdefault((h, x - start, ctx), x)
                         again = first != x
