@@ -123,3 +123,23 @@ def test_mixed_order_of_rows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "m")).select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("k")).orderBy("f", "k").collect()
     slots = {r.doc_id: (r.mix_slot, r.mix_source, r.mix_order) for r in mixing.mix(docs, block_chars=5000).collect()}
     assert [r.doc_id for r in back] == sorted(slots, key=lambda i: slots[i])
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 2.0}, {f"s{k}": float(k % 7 + 1) ** 0.5 for k in range(20)}, {"big": 500.0} | {f"t{k}": 1.0 for k in range(500)}])
+def test_the_rounding_of_weights_never_adds_up(weights):
+    total, period, seen, at = sum(weights.values()), mixing.PERIOD, Counter(), 0
+    for _, units in zip(range(400), mixing.deal(weights, period)):
+        assert sum(units.values()) == period
+        seen.update(units)
+        at += period
+        assert all(abs(seen[s] - at * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_mix_keeps_to_the_weights_over_many_periods(spark):
+    rows = [(k, "x" * 20, "a" if k % 3 else "b") for k in range(12000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 2.0, "b": 1.0}, 20).collect()
+    assert len(got) == len(rows) == len({r.mix_slot for r in got})
+    seen = Counter()
+    for t, r in enumerate(sorted(got, key=lambda r: r.mix_slot), 1):
+        seen[r.mix_source] += 1
+        assert abs(seen["a"] - t * 2 / 3) < 2 and (t % mixing.PERIOD or abs(seen["a"] - t * 2 / 3) < 1)

@@ -7,47 +7,76 @@ ceil((j + 1) / w); the earliest deadline among the released blocks runs. With
 weights that sum to one, every block meets its window, so that at any time
 each source is less than one block away from its weight's share.
 
-Weights are whole numbers of slots in a period, so the schedule repeats: one
-period, simulated on the driver from the weights alone, gives every block of
-every source its slot by arithmetic. Slots of a source that has run out stay
-empty, the others keep their proportions; nothing is dropped or repeated.
+The slots are dealt in periods. At a period's end each source has had its
+exact share of all slots so far, rounded up or down: every block that is due by
+then and, in the order of their deadlines, some that are released (deal()).
+Rounding is carried on to the next period and never adds up: a source is less
+than one block away from its weight's share at every period's end and less than
+two within a period, however long the corpus. The driver deals the periods from
+the weights and the sources' lengths; tasks lay out the slots of each. Slots of
+a source that has run out stay empty, the others keep their proportions;
+nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import BROADCAST_BYTES
 from tidemark.storage import stored
 
-#: Characters in a block, slots in a period (more if there are more sources), exponent that smooths shares.
+#: Characters in a block, slots in a period, exponent that smooths shares.
 BLOCK_CHARS, PERIOD, EXPONENT = 1 << 16, 1000, 0.5
 #: Ranges of the hash into which a source is cut for counting: bits.
 CUT_BITS = 10
+#: Weights are whole multiples of one part in so many.
+PARTS = 1 << 60
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in a period, by largest remainders, at least one each."""
-    period = max(period, len(weights))
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as numbers of PARTS that sum to PARTS, at least one each; equal if all weights are zero."""
     total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: (w / total if total else 1 / len(weights)) * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
-        out[s] += 1
+    out = {s: max(1, int(w / total * PARTS) if total else PARTS // len(weights)) for s, w in weights.items()}
+    out[max(out, key=lambda s: (out[s], s))] += PARTS - sum(out.values())
+    return out
+
+
+def deal(weights: dict[str, float], period: int) -> Iterator[dict[str, int]]:
+    """Slots of each source in the first, second, ... period; each source's sum is its exact share rounded up or down."""
+    parts = whole(weights)
+    done = dict.fromkeys(parts, 0)
+    end = 0
+    while True:
+        end += period
+        now = {s: max(done[s], end * w // PARTS) for s, w in parts.items()}
+        more = [(-(-(now[s] + 1) * PARTS // w), s) for s, w in parts.items() if now[s] * PARTS < end * w]
+        for _, s in sorted(more)[: end - sum(now.values())]:
+            now[s] += 1
+        if sum(now.values()) != end:
+            raise AssertionError("a period is not full")
+        yield {s: now[s] - done[s] for s in parts}
+        done = now
+
+
+def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
+    """Slots of each source in the first period, at least one each (of more slots if there are more sources)."""
+    out = next(deal(weights, max(period, len(weights))))
+    for s in sorted(s for s in out if not out[s]):
+        out[max(out, key=lambda x: (out[x], x))] -= 1
+        out[s] = 1
     return out
 
 
 def schedule(units: dict[str, int]) -> list[str]:
     """The source of each slot of a period: earliest deadline first among released blocks."""
     period = sum(units.values())
-    waiting = [(0, s, 0) for s in units]  # (release, source, block)
+    waiting = [(0, s, 0) for s in units if units[s]]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
     out = []
@@ -70,7 +99,41 @@ def smoothed_weights(docs: DataFrame, exponent: float = EXPONENT) -> dict[str, f
     return {r["s"]: float(max(r["n"], 1)) ** exponent for r in rows}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def periods(weights: dict[str, float], blocks: dict[str, int], period: int, fixed: bool) -> Iterator[tuple[int, list[str], list[int], list[int]]]:
+    """Each period's number, sources, their first blocks and slots, until all blocks are placed; periods without any are left out."""
+    if not weights:
+        return
+    same = quotas(weights, period) if fixed else None
+    dealt = deal(weights, period)
+    done = dict.fromkeys(weights, 0)
+    left = {s for s in weights if blocks.get(s)}
+    k = 0
+    while left:
+        units = same or next(dealt)
+        if any(units[s] for s in left):
+            yield k, list(units), [done[s] for s in units], list(units.values())
+        for s in units:
+            done[s] += units[s]
+        left = {s for s in left if done[s] < blocks[s]}
+        k += 1
+
+
+def laid_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The slots of periods() for the blocks that there are."""
+    for f in frames:
+        for r in f.itertuples():
+            at = dict(zip(r.sources, r.first))
+            last = dict(zip(r.sources, r.blocks))
+            rows = []
+            start = r.period * sum(r.units)
+            for t, s in enumerate(schedule(dict(zip(r.sources, map(int, r.units))))):
+                if at[s] < last[s]:
+                    rows.append((s, at[s], start + t))
+                at[s] += 1
+            yield pd.DataFrame(rows, columns=["mix_source", "mix_block", "mix_slot"])
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """docs with its columns and mix_source, mix_block, mix_slot, mix_order.
 
     Documents in order of (mix_slot, mix_order) are the mix. docs needs doc_id,
@@ -78,7 +141,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     leave out come after all others; null text is empty; a document longer than
     a block takes the slot it starts in. Rows that tie in id stand in the order
     of their texts' lengths, equal rows are interchangeable. Columns of docs
-    named mix_... must be renamed before. An empty table gives no rows.
+    named mix_... must be renamed before. An empty table gives no rows. A period
+    that is given is repeated as it is, with whole slots for weights; by default
+    the weights are exact and the rounding is carried on.
     """
     spark = docs.sparkSession
     weights = smoothed_weights(docs) if weights is None else weights
@@ -87,25 +152,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     # Characters before each cut of a source: at most 2**CUT_BITS rows a source.
     cuts = rows.groupBy("mix_source", "mix_cut").agg(F.sum("mix_chars").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = stored(cuts.withColumn("mix_before", before).drop("n"))
+    cuts = stored(cuts.withColumn("mix_before", before).withColumnRenamed("n", "mix_own"))
     own = Window.partitionBy("mix_source", "mix_cut").orderBy("mix_order", "doc_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("mix_chars", F.coalesce(F.sum("mix_chars").over(own), F.lit(0)))
-    placed = placed.join(cuts, ["mix_source", "mix_cut"]).withColumn("mix_block", F.floor((F.col("mix_before") + F.col("mix_chars")) / block_chars))
-    units = quotas(weights, period) if weights else {}
-    count: dict[str, int] = {}
-    slots = []
-    for t, s in enumerate(schedule(units)):
-        slots.append((s, count.setdefault(s, 0), units[s], t))
-        count[s] += 1
-    schema = T.StructType([T.StructField("mix_source", T.StringType()), T.StructField("mix_turn", T.LongType()), T.StructField("mix_units", T.LongType()), T.StructField("mix_at", T.LongType())])
-    times = spark.createDataFrame(slots, schema)
-    sizes = spark.createDataFrame([(s, u) for s, u in units.items()], "mix_source string, mix_units long")
-    small = len(slots) * 128 <= BROADCAST_BYTES
-    hint = F.broadcast if small else lambda d: d
-    timed = placed.join(hint(sizes), "mix_source", "left").withColumn("mix_turn", F.col("mix_block") % F.col("mix_units"))
-    timed = timed.join(hint(times.drop("mix_units")), ["mix_source", "mix_turn"], "left")
-    slot = F.floor(F.col("mix_block") / F.col("mix_units")) * F.lit(len(slots)) + F.col("mix_at")
-    return timed.select(*[docs[c] for c in docs.columns], "mix_source", "mix_block", F.coalesce(slot, F.lit((1 << 62)) + F.col("mix_block")).alias("mix_slot"), "mix_order")
+    placed = placed.join(cuts, ["mix_source", "mix_cut"]).drop("mix_own").withColumn("mix_block", F.floor((F.col("mix_before") + F.col("mix_chars")) / block_chars))
+    ends = cuts.groupBy("mix_source").agg(F.max(F.col("mix_before") + F.col("mix_own")).alias("n")).collect()
+    blocks = {r["mix_source"]: r["n"] // block_chars + 1 for r in ends}
+    rows = ((k, names, first, units, [blocks.get(s, 0) for s in names]) for k, names, first, units in periods(weights, blocks, period or PERIOD, period is not None))
+    schema = "period long, sources array<string>, first array<long>, units array<long>, blocks array<long>"
+    plan = spark.createDataFrame(list(rows), schema)
+    times = plan.repartition("period").mapInPandas(laid_out, "mix_source string, mix_block long, mix_slot long")
+    small = sum(n for s, n in blocks.items() if s in weights) * 128 <= BROADCAST_BYTES
+    timed = placed.join(F.broadcast(times) if small else times, ["mix_source", "mix_block"], "left")
+    return timed.select(*[docs[c] for c in docs.columns], "mix_source", "mix_block", F.coalesce("mix_slot", F.lit((1 << 62)) + F.col("mix_block")).alias("mix_slot"), "mix_order")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
