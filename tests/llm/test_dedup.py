@@ -139,3 +139,9 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert simhash.simhash_components(none).count() == 0
     assert simhash.near_dedup(none).count() == 0
+
+
+def test_near_dedup_keeps_a_unique_text_under_a_repeated_id(spark):
+    rows = [(1, "one two three four five"), (2, "one two three four five"), (2, "nothing like the others at all"), (None, "one two three four five"), (None, "a text of its own")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([r for k, r in enumerate(rows) if k != 1], key=repr)

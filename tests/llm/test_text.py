@@ -137,3 +137,11 @@ def test_queries_return_one_row_each(spark):
     assert queries.op2_decontamination(spark, SF).count() == n
     assert json.dumps(sorted(queries.ORACLES))
     assert sha256(b"").hexdigest() in {r.items_sha256 for r in queries.op2_decontamination(spark, SF).collect()}
+
+
+@pytest.mark.parametrize("i", [None, 4])
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark, i):
+    docs = spark.createDataFrame([(i, "one two three four"), (i, "a clean text"), (i, None), (9, "one two three four"), (9, "clean too")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "one TWO three, four")], "item_id long, text string")
+    kept = decontam.decontaminate(docs, bench).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(i, "a clean text"), (i, None), (9, "clean too")], key=repr)

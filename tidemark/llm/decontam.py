@@ -116,7 +116,7 @@ def _digest(items: list) -> str:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, hit_words (ranges of word numbers), items (ids, sorted).
+    """One row per row of docs: doc_id, thash (xxhash64 of the text), n_words, hit_words (ranges of word numbers), items (ids, sorted).
 
     docs needs doc_id and text, benchmark item_id and text; other columns are
     ignored. Null and empty texts have no words and no hits; items without
@@ -164,8 +164,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         more = more.dropDuplicates(["doc_id", "thash", "items", "hit_words"]).groupBy("doc_id", "thash").agg(F.flatten(F.collect_list("hit_words")).alias("h2"), F.flatten(F.collect_list("items")).alias("i2"))
         one = found[0]
         both = one.join(more, one.doc_id.eqNullSafe(more.doc_id) & (one.thash == more.thash), "left")
-        return both.select(one.doc_id, "n_words", _merge_ranges(F.concat("hit_words", F.coalesce("h2", F.array().cast(SPANS)))).alias("hit_words"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<long>"))))).alias("items"))
-    return found[0].select("doc_id", "n_words", "hit_words", "items")
+        return both.select(one.doc_id, one.thash, "n_words", _merge_ranges(F.concat("hit_words", F.coalesce("h2", F.array().cast(SPANS)))).alias("hit_words"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<long>"))))).alias("items"))
+    return found[0].select("doc_id", "thash", "n_words", "hit_words", "items")
 
 
 def _merge_ranges(c):
@@ -214,7 +214,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = stored(judged(find_contamination(docs, benchmark, window)).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct())
+    """The rows of docs that are not contaminated, with all their columns.
+
+    Rows that share an id, or have none, are judged each by its own text.
+    """
+    bad = stored(judged(find_contamination(docs, benchmark, window)).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("thash").alias("bad_hash")).distinct())
     small = F.broadcast(bad) if bad.count() * 64 <= BROADCAST_BYTES else bad
-    return docs.join(small, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return docs.join(small, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")

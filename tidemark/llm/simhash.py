@@ -66,14 +66,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), for each row."""
+    """doc_id, thash (xxhash64 of the text), fp (the fingerprint as a signed long), for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "thash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("thash"), "text").mapInArrow(run, "doc_id long, thash long, fp long")
 
 
 def linked_forest(fps: np.ndarray, bits: int, block: int = 1024) -> tuple[list[int], list[int]]:
@@ -183,20 +183,26 @@ def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE
     smallest id of its component, or null if the component has no id. An empty
     table gives no rows.
     """
+    return _labelled(docs, bits, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, bits: int, shingle: int) -> DataFrame:
+    """fingerprints()'s rows with component_id."""
     fps = stored(fingerprints(docs, shingle))
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = stored(components(link_edges(distinct.select(F.col("fp").alias("rep"), "fp"), bits)))
     named = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
     labels = stored(named.join(least, "root").select("fp", "component_id"))
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(labels, "fp")
 
 
 def near_dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs with one document of each component: that with the smallest doc_id.
 
-    Of rows that repeat the kept id, all stay. Rows without an id stay.
+    Of rows that repeat the kept id, all stay. Rows without an id stay. Rows
+    that share an id are judged each by its own text.
     """
-    drop = stored(simhash_components(docs, bits, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct())
+    drop = stored(_labelled(docs, bits, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("thash").alias("drop_hash")).distinct())
     small = F.broadcast(drop) if drop.count() * 64 <= BROADCAST_BYTES else drop
-    return docs.join(small, docs["doc_id"] == drop["drop_id"], "left_anti")
+    return docs.join(small, (docs["doc_id"] == drop["drop_id"]) & (F.xxhash64(docs["text"]) == drop["drop_hash"]), "left_anti")
