@@ -102,3 +102,47 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "call +1 (988) 555-2485 or é a@b.c now"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.redacted for r in pii.redact(df, pii.find_pii(df)).collect()}
     assert got == {1: "call [phone] or é [email] now", 2: ""}
+
+
+def names_and_randoms(lengths, texts, randoms):
+    """(kind, length, token): names made of words, then random strings, so many of each kind and length."""
+    rng = random.Random(5)
+    words = sorted({w for r in TEXT_OF_NAMES.split("|") for w in r.split() if w.isalpha()})
+
+    def camel(n):
+        s = ""
+        while len(s) < n:
+            s += rng.choice(words).capitalize()
+        return s
+
+    def path(n):
+        s = rng.choice(words)
+        while len(s) < n:
+            s += rng.choice("/-_") + rng.choice(words)
+        return s
+
+    out = []
+    for n in lengths:
+        for make in (camel, path, lambda n: camel(n).lower(), lambda n: camel(n).upper()):
+            out += [("text", n, make(n)) for _ in range(texts)]
+        for name, _, alphabet in secret_scan.ENCODINGS:
+            if name != "hex":  # the base patterns have those
+                out += [(name, n, "".join(rng.choice(alphabet) for _ in range(n))) for _ in range(randoms)]
+    return out
+
+
+TEXT_OF_NAMES = "about after again also another because been before being between both called could different does down each even every find first from good great hand help here home house into just know large last life line little long made make many might more most much must name never number often only other over own part people place point read right said same school sentence should show small some sound spell still such take tell than that their them then there these they thing think this those thought three through time together under until want water well went were what when where which while will with word work world would write year your"
+
+
+@pytest.mark.parametrize("texts,randoms", [(300, 150), (300, 15), (300, 0)])
+def test_recall_and_false_reports_by_length(spark, texts, randoms):
+    rows = names_and_randoms((20, 32, 40, 64), texts, randoms)
+    df = spark.createDataFrame([(k, f"x {r[2]} y") for k, r in enumerate(rows)], "doc_id long, text string")
+    found = [rows[r.doc_id] for r in secret_scan.find_secrets(df).collect() if len(r.spans) > len(r.base)]
+    share = {(e, n): sum(f[:2] == (e, n) for f in found) / max(randoms, 1) for e, n, _ in rows}
+    print({k: round(v, 3) for k, v in share.items()}, "false:", sum(f[0] == "text" for f in found), "of", len(found))
+    assert sum(f[0] == "text" for f in found) <= max(0.02 * len(found), 0.005 * texts * 16)
+    if randoms == 150:
+        mean = lambda n: sum(share[e, n] for e in ("base32", "lower", "base62", "base64")) / 4
+        assert mean(32) >= 0.35 and mean(40) >= 0.75 and mean(64) >= 0.95
+        assert share["HEX", 20] >= 0.9 and share["lower", 20] >= 0.1
