@@ -9,17 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the cluster's checkpoint folder; only a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: no lineage is left to recompute."""
+def written(df: DataFrame) -> tuple[str, DataFrame]:
+    """Write df as a table in the shared folder: its path, and the table read back."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: no lineage is left to recompute."""
+    return written(df)[1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that written() made, once nothing that is still to run reads it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
