@@ -44,11 +44,24 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("hot,task", [(1 << 30, 12000), (3, 12000), (1 << 30, 40)])
-def test_repeats_against_brute_force(spark, hot, task):
+@pytest.mark.parametrize("batches,group,tasks", [(1, 4000, 500_000), (5, 4000, 100), (2, 2, 50)])
+def test_repeats_against_brute_force(spark, batches, group, tasks):
     rows = passages()
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, th int").repartition(3)
-    assert rows_of(suffix_dedup.cut_repeats(df, 60, 16, hot, task)) == brute(rows, 60)
+    rows += [rows[3], rows[3], (None, rows[4][1]), (None, rows[5][1]), (None, rows[5][1])]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, k1 int, h int").repartition(3)
+    assert rows_of(suffix_dedup.cut_repeats(df, 60, 16, batches, group, tasks, 40)) == brute(rows, 60)
+
+
+def test_a_lying_fingerprint_is_settled_by_bytes(monkeypatch):
+    rng = random.Random(1)
+    say = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    core, left, right = say(30), say(40), say(40)
+    contexts = [left[k:] + core + right[: 40 - k] for k in (0, 3, 9)] + [say(35) + core + right]
+    h, hi = np.zeros(4, np.int64), np.array([40, 37, 31, 35])
+    want = suffix_dedup._repeated_exactly(h, contexts, hi, 60)
+    assert [list(x) for x in suffix_dedup.repeated_in(h, contexts, hi, suffix_dedup.Rolling(3), 60)] == [list(x) for x in want]
+    monkeypatch.setattr(suffix_dedup.Rolling, "mixed", staticmethod(lambda x: x * np.uint64(0)))
+    assert [list(x) for x in suffix_dedup.repeated_in(h, contexts, hi, suffix_dedup.Rolling(3), 60)] == [list(x) for x in want]
 
 
 def test_odd_documents_against_brute_force(spark):
@@ -68,24 +81,48 @@ def test_empty_table(spark):
     assert suffix_dedup.cut_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_levels_grow_geometrically():
-    family = suffix_dedup.Levels()
-    for k in range(13):
-        family.add(np.arange(k * 10, k * 10 + 10, dtype=np.uint64), np.arange(10))
-    assert [r for r, _, _ in family.levels] == [3, 2, 0]
-    (none, some) = family.add(np.array([5, 5, 999], np.uint64), np.array([70, 71, 72]))[0], True
-    assert len(none[0]) == 1 and some
+def test_levels_grow_geometrically(spark):
+    family = suffix_dedup.Family(10)
+    for k in range(6):
+        family.add(spark.createDataFrame([(h, 0, k, 0, 0, 0, 0) for h in (k, 50, 60 + k // 2)], suffix_dedup.SUFFIX))
+    assert [(rank, level.count()) for rank, level in family.levels] == [(2, 12), (1, 6)]
+    met = {(r.h, r.k1) for r in family.found().collect()}
+    assert met == {(50, k) for k in range(6)} | {(60 + k // 2, k) for k in range(6)}
+
+
+def test_an_array_is_in_order_and_its_ranges_meet(spark):
+    rows = [(h, c, k, k, 0, 0, 0) for k, (h, c) in enumerate([(5, 1)] * 40 + [(5, 2)] * 3 + [(6, 1)] + [(7, k) for k in range(9)] + [(8, 1)] * 2)]
+    for tasks in (3, 60):
+        array = suffix_dedup.array_of(spark.createDataFrame(rows, suffix_dedup.SUFFIX).repartition(4), tasks)
+        assert array.count() == len(rows)
+        met = {(r.h, r.c, r.k1): r.found for r in suffix_dedup.findings(array).collect()}
+        assert {k for k, f in met.items() if f & suffix_dedup.REPEATED} == {(h, c, k) for h, c, k, *_ in rows if h in (5, 8)}
+        assert {k[:2] for k, f in met.items() if f & suffix_dedup.SHARED} >= {(5, 1), (5, 2)} | {(7, r[1]) for r in rows if r[0] == 7}
+        assert (6, 1) not in {k[:2] for k in met}
 
 
-def test_every_window_holds_an_anchor():
+@pytest.mark.parametrize("letters", [4, 1, 2])
+def test_every_string_is_of_one_suffix_that_its_bytes_fix(letters):
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 101, 3000).astype(np.uint8)
+    data = rng.integers(97, 97 + letters, 3000).astype(np.uint8)
+    data[2000:2300] = data[100:400]
+    h, c, x, lo, hi = suffix_dedup.suffixes(data, suffix_dedup.Rolling(1), suffix_dedup.Rolling(2), 60, 16)
+    of = {}
+    for k in range(len(h)):
+        for d in range(lo[k], hi[k] + 1):
+            assert x[k] - d not in of
+            of[int(x[k] - d)] = (int(h[k]), d)
+    assert sorted(of) == list(range(len(data) - 60 + 1))
+    by = {}
+    for p, key in of.items():
+        assert by.setdefault(data[p : p + 60].tobytes(), key) == key
+
+
+def test_long_texts_are_anchored_in_stretches(monkeypatch):
+    data = np.random.default_rng(0).integers(97, 99, 3000).astype(np.uint8)
     grams = suffix_dedup.Rolling(1)
-    places = suffix_dedup.anchors(grams.sums(data), grams, 60, 16)
-    for p in range(len(data) - 60 + 1):
-        assert ((places >= p) & (places <= p + 44)).any()
-    # every window lies in the context of a core that it holds
-    x, begin, end, keys = suffix_dedup.cores(data, grams, 60, 16)
-    assert len(x) == len(begin) == len(end) == len(keys)
-    for p in range(len(data) - 60 + 1):
-        assert ((begin <= p) & (end >= p + 60) & (x >= p) & (x <= p + 44)).any()
+    whole = suffix_dedup.anchored(grams.sums(data), grams, 60, 16)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 100)
+    parts = suffix_dedup.anchored(grams.sums(data), grams, 60, 16)
+    each = lambda runs: np.repeat(runs[0], runs[2] - runs[1] + 1).tolist()
+    assert each(whole) == each(parts)
