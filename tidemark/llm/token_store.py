@@ -30,8 +30,8 @@ MAGIC = b"TIDEPL01"
 BLOCK, SEGMENT, WIDTH = 1 << 16, 1 << 20, 4
 END_ID = 0
 LEVEL = 3
-#: Words whose ids a Python worker remembers; beyond it words are encoded anew.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, and the bytes of a remembered word at most: words beyond either are encoded anew.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 #: White space other than the space and the line feed.
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -95,7 +95,7 @@ class Coder:
     or around a single line feed, so a text's ids are those of its words, each
     with the space or line feed before it. New words of a batch are encoded in
     one string and told apart by the lengths of their tokens. Texts with any
-    other white space are encoded whole. Strings of special tokens are text.
+    other white space, or with the string of a special token, are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -109,11 +109,11 @@ class Coder:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(self.path)
-            t.encode_special_tokens = True
             # In this vocabulary's alphabet one character stands for one byte.
             sizes = np.zeros(t.get_vocab_size(), np.int64)
             for token, i in t.get_vocab().items():
                 sizes[i] = len(token)
+            self.whole_if = [*OTHER_SPACES, *(a.content for a in t.get_added_tokens_decoder().values())]
             self.made = (t, sizes)
             self.known: dict[str, bytes] = {}
         return self.made
@@ -149,7 +149,7 @@ class Coder:
             split.append(words)
             # No empty word, and no white space but single spaces and line feeds: every border is a plain one.
             plain = len(words) > 1 and "" not in words and "\n" not in words and words[0][0] != "\n"
-            if not plain or any(map(text.__contains__, OTHER_SPACES)):
+            if not plain or any(map(text.__contains__, self.whole_if)):
                 found.append(None)
                 continue
             ids = list(map(known.get, words))
@@ -159,7 +159,7 @@ class Coder:
                 fresh.update(w for w, i in zip(words, ids) if i is None)
         now = self._new(list(fresh))
         if len(known) < self.cache_words:
-            known.update(now)
+            known.update((w, i) for w, i in now.items() if len(w) + len(i) <= CACHE_WORD_BYTES)
         out = []
         for text, words, ids in zip(texts, split, found):
             if ids is None:
