@@ -62,7 +62,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -81,7 +80,7 @@ def test_tokens_of_the_documents(spark):
 
 
 def test_tokens_of_odd_texts(spark, tmp_path):
-    odd = ["\n", "a\n", "\na", "a\n\nb", "a \nb", "a\n b", " a", "a ", "a  b", "a b c", "a b c", "it's I'll we've", "<|endoftext|> x <|endoftext|>", "1 22 333 ² Ⅷ", "a\tb", "!! ?? ", "\U0001f600 \U0001f600x"]
+    odd = ["\n", "a\n", "\na", "a\n\nb", "a \nb", "a\n b", " a", "a ", "a  b", "a b c", "a b c", "it's I'll we've", "<|endoftext|> x <|endoftext|>", "x <|endoftext|> y", "a b<|endoftext|>c", "a <|endoftext| > b", "<|endoftext|>", "w" * 200 + " x", "1 22 333 ² Ⅷ", "a\tb", "!! ?? ", "\U0001f600 \U0001f600x"]
     rows = [(i, t) for i, t in enumerate(odd + [None, ""])] + [(1000 + i, r[1]) for i, r in enumerate(documents())]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, shard int").repartition(3)
     token_store.write_tokens(df, queries.tokenizer_path(), str(tmp_path / "a"), block=100, segment=1000)
@@ -94,6 +93,11 @@ def test_words_beyond_the_cache_are_encoded_too():
     coder = token_store.Coder(queries.tokenizer_path(), cache_words=0)
     texts = ["one two three", "two four\nfive six", "one"]
     assert [list(x) + [0] for x in coder.encode(texts)] == reference_ids(texts)
+    # the library's own id of a special token, and no memory of long words
+    kept = token_store.Coder(queries.tokenizer_path())
+    texts = ["x <|endoftext|> y", "x " + "ab" * 500, "x " + "ab" * 500]
+    assert [list(x) + [0] for x in kept.encode(texts)] == reference_ids(texts)
+    assert 50256 in kept.encode(texts)[0] and not any(len(w) > token_store.CACHE_WORD_BYTES for w in kept.known)
 
 
 def test_planes_round_trip():
@@ -127,11 +131,23 @@ def test_chat_attachments(spark):
     parts = [("text", "see < ", None, None), ("image", None, "a.png", 64), ("text", "and", None, None), ("audio", None, "b.wav", 3), ("document", None, None, None), ("odd|>", None, "z", 1)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     (row,) = chat.format_chats(df).collect()
-    assert "see \\l <|image|>and<|audio|><|document|>" in row.formatted
+    assert "see \\l <part:image<>and<part:audio<><part:document<>" in row.formatted
     assert [(a.ordinal, a.type, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 64), (1, "audio", "b.wav", 75), (2, "document", None, 512), (3, "odd|>", "z", 0)]
     assert row.attachment_tokens == 651
 
 
+@pytest.mark.parametrize("kind", ["turn", "body", "end", "|turn|", "<|turn|>", "<>", "\\l", "", "[INST]"])
+def test_part_types_forge_no_marks(spark, kind):
+    parts = [("text", "a", None, None), (kind, None, "x", 1), ("text", "b", None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "yes", None, None)])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    (row,) = chat.parse_chats(chat.format_chats(df)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert [t.role for t in row.turns] == ["user", "assistant"] and row.loss == "yes"
+    assert [a.type for a in row.attachments] == [kind]
+    assert row.formatted.count(chat.TURN) == row.formatted.count(chat.BODY) == row.formatted.count(chat.END) == 2
+    shown = row.formatted.split(chat.OPEN)[1].split(chat.CLOSE)[0]
+    assert shown.replace("\\b", "[").replace("\\l", "<").replace("\\e", "\\") == kind
+
+
 def test_queries_return_one_row_each(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert queries.op2_decontamination(spark, SF).count() == n

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+#: A placeholder stands between these: no type makes it a mark of a turn, and its type is escaped like a text.
+OPEN, CLOSE = "<part:", "<>"
 
 #: Escape images: no image contains the escape character twice, so they are undone in any order but the escape's own, which is last.
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
@@ -37,7 +39,7 @@ def unescape(c: Column) -> Column:
 def _visit(part: Column) -> Column:
     """A part's flat form: its escaped text, or a placeholder that names its kind."""
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.replace(escape(kind), F.lit("|"), F.lit("_")), F.lit("|>")))
+    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit(OPEN), escape(kind), F.lit(CLOSE)))
 
 
 def _expanded(part: Column) -> Column:
