@@ -82,9 +82,9 @@ def test_configs_metrics_and_labels(spark, tmp_path):
 
 
 def test_tile_names(spark):
-    names = ["24_01_02.tif", "x/25_3_4_rot90.png", "5_6", "other", "24_1_2_antitranspose"]
+    names = ["24_01_02.tif", "x/25_3_4_rot90.png", "5_6", "other", "24_1_2_antitranspose", "24_Sites1and2_2024_Orthomosaic_07_38.tif", "25_25IniSouthOrt_05_31_hflip.png", "Sites1and2_2024_Orthomosaic_07_38.tif", "a/25IniSouthOrt_05_31.tif", "24_07_38_hflip.png", "24_07_38_vflip.png", "26_07_38.tif"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(manifest.tile_key(F.col("n")).alias("k"))
-    assert [tuple(r.k) if r.k else None for r in df.collect()] == [(24, 1, 2), (25, 3, 4), (None, 5, 6), None, (24, 1, 2)]
+    assert [tuple(r.k) if r.k else None for r in df.collect()] == [(24, 1, 2), (25, 3, 4), (None, 5, 6), None, (24, 1, 2), (24, 7, 38), (25, 5, 31), (24, 7, 38), (25, 5, 31), (24, 7, 38), (24, 7, 38), None]
     tiles = spark.createDataFrame([(24, 1, 2), (25, 1, 2), (24, 9, 9)], "year int, tile_row int, tile_col int")
     listing = spark.createDataFrame([("/p/24_01_02.tif",), ("/p/1_2.tif",)], "path string")
     assert {(r.year, r.tile_row): r.path for r in readers.resolve_tiles(tiles, listing).collect()} == {(24, 1): "/p/24_01_02.tif", (25, 1): "/p/1_2.tif", (24, 9): None}

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -209,3 +210,41 @@ def test_empty_images_are_scored(spark):
     truth = spark.createDataFrame([], "gt_id long, image_id long, iscrowd int, x1 double, y1 double, x2 double, y2 double")
     got = {r.image_id: (r.tp, r.fp, r.fn, r.f1) for r in evaluation.precision_recall(images, dets, truth).collect()}
     assert got == {1: (0, 1, 0, 0.0), 2: (0, 0, 0, 1.0)}
+
+
+def test_turns_move_corners_as_the_picture_turns(spark):
+    """A picture 10 wide and 6 high; its point (2, 1) is near the upper left corner. Worked out by hand."""
+    want = {"orig": (2, 1), "hflip": (8, 1), "vflip": (2, 5), "rot90": (5, 2), "rot180": (8, 5), "rot270": (1, 8), "transpose": (1, 2), "antitranspose": (5, 8)}
+    anns = spark.sql("select 1L as image_id, 1L as ann_id, array(named_struct('x', 2D, 'y', 1D), named_struct('x', 3D, 'y', 1D), named_struct('x', 2D, 'y', 2D)) as ring")
+    images = spark.sql("select 1L as image_id, '24_07_38.png' as file_name, 10D as width, 6D as height")
+    got = {r.variant: r for r in dataset.variants(anns, images).collect()}
+    assert {v: (r.ring[0].x, r.ring[0].y) for v, r in got.items()} == want
+    assert {v: (r.new_width, r.new_height) for v, r in got.items()} == {v: (6, 10) if v in ("rot90", "rot270", "transpose", "antitranspose") else (10, 6) for v in want}
+    assert got["hflip"].file_name == "24_07_38_hflip.png"
+
+
+def test_cells_of_a_concave_outline(spark):
+    ring = [(1.0, 1.0), (7.0, 1.0), (7.0, 7.0), (4.0, 2.5), (1.0, 7.0)]
+    cells = spark.range(100).selectExpr("0L as raster_id", "id div 10 as r", "id % 10 as c", "0D as dz")
+    objects = spark.createDataFrame([(0, 1, [{"x": x, "y": y} for x, y in ring])], "raster_id long, object_id long, ring array<struct<x:double,y:double>>")
+
+    def inside(x, y):
+        n = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                n = not n
+        return n
+
+    def away(x, y):
+        out = 1e9
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            out = min(out, math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return out
+
+    centre = {(r, c) for r in range(10) for c in range(10) if inside(c + 0.5, 9.5 - r)}
+    around = {(r, c) for r in range(10) for c in range(10) if (r, c) not in centre and away(c + 0.5, 9.5 - r) <= 1}
+    fine = [k / 64 for k in range(65)]
+    touched = {(r, c) for r in range(10) for c in range(10) if any(inside(c + u, 9 - r + v) or away(c + u, 9 - r + v) < 1e-9 for u in fine for v in fine)}
+    of = lambda rule, grow=0.0: {(r.r, r.c) for r in raster.zonal(objects, cells, 10, rule, grow).collect()}
+    assert of("centre") == centre and of("ring", 1.0) == around and of("touched") == touched

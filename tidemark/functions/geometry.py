@@ -114,6 +114,48 @@ def ring_box(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
+def ring_edges(ring: Column) -> Column:
+    """array<struct<ax,ay,bx,by>>: the edges, the last one back to the first point."""
+    return F.zip_with(ring, _turned(ring), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+
+def in_ring(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies inside, by the crossings of a ray to the right; borders belong to the side of larger coordinates."""
+
+    def crossed(e: Column) -> Column:
+        return F.when((e["ay"] > y) != (e["by"] > y), x < e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])).otherwise(False)
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
+def edge_distance(edges: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest edge; null without edges."""
+
+    def one(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        long = dx * dx + dy * dy
+        t = F.when(long > 0, F.least(F.greatest(((x - e["ax"]) * dx + (y - e["ay"]) * dy) / long, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return let(t, lambda t: F.hypot(x - e["ax"] - t * dx, y - e["ay"] - t * dy))
+
+    return F.array_min(F.transform(edges, one))
+
+
+def edge_meets_box(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether an edge has a point in a box, its borders included: the parts of the edge inside both strips overlap."""
+
+    def inside(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        d = b - a
+        near, far = F.least((low - a) / d, (high - a) / d), F.greatest((low - a) / d, (high - a) / d)
+        level = (a >= low) & (a <= high)
+        return F.when(d != 0, near).when(level, 0.0).otherwise(2.0), F.when(d != 0, far).when(level, 1.0).otherwise(-1.0)
+
+    def one(e: Column) -> Column:
+        (xa, xb), (ya, yb) = inside(e["ax"], e["bx"], x1, x2), inside(e["ay"], e["by"], y1, y2)
+        return F.greatest(xa, ya, F.lit(0.0)) <= F.least(xb, yb, F.lit(1.0))
+
+    return F.exists(edges, one)
+
+
 def usable_ring(ring: Column) -> Column:
     """At least three distinct points and an area."""
     return (F.size(F.array_distinct(ring)) >= 3) & (ring_area(ring) > 0)
@@ -129,14 +171,14 @@ def expanded(ring: Column, by: Column) -> Column:
     return let(mid("x"), lambda cx: let(mid("y"), lambda cy: moved(cx, cy)))
 
 
-#: Whole-picture turns and mirrors, as functions of (x, y, width, height).
+#: Whole-picture turns (rot90 is clockwise) and mirrors, as functions of (x, y, width, height). Fixed names: files carry them.
 VARIANTS = {
     "orig": lambda x, y, w, h: (x, y),
-    "fliph": lambda x, y, w, h: (w - x, y),
-    "flipv": lambda x, y, w, h: (x, h - y),
-    "rot90": lambda x, y, w, h: (y, w - x),
+    "hflip": lambda x, y, w, h: (w - x, y),
+    "vflip": lambda x, y, w, h: (x, h - y),
+    "rot90": lambda x, y, w, h: (h - y, x),
     "rot180": lambda x, y, w, h: (w - x, h - y),
-    "rot270": lambda x, y, w, h: (h - y, x),
+    "rot270": lambda x, y, w, h: (y, w - x),
     "transpose": lambda x, y, w, h: (y, x),
     "antitranspose": lambda x, y, w, h: (h - y, w - x),
 }

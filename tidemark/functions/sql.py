@@ -10,7 +10,7 @@ FUNCTIONS = {
     "axial_diff(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "least(pmod(a - b, 180D), 180D - pmod(a - b, 180D))",
     "poly_area(seg ARRAY<DOUBLE>) RETURNS DOUBLE": "CASE WHEN size(seg) < 6 THEN 0D ELSE abs(aggregate(sequence(0, size(seg) div 2 - 1), 0D, (s, i) -> s + seg[2 * i] * seg[pmod(2 * i + 3, size(seg))] - seg[pmod(2 * i + 2, size(seg))] * seg[2 * i + 1])) / 2 END",
     "pair_score(distance DOUBLE, radius DOUBLE, area_a DOUBLE, area_b DOUBLE, volume_a DOUBLE, volume_b DOUBLE, angle_a DOUBLE, angle_b DOUBLE) RETURNS DOUBLE": "0.3D * greatest(0D, 1 - distance / radius) + 0.25D * exp(-abs(ln((area_a + 1e-6D) / (area_b + 1e-6D)))) + 0.35D * CASE WHEN volume_a IS NULL OR volume_b IS NULL THEN 0.5D ELSE exp(-abs(ln((volume_a + 1e-6D) / (volume_b + 1e-6D)))) END + 0.1D * CASE WHEN angle_a IS NULL OR angle_b IS NULL THEN 0.5D ELSE greatest(0D, 1 - axial_diff(angle_a, angle_b) / 90) END",
-    "dihedral_variants() RETURNS TABLE (variant STRING)": "SELECT explode(array('orig', 'fliph', 'flipv', 'rot90', 'rot180', 'rot270', 'transpose', 'antitranspose')) AS variant",
+    "dihedral_variants() RETURNS TABLE (variant STRING)": "SELECT explode(array('orig', 'hflip', 'vflip', 'rot90', 'rot180', 'rot270', 'transpose', 'antitranspose')) AS variant",
     "window_starts(len BIGINT, win BIGINT, step BIGINT) RETURNS TABLE (start BIGINT)": "SELECT explode(CASE WHEN len <= win THEN array(0L) ELSE array_union(sequence(0L, greatest(len - win, 0L), step), array(len - win)) END) AS start",
 }
 

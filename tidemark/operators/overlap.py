@@ -57,14 +57,15 @@ def _points(ring) -> Ring:
     return [(p["x"], p["y"]) for p in ring]
 
 
-def ring_overlaps(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None) -> DataFrame:
+def ring_overlaps(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None, once: bool = False) -> DataFrame:
     """left (l_id, ring) and right (r_id, ring) whose boxes meet: both ids, overlap, iou, over_smaller (overlap over the smaller area).
 
     Pairs without area in common are left out. on: equal columns of both.
+    once: only pairs whose left id is the smaller, for a table with itself.
     """
     on = on or []
     spread = lambda df, key, side: df.withColumn("b", ring_box(F.col("ring"))).select(*on, key, F.col("ring").alias(side + "ring"), *[F.col(f"b.{c}").alias(side + c) for c in BOX])
-    pairs = box_pairs(spread(left, "l_id", "l"), spread(right, "r_id", "r"), size, on).select("l_id", "r_id", "lring", "rring", ring_area(F.col("lring")).alias("la"), ring_area(F.col("rring")).alias("ra"))
+    pairs = box_pairs(spread(left, "l_id", "l"), spread(right, "r_id", "r"), size, on).where(F.lit(not once) | (F.col("l_id") < F.col("r_id"))).select("l_id", "r_id", "lring", "rring", ring_area(F.col("lring")).alias("la"), ring_area(F.col("rring")).alias("ra"))
 
     def run(batches):
         for b in batches:
@@ -73,7 +74,7 @@ def ring_overlaps(left: DataFrame, right: DataFrame, size: float, on: list[str]
 
     got = pairs.mapInPandas(run, "l_id long, r_id long, la double, ra double, overlap double").where("overlap > 0")
     o, a, b = F.col("overlap"), F.col("la"), F.col("ra")
-    return got.select("l_id", "r_id", "overlap", (o / (a + b - o)).alias("iou"), (o / F.least(a, b)).alias("over_smaller"))
+    return got.select("l_id", "r_id", "overlap", (o / (a + b - o)).alias("iou"), (o / F.least(a, b)).alias("over_smaller"), F.col("la").alias("l_area"), F.col("ra").alias("r_area"))
 
 
 def union_areas(rows: DataFrame, group: list[str]) -> DataFrame:

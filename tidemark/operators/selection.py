@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import box_area, box_iou
+from tidemark.functions.geometry import box_area, box_iou, ring_area
 from tidemark.operators.graph import greedy_select
+from tidemark.operators.overlap import ring_overlaps, union_areas
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair, self_box_pairs, sides
 
 
@@ -14,6 +15,16 @@ def _pair_boxes() -> tuple[tuple, tuple]:
     return tuple(F.col("l" + c) for c in BOX), tuple(F.col("r" + c) for c in BOX)
 
 
+def _overlapping(objects: DataFrame, size: float, group: list[str]) -> DataFrame:
+    """Each pair that overlaps once: lid, rid, overlap, iou, l_area, r_area; by the outlines if there is a column ring, else by the boxes."""
+    if "ring" in objects.columns:
+        side = lambda name: objects.select(*group, F.col("id").alias(name), "ring")
+        return ring_overlaps(side("l_id"), side("r_id"), size, group, once=True).withColumnsRenamed({"l_id": "lid", "r_id": "rid"})
+    (a, b) = _pair_boxes()
+    pairs = self_box_pairs(objects, "id", size, group)
+    return pairs.select("lid", "rid", overlap_of_pair().alias("overlap"), box_iou(a, b).alias("iou"), box_area(a).alias("l_area"), box_area(b).alias("r_area"))
+
+
 def suppress(objects: DataFrame, size: float, iou: float = 0.4, near: float | None = None, group: list[str] | None = None) -> DataFrame:
     """objects (id, x1..y2, score) with leader and kept_from_n.
 
@@ -21,10 +32,11 @@ def suppress(objects: DataFrame, size: float, iou: float = 0.4, near: float | No
     kept one suppresses those of its group whose overlap with it is iou or more
     or, if near is given, whose centre is within near. leader is the kept
     object that suppressed a row (itself if kept), kept_from_n how many rows it
-    stands for. Boxes with null corners conflict with nothing.
+    stands for. Boxes with null corners conflict with nothing. Objects with a
+    column ring overlap by that outline; their boxes still give the centres.
     """
     group = group or []
-    pairs = self_box_pairs(objects, "id", size, group).where(box_iou(*_pair_boxes()) >= iou).select(F.col("lid").alias("a"), F.col("rid").alias("b"))
+    pairs = _overlapping(objects, size, group).where(F.col("iou") >= iou).select(F.col("lid").alias("a"), F.col("rid").alias("b"))
     if near is not None:
         centres = objects.select("id", *group, ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
         dots = centres.select("id", *group, F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
@@ -39,11 +51,10 @@ def suppress(objects: DataFrame, size: float, iou: float = 0.4, near: float | No
 
 def engulfing(objects: DataFrame, size: float, inside: float = 0.5, ratio: float = 0.25, group: list[str] | None = None) -> DataFrame:
     """Ids of objects with a strictly smaller one that lies in them by the share inside or more and is smaller than ratio of them."""
-    pairs = self_box_pairs(objects, "id", size, group)
-    (a, b) = _pair_boxes()
-    left, right = box_area(a), box_area(b)
+    pairs = _overlapping(objects, size, group or [])
+    left, right = F.col("l_area"), F.col("r_area")
     small, large = F.least(left, right), F.greatest(left, right)
-    bad = pairs.where((small < large) & (overlap_of_pair() >= inside * small) & (small / large < ratio))
+    bad = pairs.where((small < large) & (F.col("overlap") >= inside * small) & (small / large < ratio))
     return bad.select(F.when(left > right, F.col("lid")).otherwise(F.col("rid")).alias("id")).distinct()
 
 
@@ -53,17 +64,20 @@ def merge_under_leaders(objects: DataFrame, size: float, overlap: float = 0.15,
     The largest comes first (ties by id) and takes every remaining object that
     overlaps its own outline by more than overlap of the smaller of the two,
     if their areas differ by no more than min_ratio (None: whatever they are). nested drops engulfing
-    objects first. Groups under min_group members are left out.
+    objects first. Groups under min_group members are left out. Objects with a
+    column ring overlap and are ordered by that outline, and union_area is the
+    area that the members' outlines cover together.
     """
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    outlined = "ring" in objects.columns
+    area = ring_area(F.col("ring")) if outlined else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     rows = objects.join(engulfing(objects, size, group=group), "id", "left_anti") if nested else objects
-    pairs = self_box_pairs(rows, "id", size, group)
-    (a, b) = _pair_boxes()
-    small, large = F.least(box_area(a), box_area(b)), F.greatest(box_area(a), box_area(b))
-    linked = pairs.where(overlap_of_pair() > overlap * small)
+    pairs = _overlapping(rows, size, group or [])
+    small, large = F.least("l_area", "r_area"), F.greatest("l_area", "r_area")
+    linked = pairs.where(F.col("overlap") > overlap * small)
     if min_ratio is not None:
         linked = linked.where(small >= min_ratio * large)
     chosen = greedy_select(rows.withColumn("area", area), linked.select(F.col("lid").alias("a"), F.col("rid").alias("b")), [-F.col("area"), F.col("id")])
     joined = rows.join(chosen, "id")
     merged = joined.groupBy("leader").agg(F.count(F.lit(1)).alias("duplicate"), F.max("score").alias("score"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    return merged.where(F.col("duplicate") >= min_group)
+    merged = merged.where(F.col("duplicate") >= min_group)
+    return merged.join(union_areas(joined, ["leader"]), "leader") if outlined else merged

@@ -10,6 +10,8 @@ from tidemark.operators import dataset as D
 from tidemark.plans.fixtures import load, with_tables
 from tidemark.sources.manifest import canonical_tile
 
+#: Sites lie side by side.
+SITE_WIDTH = 512.0
 POLICY = D.Policy(deposits="crowd", small="drop", min_area=0.5)
 
 
@@ -19,8 +21,7 @@ def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.when(F.col("before_id") % 3 > 0, (24 + F.col("before_id") % 2).cast("int"))
     cls = D.class_of(F.when(F.col("before_id") % 9 == 0, "Deposit").when(F.col("before_id") % 4 == 0, "boulder"))
     objects = before.select(F.col("before_id").alias("object_id"), year.alias("year"), cls.alias("class"), (F.col("cx") - half).alias("x1"), (F.col("cy") - half).alias("y1"), (F.col("cx") + half).alias("x2"), (F.col("cy") + half).alias("y2"))
-    # one site: every object meets a few tiles
-    return D.clip_boxes(objects, tiles.where("site = 0"))
+    return D.clip_boxes(objects, tiles.withColumns({x: F.col(x) + F.col("site") * SITE_WIDTH for x in ("x1", "x2")}))
 
 
 def tile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +71,15 @@ QUERIES = {f.__name__: f for f in (tile_clip, dataset_counts, dihedral_variants,
 _CLIP = """
 o AS (SELECT before_id AS object_id, CASE WHEN before_id % 3 > 0 THEN 24 + before_id % 2 END AS year, CASE WHEN before_id % 9 = 0 THEN 1 ELSE 0 END AS class, side * side AS whole,
   cx - side / 2 AS a1, cy - side / 2 AS b1, cx + side / 2 AS a2, cy + side / 2 AS b2 FROM survey_before),
-k AS (SELECT object_id, tile_id, class, whole, greatest(a1, x1) AS x1, greatest(b1, y1) AS y1, least(a2, x2) AS x2, least(b2, y2) AS y2 FROM o JOIN tiles t ON site = 0 AND (o.year IS NULL OR o.year = t.year) AND a1 < x2 AND x1 < a2 AND b1 < y2 AND y1 < b2),
+k AS (SELECT object_id, tile_id, class, whole, greatest(a1, x1) AS x1, greatest(b1, y1) AS y1, least(a2, x2) AS x2, least(b2, y2) AS y2 FROM o JOIN (SELECT tile_id, year, x1 + site * 512 AS x1, y1, x2 + site * 512 AS x2, y2 FROM tiles) t ON (o.year IS NULL OR o.year = t.year) AND a1 < x2 AND x1 < a2 AND b1 < y2 AND y1 < b2),
 p AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, CASE WHEN class = 1 THEN 'deposit' WHEN whole < 0.5 THEN 'dropped_small' ELSE 'boulder' END AS outcome FROM k)"""
 _TURN = """
 i AS (SELECT gt_id AS ann_id, image_id, x, y, w, h, CAST(1600 AS DOUBLE) AS iw, CAST(1600 + image_id AS DOUBLE) AS ih, printf('24_%02d_%02d', image_id // 10, image_id % 10) AS stem FROM gt_boxes),
-n(variant) AS (VALUES ('orig'), ('fliph'), ('flipv'), ('rot90'), ('rot180'), ('rot270'), ('transpose'), ('antitranspose')),
-c AS (SELECT *, CASE WHEN variant IN ('orig', 'flipv') THEN x WHEN variant IN ('fliph', 'rot180') THEN iw - x WHEN variant IN ('rot90', 'transpose') THEN y ELSE ih - y END AS px,
-  CASE WHEN variant IN ('orig', 'fliph') THEN y WHEN variant IN ('flipv', 'rot180') THEN ih - y WHEN variant IN ('rot90', 'antitranspose') THEN iw - x ELSE x END AS py,
-  CASE WHEN variant IN ('orig', 'flipv') THEN x + w WHEN variant IN ('fliph', 'rot180') THEN iw - x - w WHEN variant IN ('rot90', 'transpose') THEN y + h ELSE ih - y - h END AS qx,
-  CASE WHEN variant IN ('orig', 'fliph') THEN y + h WHEN variant IN ('flipv', 'rot180') THEN ih - y - h WHEN variant IN ('rot90', 'antitranspose') THEN iw - x - w ELSE x + w END AS qy,
+n(variant) AS (VALUES ('orig'), ('hflip'), ('vflip'), ('rot90'), ('rot180'), ('rot270'), ('transpose'), ('antitranspose')),
+c AS (SELECT *, CASE WHEN variant IN ('orig', 'vflip') THEN x WHEN variant IN ('hflip', 'rot180') THEN iw - x WHEN variant IN ('rot270', 'transpose') THEN y ELSE ih - y END AS px,
+  CASE WHEN variant IN ('orig', 'hflip') THEN y WHEN variant IN ('vflip', 'rot180') THEN ih - y WHEN variant IN ('rot270', 'antitranspose') THEN iw - x ELSE x END AS py,
+  CASE WHEN variant IN ('orig', 'vflip') THEN x + w WHEN variant IN ('hflip', 'rot180') THEN iw - x - w WHEN variant IN ('rot270', 'transpose') THEN y + h ELSE ih - y - h END AS qx,
+  CASE WHEN variant IN ('orig', 'hflip') THEN y + h WHEN variant IN ('vflip', 'rot180') THEN ih - y - h WHEN variant IN ('rot270', 'antitranspose') THEN iw - x - w ELSE x + w END AS qy,
   variant IN ('rot90', 'rot270', 'transpose', 'antitranspose') AS swap, CASE WHEN variant = 'orig' THEN stem ELSE stem || '_' || variant END || '.png' AS file_name FROM i, n)"""
 
 ORACLES = {

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Statements in order: each may use the given tables and those before it.
+#: Statements in order: each may use the given tables and those before it. Rows that
+#: a statement adds have negative ids (odd and even ones where it adds twice), so that
+#: ids are unique at any size.
 STATEMENTS = {
     "survey_before": """
 SELECT p_partkey AS before_id,
@@ -25,13 +27,13 @@ SELECT before_id AS after_id,
   score
 FROM survey_before WHERE before_id % 11 <> 0
 UNION ALL
-SELECT 1000000 + before_id, cx + CAST(300 AS DOUBLE)/8, cy + CAST(170 AS DOUBLE)/8,
+SELECT -2 * before_id - 2, cx + CAST(300 AS DOUBLE)/8, cy + CAST(170 AS DOUBLE)/8,
   side, volume, orientation, score
 FROM survey_before WHERE before_id % 13 = 0""",
     "match_before": """
 SELECT before_id, cx, cy, side, volume, orientation, score FROM survey_before
 UNION ALL
-SELECT 2000000 + p_partkey*8 + v.i, CAST(p_partkey*8 AS DOUBLE) + v.dx, v.cy, CAST(1 AS DOUBLE), v.vol,
+SELECT -1 - (p_partkey*8 + v.i), CAST(p_partkey*8 AS DOUBLE) + v.dx, v.cy, CAST(1 AS DOUBLE), v.vol,
   CAST(90 AS DOUBLE), CAST(1 AS DOUBLE)/2
 FROM part CROSS JOIN (SELECT 0 AS i, CAST(0 AS DOUBLE)/8 AS dx, CAST(16 AS DOUBLE)/8 AS vol, CAST(2000 AS DOUBLE) AS cy
   UNION ALL SELECT 1, CAST(28 AS DOUBLE)/8, CAST(16 AS DOUBLE)/8, CAST(2000 AS DOUBLE)
@@ -42,7 +44,7 @@ WHERE p_partkey % 40 = 0""",
     "match_after": """
 SELECT after_id, cx, cy, side, volume, orientation, score FROM survey_after
 UNION ALL
-SELECT 2000000 + p_partkey*8 + v.i, CAST(p_partkey*8 AS DOUBLE) + v.dx, v.cy, CAST(1 AS DOUBLE), v.vol,
+SELECT -2 * (p_partkey*8 + v.i) - 1, CAST(p_partkey*8 AS DOUBLE) + v.dx, v.cy, CAST(1 AS DOUBLE), v.vol,
   CAST(90 AS DOUBLE), CAST(1 AS DOUBLE)/2
 FROM part CROSS JOIN (SELECT 0 AS i, CAST(24 AS DOUBLE)/8 AS dx, CAST(16 AS DOUBLE)/8 AS vol, CAST(2000 AS DOUBLE) AS cy
   UNION ALL SELECT 1, CAST(52 AS DOUBLE)/8, CAST(16 AS DOUBLE)/8, CAST(2000 AS DOUBLE)
@@ -75,7 +77,7 @@ SELECT gt_id*2 + 1, image_id, x + CAST(gt_id % 13 AS DOUBLE), y + 3, w + 4, h,
   CAST((gt_id*613) % 1000 AS DOUBLE)/1024
 FROM gt_boxes WHERE gt_id % 5 = 0
 UNION ALL
-SELECT 10000000 + o_orderkey, o_orderkey % 97, CAST((o_orderkey*71) % 1500 AS DOUBLE),
+SELECT -1 - o_orderkey, o_orderkey % 97, CAST((o_orderkey*71) % 1500 AS DOUBLE),
   CAST((o_orderkey*29) % 1500 AS DOUBLE), CAST(25 AS DOUBLE), CAST(30 AS DOUBLE),
   CAST((o_orderkey*331) % 1000 AS DOUBLE)/1024
 FROM orders WHERE o_orderkey % 33 = 1""",
@@ -91,8 +93,7 @@ SELECT CAST((o_orderkey - o_orderkey % 1024) / 1024 AS BIGINT) AS raster_id,
     + CASE WHEN (o_orderkey % 1024 - o_orderkey % 32) BETWEEN 64 AND 159 AND o_orderkey % 32 BETWEEN 2 AND 4 THEN CAST(3 AS DOUBLE)/2 ELSE CAST(0 AS DOUBLE) END AS z_before,
   5 + CAST((o_orderkey*13 + 1) % 5 AS DOUBLE)/128
     + CASE WHEN (o_orderkey % 1024 - o_orderkey % 32) BETWEEN 64 AND 159 AND o_orderkey % 32 BETWEEN 6 AND 8 THEN CAST(3 AS DOUBLE)/2 ELSE CAST(0 AS DOUBLE) END AS z_after
-FROM orders
-WHERE o_orderkey < (SELECT COUNT(*) - COUNT(*) % 1024 FROM orders)""",
+FROM orders""",
     "manual_ann": """
 SELECT before_id AS ann_fid, cx - side/2 + CAST(before_id % 5 AS DOUBLE)/16 AS x1,
   cy - side/2 AS y1, cx + side/2 + CAST(before_id % 5 AS DOUBLE)/16 AS x2, cy + side/2 AS y2

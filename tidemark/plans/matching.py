@@ -96,8 +96,8 @@ def survey_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcome_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _surveys(spark, sf_dir)
-    ids = before.where("before_id < 1000000").select("before_id")
-    others = after.where("after_id < 2000000").select("after_id")
+    ids = before.where("before_id >= 0").select("before_id")
+    others = after.where("after_id >= 0 OR after_id % 2 = 0").select("after_id")
     key = ids.join(others, ids.before_id == others.after_id, "full")
     return matching.outcome_accuracy(matching.outcomes(_found(spark, sf_dir)), key)
 
@@ -207,7 +207,7 @@ ORACLES = {
 SELECT before_id, after_id, dx, dy, round(dist, 6) AS distance, rotation, ba AS before_area, aa AS after_area, bv AS before_volume, av AS after_volume FROM matched"""),
     "survey_outcomes": with_tables(SURVEY, _OUTCOME + "\nSELECT outcome, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(dist), 6) AS max_distance FROM outcome GROUP BY outcome"),
     "outcome_accuracy": with_tables(SURVEY, _BEST + """,
-key AS (SELECT b.before_id, a.after_id FROM (SELECT before_id FROM match_before WHERE before_id < 1000000) b FULL JOIN (SELECT after_id FROM match_after WHERE after_id < 2000000) a ON a.after_id = b.before_id)
+key AS (SELECT b.before_id, a.after_id FROM (SELECT before_id FROM match_before WHERE before_id >= 0) b FULL JOIN (SELECT after_id FROM match_after WHERE after_id >= 0 OR after_id % 2 = 0) a ON a.after_id = b.before_id)
 SELECT expected, predicted, count(*) AS n FROM (
   SELECT CASE WHEN k.before_id IS NULL THEN 'appeared' WHEN k.after_id IS NULL THEN 'disappeared' ELSE 'match' END AS expected,
     CASE WHEN g.after_id = k.after_id THEN 'match' WHEN g.after_id IS NOT NULL OR r.before_id IS NOT NULL THEN 'wrong_match' WHEN k.before_id IS NOT NULL THEN 'disappeared' ELSE 'appeared' END AS predicted

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import geometry as G
 from tidemark.operators import raster as R
 from tidemark.plans.fixtures import load, with_tables
 
@@ -47,6 +48,29 @@ def ring_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("raster_id", "object_id", *[F.round(c, 6).alias(c) for c in ("volume", "mean_height", "max_height")])
 
 
+def _diamonds(cells: DataFrame) -> DataFrame:
+    """On each raster two diamonds whose places and sizes differ from raster to raster."""
+    i = F.col("raster_id")
+    made = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("object_id"), (3.5 + 4 * k + i % 3 / F.lit(4.0)).alias("cx"), (28.25 - i % 5 / F.lit(8.0)).alias("cy"), (2.125 + i % 4 / F.lit(2.0)).alias("s")) for k in (0, 1)]))
+    o = cells.select("raster_id").distinct().withColumn("o", made).select("raster_id", "o.*")
+    x, y, s = F.col("cx"), F.col("cy"), F.col("s")
+    return o.select("raster_id", "object_id", F.array(G.point(x + s, y), G.point(x, y + s), G.point(x - s, y), G.point(x, y - s)).alias("ring"))
+
+
+def outline_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change in the cells that an outline touches."""
+    cells = _cells(spark, sf_dir)
+    s = R.change_stats(_diamonds(cells), cells, ROWS, LOD)
+    return s.select("raster_id", "object_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_dz", "v_pos", "v_neg", "v_sum", "share_pos", "share_neg")])
+
+
+def outline_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume inside an outline above the median of the cells within one cell around it."""
+    cells = _cells(spark, sf_dir)
+    v = R.ring_volumes(_diamonds(cells), cells, ROWS, "z_before", 1.0)
+    return v.select("raster_id", "object_id", *[F.round(c, 6).alias(c) for c in ("volume", "mean_height", "max_height")])
+
+
 def _qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each raster's objects as a match (even rasters), or as a loss and a gain (odd ones)."""
     cells = _cells(spark, sf_dir)
@@ -93,7 +117,7 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sections(o, cells, "z_before").select("raster_id", "object_id", F.round("length", 6).alias("length"), F.round("area", 6).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (percentile_stretch, raster_align, dod_stats, ring_volume, dod_qc, qc_summary, elevation_accept, local_relief, cubic_base_volume, cross_section)}
+QUERIES = {f.__name__: f for f in (outline_change, outline_volume, percentile_stretch, raster_align, dod_stats, ring_volume, dod_qc, qc_summary, elevation_accept, local_relief, cubic_base_volume, cross_section)}
 
 _T = ["dsm_cells"]
 _OBJ = """o(object_id, x1, y1, x2, y2) AS (VALUES (CAST(0 AS BIGINT), 2, 27, 5, 30), (1, 6, 27, 9, 30)),
@@ -104,6 +128,20 @@ _RING = """o(object_id, x1, y1, x2, y2) AS (VALUES (CAST(0 AS BIGINT), 2, 27, 5,
 k AS (SELECT raster_id, object_id, z_before AS z, sqrt(power(greatest(x1 - (c + 0.5), c + 0.5 - x2, 0), 2) + power(greatest(y1 - (31.5 - r), 31.5 - r - y2, 0), 2)) AS away FROM dsm_cells, o),
 b AS (SELECT raster_id, object_id, median(z) AS base FROM k WHERE away > 0 AND away <= 0.5 GROUP BY ALL),
 v AS (SELECT k.raster_id, k.object_id, sum(greatest(z - base, 0)) AS volume, coalesce(avg(z - base) FILTER (z > base), 0) AS mean_height, max(greatest(z - base, 0)) AS max_height FROM k JOIN b USING (raster_id, object_id) WHERE away = 0 GROUP BY ALL)"""
+_DIAMOND = """d AS (SELECT raster_id, object_id, 3.5 + 4 * object_id + (raster_id % 3) / CAST(4 AS DOUBLE) AS cx, 28.25 - (raster_id % 5) / CAST(8 AS DOUBLE) AS cy, 2.125 + (raster_id % 4) / CAST(2 AS DOUBLE) AS s
+  FROM (SELECT DISTINCT raster_id FROM dsm_cells), (VALUES (CAST(0 AS BIGINT)), (1)) v(object_id))"""
+_DIAMOND_CHANGE = _DIAMOND + """,
+hit AS (SELECT d.raster_id, object_id, z_after - z_before AS dz FROM d JOIN dsm_cells c ON c.raster_id = d.raster_id
+  AND greatest(c - cx, cx - c - 1, 0) + greatest(31 - r - cy, cy - 32 + r, 0) <= s),
+st AS (SELECT d.raster_id, d.object_id, count(dz) AS n, avg(dz) AS mean_dz, sum(CASE WHEN dz > 0.1 THEN dz ELSE 0 END) AS v_pos, sum(CASE WHEN dz < -0.1 THEN -dz ELSE 0 END) AS v_neg, sum(dz) AS v_sum,
+  avg(CASE WHEN dz > 0.1 THEN 1 ELSE 0 END) AS share_pos, avg(CASE WHEN dz < -0.1 THEN 1 ELSE 0 END) AS share_neg FROM d JOIN hit USING (raster_id, object_id) GROUP BY ALL)
+SELECT d.raster_id, d.object_id, coalesce(n, 0) AS n, round(mean_dz, 6) AS mean_dz, coalesce(round(v_pos, 6), 0) AS v_pos, coalesce(round(v_neg, 6), 0) AS v_neg, coalesce(round(v_sum, 6), 0) AS v_sum, coalesce(round(share_pos, 6), 0) AS share_pos, coalesce(round(share_neg, 6), 0) AS share_neg
+FROM d LEFT JOIN st USING (raster_id, object_id)"""
+_DIAMOND_VOLUME = _DIAMOND + """,
+q AS (SELECT d.raster_id, object_id, z_before AS z, s, abs(c + 0.5 - cx) AS dx, abs(31.5 - r - cy) AS dy, greatest(0, least(1, ((dy - dx) / s + 1) / 2)) AS t FROM d JOIN dsm_cells c ON c.raster_id = d.raster_id),
+b AS (SELECT raster_id, object_id, median(z) AS base FROM q WHERE dx + dy > s AND sqrt(power(dx - s * (1 - t), 2) + power(dy - s * t, 2)) <= 1 GROUP BY ALL),
+v AS (SELECT q.raster_id, q.object_id, sum(greatest(z - base, 0)) AS volume, coalesce(avg(z - base) FILTER (z > base), 0) AS mean_height, max(greatest(z - base, 0)) AS max_height FROM q JOIN b USING (raster_id, object_id) WHERE dx + dy <= s GROUP BY ALL)
+SELECT d.raster_id, d.object_id, round(volume, 6) AS volume, round(mean_height, 6) AS mean_height, round(max_height, 6) AS max_height FROM d LEFT JOIN v USING (raster_id, object_id)"""
 _LABELS = _OBJ + """,
 p AS (SELECT a.raster_id, a.v_neg AS neg, b.v_pos AS pos, a.v_pos AS pos0, b.v_neg AS neg1 FROM st a JOIN st b ON a.raster_id = b.raster_id AND a.object_id = 0 AND b.object_id = 1),
 q AS (SELECT raster_id, 'matches' AS layer, CASE WHEN neg >= 0.5 AND pos >= 0.5 THEN 'consistent_move' WHEN neg >= 0.5 THEN 'move_source_only' WHEN pos >= 0.5 THEN 'move_sink_only' ELSE 'move_weak_dod' END AS label,
@@ -112,6 +150,8 @@ q AS (SELECT raster_id, 'matches' AS layer, CASE WHEN neg >= 0.5 AND pos >= 0.5
   UNION ALL SELECT raster_id, 'appeared', CASE WHEN pos >= 0.5 THEN 'likely_missed_mover_sink' WHEN neg1 >= 0.5 THEN 'unexpected_depletion' ELSE 'weak_or_true_gain' END, NULL FROM p WHERE raster_id % 2 = 1)"""
 
 ORACLES = {
+    "outline_change": with_tables(_T, _DIAMOND_CHANGE),
+    "outline_volume": with_tables(_T, _DIAMOND_VOLUME),
     "percentile_stretch": with_tables(_T, """p AS (SELECT raster_id, quantile_cont(z_before, 0.02) AS lo, quantile_cont(z_before, 0.98) AS hi FROM dsm_cells GROUP BY raster_id)
 SELECT d.raster_id, r, c, CAST(floor(greatest(0, least(1, (z_before - lo) / greatest(hi - lo, 1e-6))) * 255) AS INT) AS byte FROM dsm_cells d JOIN p ON p.raster_id = d.raster_id"""),
     "raster_align": with_tables(_T, """SELECT t.raster_id, t.r, t.c, round(0.75 * 0.5 * a.z_after + 0.75 * 0.5 * b.z_after + 0.25 * 0.5 * e.z_after + 0.25 * 0.5 * f.z_after, 6) AS z FROM dsm_cells t

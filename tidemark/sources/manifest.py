@@ -28,7 +28,15 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
 
 
 #: Suffixes of turned pictures, in the order in which they are tried.
-VARIANT_SUFFIXES = ["antitranspose", "transpose", "rot90", "rot180", "rot270", "fliph", "flipv"]
+VARIANT_SUFFIXES = ["antitranspose", "transpose", "rot90", "rot180", "rot270", "hflip", "vflip"]
+#: Forms of tile names with the year that each implies (0: its first group, null: none), in the order in which they are tried.
+TILE_FORMS = [
+    (r"^(24|25)_.+_(\d+)_(\d+)$", 0),
+    (r"^(24|25)_(\d+)_(\d+)$", 0),
+    (r"^Sites1and2_2024_Orthomosaic()_(\d+)_(\d+)$", 24),
+    (r"^25IniSouthOrt()_(\d+)_(\d+)$", 25),
+    (r"^()(\d+)_(\d+)$", None),
+]
 
 
 def strip_variant(name: Column) -> Column:
@@ -37,11 +45,17 @@ def strip_variant(name: Column) -> Column:
 
 
 def tile_key(name: Column) -> Column:
-    """struct<year,tile_row,tile_col> of a file or tile name: YY_R_C, or R_C without a year; null if it is neither."""
+    """struct<year,tile_row,tile_col> of a file or tile name in one of TILE_FORMS, with or without a variant; null if it is in none.
+
+    YY_..._R_C and YY_R_C, the two orthomosaics' own names, and R_C, which has no year.
+    """
     stem = strip_variant(F.regexp_replace(F.substring_index(name, "/", -1), r"\.[A-Za-z]+$", ""))
-    full, bare = r"^(2[45])_(\d+)_(\d+)$", r"^(\d+)_(\d+)$"
-    got = lambda p, k: F.nullif(F.regexp_extract(stem, p, k), F.lit("")).cast("int")
-    return F.when(stem.rlike(full), F.struct(got(full, 1).alias("year"), got(full, 2).alias("tile_row"), got(full, 3).alias("tile_col"))).when(stem.rlike(bare), F.struct(F.lit(None).cast("int").alias("year"), got(bare, 1).alias("tile_row"), got(bare, 2).alias("tile_col")))
+    out = None
+    for form, year in TILE_FORMS:
+        number = lambda k: F.regexp_extract(stem, form, k).try_cast("int")  # noqa: B023, E731
+        key = F.struct((number(1) if year == 0 else F.lit(year).cast("int")).alias("year"), number(2).alias("tile_row"), number(3).alias("tile_col"))
+        out = F.when(stem.rlike(form), key) if out is None else out.when(stem.rlike(form), key)
+    return out
 
 
 def canonical_tile(year: Column, row: Column, col: Column) -> Column:
