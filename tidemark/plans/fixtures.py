@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Statements in order: each may use the given tables and those before it. Rows that
 #: a statement adds have negative ids (odd and even ones where it adds twice), so that
-#: ids are unique at any size.
+#: ids are unique at any size. A grid has 1,024 cells: the orders after the last whole grid make none.
 STATEMENTS = {
     "survey_before": """
 SELECT p_partkey AS before_id,
@@ -93,7 +93,8 @@ SELECT CAST((o_orderkey - o_orderkey % 1024) / 1024 AS BIGINT) AS raster_id,
     + CASE WHEN (o_orderkey % 1024 - o_orderkey % 32) BETWEEN 64 AND 159 AND o_orderkey % 32 BETWEEN 2 AND 4 THEN CAST(3 AS DOUBLE)/2 ELSE CAST(0 AS DOUBLE) END AS z_before,
   5 + CAST((o_orderkey*13 + 1) % 5 AS DOUBLE)/128
     + CASE WHEN (o_orderkey % 1024 - o_orderkey % 32) BETWEEN 64 AND 159 AND o_orderkey % 32 BETWEEN 6 AND 8 THEN CAST(3 AS DOUBLE)/2 ELSE CAST(0 AS DOUBLE) END AS z_after
-FROM orders""",
+FROM orders
+WHERE o_orderkey < (SELECT COUNT(*) - COUNT(*) % 1024 FROM orders)""",
     "manual_ann": """
 SELECT before_id AS ann_fid, cx - side/2 + CAST(before_id % 5 AS DOUBLE)/16 AS x1,
   cy - side/2 AS y1, cx + side/2 + CAST(before_id % 5 AS DOUBLE)/16 AS x2, cy + side/2 AS y2
