@@ -37,12 +37,12 @@ def brute_contamination(docs, items, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [1 << 20, 200])
+def test_contamination_against_brute_force(spark, block_windows):
     rows = documents()
     items = [(k, r[1]) for k, r in enumerate(rows[5:25])] + [(90, None), (91, "..."), (92, "A b"), (92, "A b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.judged(decontam.find_contamination(spark.createDataFrame(rows, SCHEMA), bench, 4, block_bytes))
+    found = decontam.judged(decontam.find_contamination(spark.createDataFrame(rows, SCHEMA), bench, 4, block_windows))
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in found.collect()), key=repr)
     assert got == brute_contamination([r[:2] for r in rows], items, 4)
 
@@ -53,6 +53,8 @@ def test_contaminated_spans_map_to_the_original(spark):
     bench = spark.createDataFrame([(5, "one TWO three, four")], "item_id long, text string")
     (row,) = decontam.contaminated_spans(docs, bench).collect()
     assert [text[s.start : s.end] for s in row.spans] == ["ONE two\nthree!! four"]
+    again = docs.union(docs).unionByName(spark.createDataFrame([(1, "none of it", 0), (None, text, 1), (None, None, 2)], docs.schema)).withColumn("spans", F.lit(1)).withColumn("h", F.lit(2))
+    assert sorted((str(r.doc_id), [text[s.start : s.end] for s in r.spans]) for r in decontam.contaminated_spans(again, bench).collect()) == [("1", ["ONE two\nthree!! four"])] * 2 + [("None", ["ONE two\nthree!! four"])]
     assert decontam.decontaminate(docs, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 1
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0

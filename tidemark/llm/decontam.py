@@ -1,13 +1,16 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test texts.
 
 Texts are normalised byte by byte (ASCII letters lowered, other ASCII marks
-to spaces), so that words stand between single spaces; each 13-word window of
-an item, with a space at either end, is a pattern. One pass of the automaton
-over a normalised document finds every occurrence of every window; places map
-to word numbers and from there to the original text.
-
-The benchmark is sent to the executors in blocks of at most BLOCK_BYTES of
-text, whatever its size; with one block (any usual benchmark) nothing is
+to spaces) and cut into words; each distinct word of the benchmark gets a letter
+of its own, so that a 13-word window of an item is a pattern of 13 letters and a
+document a string of as many letters as it has words, those of no item being one
+letter that no pattern holds. One pass of the automaton over that string
+finds every occurrence of every window; places are word numbers, which map to
+the original text.
+
+The benchmark is sent to the executors in blocks of at most BLOCK_WINDOWS windows
+(or one item), whatever its size, as the items' texts: workers build the
+automaton, of some 1 KB a window. With one block (any usual benchmark) nothing is
 shuffled, with more the hits of the blocks are combined by row.
 """
 
@@ -16,8 +19,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ from tidemark.llm.common import BROADCAST_BYTES
 from tidemark.storage import stored
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+#: Windows of a block: some 0.2 GB in a Python worker.
+BLOCK_WINDOWS = 200_000
 #: Bytes of words stay (letters lowered); every other ASCII byte becomes a space.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: A word in a text whose letters are not lowered.
@@ -40,41 +44,45 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """The patterns of one block; builds its automaton where and when it is first used."""
+    """The items of one block; builds its letters and automaton where and when it is first used."""
 
-    def __init__(self, windows: dict[bytes, list[int]]):
-        self.windows = windows
+    def __init__(self, items: list[tuple[int, str]], window: int):
+        self.items, self.window = items, window
         self.automaton = None
 
     def ready(self):
         if self.automaton is None:
             import ahocorasick
 
-            self.automaton = ahocorasick.Automaton()
-            for w, items in self.windows.items():
-                # bytes as code points: a place in the string is a place in the bytes
-                self.automaton.add_word(" " + w.decode("latin-1") + " ", (w.count(b" ") + 1, items))
-            if self.windows:
+            self.automaton, self.letters = ahocorasick.Automaton(), {}
+            for item, text in self.items:
+                found = words(text)
+                # letters from 1 on, without the surrogates; 0 stands for all other words
+                for w in found:
+                    if w not in self.letters:
+                        n = len(self.letters) + 1
+                        self.letters[w] = chr(n if n < 0xD800 else n + 0x800)
+                line = "".join(map(self.letters.get, found))
+                for k in range(max(1, len(line) - self.window + 1) if line else 0):
+                    pattern = line[k : k + self.window]
+                    n, ids = self.automaton.get(pattern, (len(pattern), []))
+                    if item not in ids:
+                        ids.append(item)
+                        self.automaton.add_word(pattern, (n, ids))
+            if len(self.automaton):
                 self.automaton.make_automaton()
         return self.automaton
 
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Word ranges (first, last; merged) inside occurrences of windows, and the items they are of."""
         automaton = self.ready()
-        if not self.windows or not found:
+        if not len(automaton) or not found:
             return [], set()
-        line = " " + b" ".join(found).decode("latin-1") + " "
-        ends, lens, items = [], [], set()
-        for end, (n, ids) in automaton.iter(line):
-            ends.append(end)
-            lens.append(n)
+        spans, items = [], set()
+        for last, (n, ids) in automaton.iter("".join(map(self.letters.get, found, repeat("\x00")))):
+            spans.append((last - n + 1, last))
             items.update(ids)
-        if not ends:
-            return [], items
-        # a word ends before each space but the first: the match's last word is that of its last space
-        spaces = np.cumsum([len(w) + 1 for w in found])
-        last = np.searchsorted(spaces, np.array(ends))
-        return merged(list(zip((last - np.array(lens) + 1).tolist(), last.tolist()))), items
+        return merged(spans), items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -87,35 +95,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_windows(item_id: int, text: str | None, window: int = WINDOW) -> Iterator[tuple[bytes, int]]:
-    w = words(text)
-    if w:
-        for k in range(max(1, len(w) - window + 1)):
-            yield b" ".join(w[k : k + window]), item_id
-
-
-def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Matcher]:
+def blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Matcher]:
     """The benchmark in blocks of bounded size; rows reach the driver one partition at a time."""
-    held: dict[bytes, list[int]] = {}
+    held: list[tuple[int, str]] = []
     size = 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        for w, i in item_windows(r[0], r[1], window):
-            ids = held.setdefault(w, [])
-            if i not in ids:
-                ids.append(i)
-        size += len(r[1] or "")
-        if size >= block_bytes:
-            yield Matcher(held)
-            held, size = {}, 0
+    # an item has no more windows than words
+    for r in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
+        n = len(words(r["text"]))
+        if held and size + n > block_windows:
+            yield Matcher(held, window)
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += n
     if held:
-        yield Matcher(held)
+        yield Matcher(held, window)
 
 
 def _digest(items: list) -> str:
     return sha256(",".join(sorted(str(i) for i in items)).encode()).hexdigest()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, thash (xxhash64 of the text), n_words, hit_words (ranges of word numbers), items (ids, sorted).
 
     docs needs doc_id and text, benchmark item_id and text; other columns are
@@ -149,13 +149,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return run
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
-    found: list[DataFrame] = []
-    for k, matcher in enumerate(blocks(benchmark, window, block_bytes)):
+    found: list[DataFrame] = []  # one scan a block
+    for k, matcher in enumerate(blocks(benchmark, window, block_windows)):
         found.append(rows.mapInArrow(scanner(spark.sparkContext.broadcast(matcher), k == 0), schema))
         if k:
             found[-1] = stored(found[-1])
     if not found:
-        found = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(Matcher({})), True), schema)]
+        found = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(Matcher([], window)), True), schema)]
     if len(found) > 1:
         more = found[1]
         for f in found[2:]:
@@ -202,21 +202,31 @@ def original_offsets(text: str | None, ranges: list[tuple[int, int]]) -> list[tu
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, spans (start, end in code points of the original text) of every row that has hits."""
-    found = judged(find_contamination(docs, benchmark, window)).where("n_hit > 0").select("doc_id", "hit_words")
+    """doc_id, spans (start, end in code points of the original text) of every row that has hits.
+
+    docs needs doc_id and text; other columns are ignored. Null and empty texts
+    have no hits. Rows that share an id, or have none, have the spans of their own
+    text; repeated rows are repeated. No hits, or an empty table: no rows.
+    """
+    found = judged(find_contamination(docs, benchmark, window)).where("n_hit > 0").select("doc_id", "thash", "hit_words").distinct()
 
-    @F.udf("array<struct<start:int,end:int>>")
-    def offsets(text, ranges):
-        return original_offsets(text, [(r["first"], r["last"]) for r in ranges])
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for b in batches:
+            spans = [[{"start": s, "end": e} for s, e in original_offsets(t.as_py(), [(r["first"], r["last"]) for r in hits])] for t, hits in zip(b.column(1), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    d = docs.select(F.col("doc_id").alias("id"), "text")
-    return d.join(found, d.id.eqNullSafe(found.doc_id)).select("doc_id", offsets("text", "hit_words").alias("spans"))
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
+    both = d.join(found, d.id.eqNullSafe(found.doc_id) & (d.h == found.thash))
+    return both.select("doc_id", "text", "hit_words").mapInArrow(offsets, "doc_id long, spans array<struct<start:int,end:int>>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns.
 
-    Rows that share an id, or have none, are judged each by its own text.
+    Rows that share an id, or have none, are judged each by its own text. Null
+    and empty texts stay, repeated rows stay or go together, an empty benchmark
+    keeps every row, an empty table gives no rows.
     """
     bad = stored(judged(find_contamination(docs, benchmark, window)).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("thash").alias("bad_hash")).distinct())
     small = F.broadcast(bad) if bad.count() * 64 <= BROADCAST_BYTES else bad
