@@ -22,7 +22,7 @@ def test_held_out_accuracy(spark):
 def test_votes_are_exact():
     texts = ["plain words in a row", "MORE!! NOISE!!", "other words here", "NOISE $$$ ###", "words and words"] * 3
     labels = [1, 0, 1, 0, 1] * 3
-    space = quality.Space(texts, labels, 4)
+    space = quality.Space(quality.features(texts), labels, 4)
     asked = ["some words", "", "$$$ !!!", None, "x" * 100000]
     v = space.project(asked)
     want = []
@@ -31,7 +31,7 @@ def test_votes_are_exact():
         w = [max(s, 1e-3) ** quality.SHARPNESS for s, _ in near]
         want.append(sum(a * l for a, (_, l) in zip(w, near)) / sum(w))
     assert np.allclose(space.score(asked), want, atol=1e-3)
-    assert (quality.Space([], []).score(asked) == 0.5).all()
+    assert (quality.Space(quality.features([]), []).score(asked) == 0.5).all()
 
 
 def test_odd_rows_and_labels(spark):

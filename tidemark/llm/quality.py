@@ -12,10 +12,12 @@ closest are averaged, weighted by similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,9 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 
 class Space:
-    """Weights, latent axes and labelled vectors learnt from a sample."""
+    """Weights, latent axes and labelled vectors learnt from the features of a sample."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], dimensions: int = DIMENSIONS):
-        x = features(texts)
+    def __init__(self, x: np.ndarray, labels: list[int], dimensions: int = DIMENSIONS):
         self.weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         x *= self.weights
         self.centre = x.mean(axis=0) if len(x) else np.zeros(x.shape[1], np.float32)
@@ -121,15 +122,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     """The space of at most sample[label] labelled rows of each label, none of them held out.
 
     Rows are taken by the smallest hash of their id. Null labels and null ids
-    teach nothing; an id with several labels counts once for each.
+    teach nothing; an id with several labels counts once for each, and of an id's
+    rows the one whose text has the smallest hash teaches. Features are computed
+    in tasks: vectors of fixed width come to the driver, 30 KB each.
     """
     usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = usable.where("quality = 0").orderBy(*order).limit(sample[0]).union(usable.where("quality = 1").orderBy(*order).limit(sample[1]))
     d = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = d.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
-    return Space([r["text"] for r in rows], [r["quality"] for r in rows])
+    wanted = d.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("h"))
+    first = wanted.groupBy("doc_id", "quality").agg(F.min_by("text", "h").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                x = [zlib.compress(v.tobytes(), 1) for v in features(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
+
+    typed = first.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = typed.mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
+    x = np.zeros((len(rows), WIDE * WIDE + LAYOUT), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
+    return Space(x, [r["quality"] for r in rows])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
@@ -156,7 +173,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = S
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """The rows of docs that are not rejected (score under 0.5), with all their columns, without a shuffle."""
+    """The rows of docs that are not rejected (score under 0.5), with all their columns, without a shuffle.
+
+    Cases as for score_quality(): null and empty texts are scored like any
+    other, repeated rows stay or go together, an empty table gives no rows, and
+    without labelled rows all stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 
     @F.pandas_udf("double")
