@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, hex_sha256, join_sized
+from tidemark.llm.common import HOT_ROWS, SPACES, hex_sha256, join_groups
 from tidemark.storage import stored
 
 
@@ -34,21 +34,22 @@ def exact_dedup(docs: DataFrame, hash128: Column | None = None) -> DataFrame:
     base = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     hashed = stored(base.select("doc_id", F.unhex(hash128).alias("h"), F.unhex(hex_sha256(F.col("norm"))).alias("sha")))
     groups = stored(hashed.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    repeated = groups.select("h", F.col("keep_id").alias("first_id"))
-    # Bytes are compared only where a hash repeats: 16 + 8 bytes a group in memory, padded.
-    suspects = join_sized(base.withColumn("h", F.unhex(hash128)), repeated, ["h"], "inner", groups.count() * 64)
-    suspects = stored(suspects.select("h", "doc_id", "first_id", "norm"))
-    keepers = suspects.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("h", F.col("norm").alias("kept_norm")).groupBy("h").agg(F.min("kept_norm").alias("kept_norm"))
-    compared = suspects.join(stored(keepers), "h").select("h", "doc_id", "norm", (F.col("norm") == F.col("kept_norm")).alias("same"))
+    repeated = groups.select("h", F.col("keep_id").alias("first_id"), "n")
+    # Bytes are compared only where a hash repeats. A large group is dealt to as many tasks as it needs, the text that stays to each.
+    dealt = F.floor(F.rand(7) * (1 + F.floor(F.col("n") / HOT_ROWS))).cast("long")
+    suspects = stored(join_groups(base.withColumn("h", F.unhex(hash128)), repeated, "h").select("h", "doc_id", "first_id", "norm", "n", dealt.alias("deal")))
+    keepers = suspects.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("kept_norm"), F.max("n").alias("kept_n"))
+    keepers = stored(keepers).select("h", "kept_norm", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("kept_n") / HOT_ROWS).cast("long"))).alias("deal"))
+    compared = suspects.join(keepers, ["h", "deal"]).select("h", "doc_id", "norm", (F.col("norm") == F.col("kept_norm")).alias("same"))
     other = stored(compared.where(~F.col("same")).select("h", "doc_id", F.unhex(hex_sha256(F.col("norm"))).alias("sha"), "norm"))
     if other.isEmpty():
-        members = hashed.join(groups, "h", "left").select("doc_id", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"))
+        members = join_groups(hashed, groups, "h", "left").select("doc_id", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"))
     else:
         # Collisions: (h, bytes) tell the groups apart, the rest of the group shrinks by as many rows.
         split = stored(other.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.first("sha").alias("sha"))).select("h", "sha", "keep_id", "n")
         odd = split.select("h", "sha", F.col("keep_id").alias("odd_keep"), F.col("n").alias("odd_n"))
         lost = split.groupBy("h").agg(F.sum("n").alias("lost"))
-        members = hashed.join(groups.join(lost, "h", "left"), "h", "left").join(odd, ["h", "sha"], "left").select(
+        members = join_groups(hashed, groups.join(lost, "h", "left"), "h", "left").join(odd, ["h", "sha"], "left").select(
             "doc_id",
             "sha",
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.coalesce("odd_keep", F.when(F.col("odd_n").isNull(), F.col("keep_id")))).alias("keep_id"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES
+from tidemark.llm.common import BROADCAST_BYTES, join_groups
 from tidemark.operators.graph import components
 from tidemark.storage import stored
 
@@ -189,19 +189,21 @@ def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE
 def _labelled(docs: DataFrame, bits: int, shingle: int) -> DataFrame:
     """fingerprints()'s rows with component_id."""
     fps = stored(fingerprints(docs, shingle))
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
     roots = stored(components(link_edges(distinct.select(F.col("fp").alias("rep"), "fp"), bits)))
-    named = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    labels = stored(named.join(least, "root").select("fp", "component_id"))
-    return fps.join(labels, "fp")
+    named = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root")))
+    least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    labels = stored(join_groups(named, least, "root").select("fp", "component_id", F.col("rows").alias("n")))
+    return join_groups(fps, labels, "fp").drop("n")
 
 
 def near_dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs with one document of each component: that with the smallest doc_id.
 
     Of rows that repeat the kept id, all stay. Rows without an id stay. Rows
-    that share an id are judged each by its own text.
+    that share an id are judged each by its own text. Null and empty texts are
+    near copies of one another (fingerprint zero). Other columns stay as they
+    are, whatever their names. An empty table gives no rows.
     """
     drop = stored(_labelled(docs, bits, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("thash").alias("drop_hash")).distinct())
     small = F.broadcast(drop) if drop.count() * 64 <= BROADCAST_BYTES else drop
