@@ -33,8 +33,10 @@ from tidemark.storage import stored
 
 #: Characters in a block, slots in a period, exponent that smooths shares.
 BLOCK_CHARS, PERIOD, EXPONENT = 1 << 16, 1000, 0.5
-#: Ranges of the hash into which a source is cut for counting: bits.
-CUT_BITS = 10
+#: Ranges of the hash into which a source is cut for counting: the least number of bits; more if a cut of 2**20 rows of all needs them.
+CUT_BITS, CUT_ROWS = 10, 1 << 20
+#: What mix() adds.
+MIX_COLUMNS = ["mix_source", "mix_block", "mix_slot", "mix_order"]
 #: Weights are whole multiples of one part in so many.
 PARTS = 1 << 60
 
@@ -140,20 +142,35 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     text and source. A null source counts as the empty one; sources that weights
     leave out come after all others; null text is empty; a document longer than
     a block takes the slot it starts in. Rows that tie in id stand in the order
-    of their texts' lengths, equal rows are interchangeable. Columns of docs
-    named mix_... must be renamed before. An empty table gives no rows. A period
+    of their texts' lengths, equal rows are interchangeable; rows without an id
+    go by a hash of their text. Columns of docs that bear one of the new names give
+    way to them here and stay in in_mixed_order(). An empty table gives no rows. A period
     that is given is repeated as it is, with whole slots for weights; by default
     the weights are exact and the rounding is carried on.
     """
+    timed = _timed(docs, weights, block_chars, period)
+    return timed.select(*[F.col(f"mix_c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in MIX_COLUMNS], *MIX_COLUMNS)
+
+
+def _timed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, period: int | None) -> DataFrame:
+    """The columns of docs, as mix_c0, mix_c1, ..., mix_id (the doc_id) and MIX_COLUMNS."""
     spark = docs.sparkSession
     weights = smoothed_weights(docs) if weights is None else weights
-    hashed = F.xxhash64("doc_id")
-    rows = docs.withColumns({"mix_source": F.coalesce("source", F.lit("")), "mix_order": hashed, "mix_cut": F.shiftrightunsigned(hashed, 64 - CUT_BITS), "mix_chars": F.length(F.coalesce("text", F.lit(""))).cast("long")})
-    # Characters before each cut of a source: at most 2**CUT_BITS rows a source.
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    bits = max(CUT_BITS, (docs.count() // CUT_ROWS).bit_length())
+    rows = docs.select(
+        *[docs[c].alias(f"mix_c{k}") for k, c in enumerate(docs.columns)],
+        F.col("doc_id").alias("mix_id"),
+        F.coalesce("source", F.lit("")).alias("mix_source"),
+        hashed.alias("mix_order"),
+        F.shiftrightunsigned(hashed, 64 - bits).alias("mix_cut"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("mix_chars"),
+    )
+    # Characters before each cut of a source: at most 2**bits rows a source.
     cuts = rows.groupBy("mix_source", "mix_cut").agg(F.sum("mix_chars").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = stored(cuts.withColumn("mix_before", before).withColumnRenamed("n", "mix_own"))
-    own = Window.partitionBy("mix_source", "mix_cut").orderBy("mix_order", "doc_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("mix_source", "mix_cut").orderBy("mix_order", "mix_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("mix_chars", F.coalesce(F.sum("mix_chars").over(own), F.lit(0)))
     placed = placed.join(cuts, ["mix_source", "mix_cut"]).drop("mix_own").withColumn("mix_block", F.floor((F.col("mix_before") + F.col("mix_chars")) / block_chars))
     ends = cuts.groupBy("mix_source").agg(F.max(F.col("mix_before") + F.col("mix_own")).alias("n")).collect()
@@ -164,11 +181,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     times = plan.repartition("period").mapInPandas(laid_out, "mix_source string, mix_block long, mix_slot long")
     small = sum(n for s, n in blocks.items() if s in weights) * 128 <= BROADCAST_BYTES
     timed = placed.join(F.broadcast(times) if small else times, ["mix_source", "mix_block"], "left")
-    return timed.select(*[docs[c] for c in docs.columns], "mix_source", "mix_block", F.coalesce("mix_slot", F.lit((1 << 62)) + F.col("mix_block")).alias("mix_slot"), "mix_order")
+    return timed.select(*[f"mix_c{k}" for k in range(len(docs.columns))], "mix_id", "mix_source", "mix_block", F.coalesce("mix_slot", F.lit((1 << 62)) + F.col("mix_block")).alias("mix_slot"), "mix_order")
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of docs, written out in the order of the mix: partition by partition, row by row."""
-    keys = ["mix_slot", "mix_source", "mix_order", "doc_id"]
-    mixed = mix(docs, **options)
-    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
+    """The rows and columns of docs, written out in the order of the mix: partition by partition, row by row.
+
+    Every row stays, with its columns, whatever their names. Cases as for mix().
+    """
+    keys = ["mix_slot", "mix_source", "mix_order", "mix_id"]
+    mixed = _timed(docs, weights, block_chars, period)
+    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[F.col(f"mix_c{k}").alias(c) for k, c in enumerate(docs.columns)])
