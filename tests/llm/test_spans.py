@@ -1,8 +1,11 @@
+import math
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.cases import SCHEMA, documents
@@ -79,7 +82,7 @@ def test_queries_against_brute_force(spark, query, patterns):
 
 
 def test_boosting_separates_and_calibrates():
-    counts = [((1, 3, 2, 1, 1, 0, 0, 0), 90, 3), ((1, 0, 1, 1, 0, 0, 0, 0), 1, 400), ((1, 4, 3, 1, 0, 0, 1, 0), 60, 0), ((0, 0, 2, 4, 0, 1, 0, 0), 50, 1)]
+    counts = [((1, 3, 2, 1, 1, 0, 0), 90, 3), ((1, 0, 1, 1, 0, 0, 0), 1, 400), ((1, 4, 3, 1, 0, 0, 1), 60, 0), ((0, 0, 2, 4, 0, 1, 0), 50, 1)]
     model = pii.boost(counts)
     score = lambda v: model[0] + sum(pii.leaf(t, v) for t in model[1])
     assert min(score(c[0]) for c in (counts[0], counts[2], counts[3])) > score(counts[1][0])
@@ -87,6 +90,69 @@ def test_boosting_separates_and_calibrates():
     assert pii.threshold([], pii.boost([])) == float("inf")
 
 
+def personal(n, seed=3):
+    """(text, kind of what it hides from the base patterns or None): announced and bare formats, and numbers that are nobody's."""
+    rng = random.Random(seed)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    say = lambda: " ".join(rng.choice(TEXT_OF_NAMES.split()) for _ in range(4))
+    out = []
+    for k in range(n):
+        cue = rng.random() < 0.95
+        out.append((f"{say()} {'call ' if cue else ''}({d(3)}) {d(3)}-{d(4)} {say()}", "phone"))
+        out.append((f"{say()} {'mail ' if cue else ''}{rng.choice(TEXT_OF_NAMES.split())} (at) x{k}.example (dot) com {say()}", "email"))
+        out.append((f"{say()} page {d(3)}-{d(4)} {say()}", None))
+        out.append((f"{say()} {d(9)} {say()}", None))
+        out.append((f"{say()} mail {rng.choice(TEXT_OF_NAMES.split())}@x{k}.org {say()}", None))
+    return out
+
+
+def test_trees_report_formats_that_the_base_patterns_miss(spark):
+    rows = personal(200)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.spans if s not in r.base] for r in pii.find_pii(df).collect()}
+    hidden = [k for k, (_, kind) in enumerate(rows) if kind]
+    recall = sum(rows[k][1] in found[k] for k in hidden) / len(hidden)
+    right = sum(rows[k][1] is not None for k in found if found[k]) / max(1, sum(bool(f) for f in found.values()))
+    print("recall", recall, "precision", right)
+    assert recall >= 0.9 and right >= 0.9
+
+
+def test_departures_against_plain_ones(spark):
+    rng = random.Random(9)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for _, _, a in secret_scan.ENCODINGS for n in (20, 33, 64)] + ["a" * 30, "ABAB" * 8]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = df.select("t", secret_scan.encoding(F.col("t")).alias("e")).select("t", "e", secret_scan.departures(F.col("t"), F.col("e")).alias("z")).collect()
+    for r in got:
+        e = next(k for k, (_, p, _) in enumerate(secret_scan.ENCODINGS) if not p or re.match(p, r.t))
+        assert r.e == e
+        x, size, n = [secret_scan.ENCODINGS[e][2].index(c) + 1 for c in r.t], len(secret_scan.ENCODINGS[e][2]), len(r.t)
+        same = sum(x[i] == x[j] for i in range(n) for j in range(i))
+        runs = sum((a * 2 > size) != (b * 2 > size) for a, b in zip(x, x[1:]))
+        mean = sum(x) / n
+        rho = abs((sum(a * b for a, b in zip(x, x[1:])) / (n - 1) - mean**2) / max(sum(v * v for v in x) / n - mean**2, 1e-9))
+        want = [2 * (same**0.5 - (n * (n - 1) / 2 / size) ** 0.5), ((n - 1) / 2 - runs) / ((n - 1) ** 0.5 / 2), rho * n**0.5]
+        assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(r.z, want)), r.t
+
+
+def test_reported_tokens_against_a_plain_version(spark):
+    rows = names_and_randoms((32, 64), 60, 30)
+    df = spark.createDataFrame([(k, f"x {r[2]} y") for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id for r in secret_scan.find_secrets(df).collect() if len(r.spans) > len(r.base)}
+    known = {r.doc_id for r in secret_scan.find_secrets(df).where("size(base) > 0").collect()}
+    z = df.select("doc_id", F.substring("text", 3, 64).alias("t0")).select("doc_id", F.regexp_extract("t0", r"^[^ ]+", 0).alias("t"))
+    z = z.select("doc_id", "t", secret_scan.encoding(F.col("t")).alias("e")).select("doc_id", "t", "e", secret_scan.departures(F.col("t"), F.col("e")).alias("z")).collect()
+    classes = {}
+    for r in z:
+        bins = tuple(min(max(int((v - secret_scan.LEAST) // secret_scan.BIN), 0), secret_scan.BINS - 1) for v in r.z)
+        classes.setdefault((r.e, int(math.log2(len(r.t)) * secret_scan.FINE)), []).append((r.doc_id, len(r.t), bins))
+    want = set()
+    for (e, _), members in classes.items():
+        counts = Counter(b for _, _, b in members)
+        score, least = secret_scan.fitted(sorted(counts.items()), len(secret_scan.ENCODINGS[e][2]), round(sum(n for _, n, _ in members) / len(members)))
+        want |= {i for i, _, b in members if sum(score[k][b[k]] for k in range(3)) >= least}
+    assert got == want - known
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

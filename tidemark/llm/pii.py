@@ -1,14 +1,18 @@
 """Personal data by boosted trees over candidate spans, with built-in functions only.
 
 Generators of high recall propose overlapping spans. Each candidate gets a
-vector of small whole numbers (format and context). One aggregation counts,
-for every vector that occurs in the corpus, the candidates that a checked
-base pattern confirms and those it does not; the number of vectors is bounded
-by the product of the features' ranges, whatever the corpus. Trees are boosted
-on these counts on the driver and return to the cluster as one SQL
-expression. The threshold is the lowest score at which the confirmed share of
-the candidates at or above it reaches PRECISION, with one failure added.
-Base spans are always kept; candidates beyond them count if their score does.
+vector of small whole numbers: its format and what surrounds it. Its weak label comes
+from elsewhere: whether a base pattern passes its check there (checksum, octets,
+number of digits), or a word of CUE announces it. Neither is among the
+features, so that trees learn which formats and surroundings personal data has, and
+not the label. One aggregation counts, for every vector that occurs in the corpus
+and either half of the documents (by a hash of the text), the candidates with
+and without the label; the number of vectors is bounded by the product of the
+features' ranges, whatever the corpus. Trees are boosted on the counts of one half on the
+driver; on those of the other the threshold of each kind is calibrated: the lowest
+score at which the labelled share of the candidates at or above it reaches PRECISION, with one
+failure added. Both return to the cluster as one SQL expression. Base spans are
+always kept; candidates beyond them count if their score does.
 """
 
 from __future__ import annotations
@@ -88,7 +92,9 @@ def base_spans(text: Column) -> Column:
 
 
 #: Features and their ranges, 0 to the number given.
-FEATURES = {"generator": 2, "digits": 5, "groups": 4, "joint": 4, "opening": 2, "cue": 1, "checksum": 1, "octets": 1}
+FEATURES = {"generator": 2, "digits": 5, "groups": 4, "joint": 4, "opening": 2, "lead": 4, "evenness": 2}
+#: A word before a candidate that announces personal data.
+CUE = r"(?:mail|phone|tel|call|mobile|fax|card|visa|ip|addr|contact|kontakt|telefon)[^a-z]{0,4}$"
 
 
 def _features(generator: str, s: Column) -> Column:
@@ -96,27 +102,30 @@ def _features(generator: str, s: Column) -> Column:
     n, groups = F.length(digits), F.size(F.split(m, "[^0-9A-Za-z]+"))
     number = {"mail": 0, "digits": 1, "colons": 2}[generator]
     joint = F.when(m.rlike("@"), 4).when(m.rlike(r"^[^ ]*[.:]"), 3).when(m.rlike("-"), 2).when(m.rlike(" "), 1).otherwise(0)
-    cue = F.lower(s["before"]).rlike(r"(?:mail|phone|tel|call|mobile|fax|card|visa|ip|addr|contact|kontakt|telefon)[^a-z]{0,4}$")
+    before = s["before"]
+    # what stands before it: nothing, a letter or digit, a mark, a space after a mark, any other space
+    lead = F.when(before == "", 0).when(before.rlike(r"[0-9A-Za-z]$"), 1).when(before.rlike(r"[^\s]$"), 2).when(before.rlike(r"[:;,=#.]\s+$"), 3).otherwise(4)
+    sizes = F.transform(F.split(m, "[^0-9A-Za-z]+"), F.length)
     return F.struct(
         F.lit(number).alias("generator"),
         F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 20, 4).otherwise(5).alias("digits"),
         F.least(groups - 1, F.lit(4)).alias("groups"),
         joint.alias("joint"),
         F.when(m.startswith("+"), 2).when(m.startswith("("), 1).otherwise(0).alias("opening"),
-        cue.cast("int").alias("cue"),
-        F.when(n.between(12, 19), F.coalesce(luhn(digits), F.lit(False))).otherwise(False).cast("int").alias("checksum"),
-        _passes("ip", m).cast("int").alias("octets"),
+        lead.alias("lead"),
+        F.when(F.array_max(sizes) - F.array_min(sizes) <= 1, 0).when(F.array_max(sizes) <= 4, 1).otherwise(2).alias("evenness"),
     )
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<kind,start,end,confirmed,f>>: the generators' proposals with their features."""
+    """array<struct<kind,start,end,confirmed,label,f>>: the generators' proposals with their weak labels and features."""
     def proposal(name: str):
         def one(s: Column) -> Column:
             n = F.length(only_digits(s["m"]))
             by_digits = F.when(_passes("ip", s["m"]), "ip").when(n >= 14, "card").otherwise("phone")
             kind = {"mail": F.lit("email"), "colons": F.lit("ip"), "digits": by_digits}[name]
-            return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), overlaps(s, base).alias("confirmed"), _features(name, s).alias("f"))
+            cued = F.lower(s["before"]).rlike(CUE)
+            return let(overlaps(s, base), lambda known: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), known.alias("confirmed"), (known | cued).alias("label"), _features(name, s).alias("f")))
 
         return one
 
@@ -125,7 +134,7 @@ def candidates(text: Column, base: Column) -> Column:
         "digits": text.rlike("[0-9]"),
         "colons": F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]*:"),
     }
-    none = empty(f"struct<kind:string,start:int,end:int,confirmed:boolean,f:struct<{','.join(f'{n}:int' for n in FEATURES)}>>")
+    none = empty(f"struct<kind:string,start:int,end:int,confirmed:boolean,label:boolean,f:struct<{','.join(f'{n}:int' for n in FEATURES)}>>")
     return F.concat(*[F.when(near[name], F.transform(matches(text, pattern, 16), proposal(name))).otherwise(none) for name, pattern in GENERATORS.items()])
 
 
@@ -133,7 +142,7 @@ Tree = tuple  # (feature, border, left, right) or (value,)
 
 
 def boost(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list[Tree]]:
-    """Trees of depth two for the log odds of confirmation, from counts of (vector, confirmed, not confirmed)."""
+    """Trees of depth two for the log odds of the label, from counts of (vector, with it, without it)."""
     pos, neg = sum(c[1] for c in counts), sum(c[2] for c in counts)
     start = math.log((pos + 1) / (neg + 1))
     score = [start] * len(counts)
@@ -184,7 +193,7 @@ def threshold(counts: list[tuple[tuple[int, ...], int, int]], model: tuple[float
     for k, (s, p, n) in enumerate(scored):
         pos, neg = pos + p, neg + n
         if (k + 1 == len(scored) or scored[k + 1][0] < s) and pos >= precision * (pos + neg):
-            best = s
+            best = s - 1e-9  # sums in another order round differently
     return best
 
 
@@ -205,20 +214,27 @@ def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. Null text is empty;
     texts without matches have no spans; repeated rows are repeated; an empty
-    table gives no rows. Where nothing is confirmed, only base spans remain.
+    table gives no rows. A kind without labelled candidates keeps its base spans only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = stored(docs.select("doc_id", let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("more"))).alias("s")).select("doc_id", "s.base", "s.more"))
-    vectors = found.select(F.explode("more").alias("c")).groupBy(*[F.col(f"c.f.{n}").alias(n) for n in FEATURES]).agg(F.count_if("c.confirmed").alias("pos"), F.count_if(~F.col("c.confirmed")).alias("neg"))
-    counts = sorted((tuple(r)[:-2], r["pos"], r["neg"]) for r in vectors.collect())  # at most the product of the ranges
-    model = boost(counts)
-    least = threshold(counts, model, precision)
-    extra = F.filter("more", lambda c: ~c["confirmed"] & (score_sql(model, c["f"]) >= F.lit(least)))
+    half = F.pmod(F.crc32(text.cast("binary")), F.lit(2)).alias("half")
+    found = stored(docs.select("doc_id", half, let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("more"))).alias("s")).select("doc_id", "half", "s.base", "s.more"))
+    names = list(FEATURES)
+    vectors = found.select("half", F.explode("more").alias("c")).groupBy("half", "c.kind", *[F.col(f"c.f.{n}").alias(n) for n in names]).agg(F.count_if("c.label").alias("pos"), F.count_if(~F.col("c.label")).alias("neg"))
+    counts = sorted((r["half"], r["kind"], tuple(r[n] for n in names), r["pos"], r["neg"]) for r in vectors.collect())  # at most 8 times the product of the ranges
+    model = boost([c[2:] for c in counts if c[0] == 0])
+    least = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(threshold([c[2:] for c in counts if c[0] == 1 and c[1] == k], model, precision)))])
+    extra = F.filter("more", lambda c: ~c["confirmed"] & (score_sql(model, c["f"]) >= least[c["kind"]]))
     return found.select("doc_id", "base", F.concat("base", F.transform(extra, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and redacted: each found span, merged where they overlap, replaced by its kind in brackets."""
+    """doc_id and redacted: each found span, merged where they overlap, replaced by its kind in brackets.
+
+    found is find_pii()'s result for docs, whose ids must be those of one row
+    each, or of rows with equal texts; null ids pair with null ids. Null text is
+    empty, texts without spans stay as they are.
+    """
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(a: Column, s: Column) -> Column:
