@@ -17,27 +17,27 @@ from tidemark.storage import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; the others stay with all columns. Nulls, empties and repeats: as quality.keep_good() says."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, with all columns. Nulls, empties and repeats: as simhash.near_dedup() says."""
     return simhash.near_dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a twentieth or more of benchmark passages go."""
+    """Documents that hold a twentieth or more of benchmark passages go. Nulls, empties and repeats: as decontam.decontaminate() says."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the order of the rows in the files becomes that of the mix."""
+    """All documents stay; the order of the rows in the files becomes that of the mix. Nulls, empties and repeats: as mixing.mix() says."""
     return mixing.in_mixed_order(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store, in the order of the files' rows: the mix of the stage before."""
+    """The token store, in the order of the files' rows: the mix of the stage before. Null and empty texts are one end id, an empty table is an empty store."""
     place = {"file_part": F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long"), "file_name": F.col("_metadata.file_name"), "file_row": F.col("_metadata.row_index")}
     try:
         rows = docs.select("doc_id", "text", *[c.alias(n) for n, c in place.items()])
