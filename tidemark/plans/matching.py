@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import geometry as G
 from tidemark.operators import matching
 from tidemark.operators.spatial import box_pairs, overlap_of_pair, sides
+from tidemark.operators.layers import output_order
 from tidemark.plans.fixtures import load, with_tables
 
 SURVEY = ["match_before", "match_after"]
@@ -108,14 +109,6 @@ def topk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.orderBy(F.desc("score"), "before_id").limit(40)
 
 
-ORDERS = {
-    "large2small": lambda: [F.desc("area"), F.col("before_id")],
-    "small2large": lambda: [F.asc("area"), F.col("before_id")],
-    "north2south": lambda: [F.asc("cy"), F.col("before_id")],
-    "south2north": lambda: [F.desc("cy"), F.col("before_id")],
-    "west2east": lambda: [F.asc("cx"), F.col("before_id")],
-    "east2west": lambda: [F.desc("cx"), F.col("before_id")],
-}
 
 
 def ordered(df: DataFrame, order: str) -> DataFrame:
@@ -127,7 +120,7 @@ def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each object within its band of rows, largest first and west to east."""
     (before,) = load(spark, sf_dir, "survey_before")
     band = F.floor(F.col("cy") / 64).cast("long")
-    by = lambda name: F.row_number().over(Window.partitionBy("band").orderBy(*ORDERS[name]())).cast("long")
+    by = lambda name: F.row_number().over(Window.partitionBy("band").orderBy(*output_order(name, "before_id"))).cast("long")
     return _square(before).withColumn("band", band).select("before_id", "band", by("large2small").alias("by_size"), by("west2east").alias("by_x"))
 
 

@@ -133,3 +133,36 @@ def write_if_changed(df: DataFrame, path: str, table: str, flags: dict, tool: st
     df.write.mode("overwrite").parquet(path)
     append_lineage(spark, table, path, kind, tool, flags)
     return True
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Columns of rows, each once, as CSV files with a header; nulls are empty."""
+    once = list(dict.fromkeys(columns or rows.columns))
+    rows.select(*once).write.mode("overwrite").option("header", True).csv(path)
+
+
+def kml_document(placemarks: DataFrame) -> DataFrame:
+    """kml_placemarks()'s rows as one document with a folder a layer, for small layers: one string in one task."""
+    folders = placemarks.groupBy("layer").agg(F.array_join(F.sort_array(F.collect_list("value")), "").alias("marks"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("layer", "marks"))), lambda f: F.concat(F.lit("<Folder><name>"), f["layer"], F.lit("</name>"), f["marks"], F.lit("</Folder>")))
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
+    return folders.agg(F.concat(F.lit(head), F.array_join(parts, ""), F.lit(tail)).alias("value"))
+
+
+def summary_json(counts: DataFrame) -> DataFrame:
+    """counts (layer, label, n) as one JSON text: of each layer its total and its labels' counts. Labels are few."""
+    layers = counts.groupBy("layer").agg(F.sum("n").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("labels"))
+    return layers.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("layer", F.struct("total", F.to_json("labels").alias("labels"))))))).alias("value"))
+
+
+def markdown_table(rows: DataFrame, title: str, order: list) -> list[str]:
+    """The lines of a report of a small table (runs, labels): numbers rounded to two places, missing ones empty."""
+    show = lambda v: "" if v is None else f"{round(v, 2):g}" if isinstance(v, float) else str(v)
+    body = [f"| {' | '.join(show(v) for v in r)} |" for r in rows.orderBy(*order).collect()]
+    return [f"# {title}", "", f"| {' | '.join(rows.columns)} |", "|" + " --- |" * len(rows.columns), *body]
+
+
+def save_labels(labels: DataFrame, path: str) -> DataFrame:
+    """Write label records in order of label_id as JSON lines; returns how many there are of each label."""
+    labels.orderBy("label_id").write.mode("overwrite").json(path)
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
