@@ -248,3 +248,16 @@ def test_cells_of_a_concave_outline(spark):
     touched = {(r, c) for r in range(10) for c in range(10) if any(inside(c + u, 9 - r + v) or away(c + u, 9 - r + v) < 1e-9 for u in fine for v in fine)}
     of = lambda rule, grow=0.0: {(r.r, r.c) for r in raster.zonal(objects, cells, 10, rule, grow).collect()}
     assert of("centre") == centre and of("ring", 1.0) == around and of("touched") == touched
+
+
+def test_ids_in_order_over_ranges(spark):
+    rows = [(k % 3 if k % 7 else None, (k * 37) % 100 if k % 11 else None, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, v int, part int").repartition(5)
+    got = dataset.numbered(df, ["g"], ["v", "part"], "n").collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r.v is not None, r.v or 0, r.part)
+    for g in (None, 0, 1, 2):
+        mine = sorted((r for r in got if r.g == g), key=key)
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+    assert dataset.numbered(df.limit(0), ["g"], ["v"], "n").count() == 0
+    assert sorted(r.i for r in matching.with_ids(df, "part", "i").collect()) == list(range(300))

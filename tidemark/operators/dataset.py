@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import SWAPPING, VARIANTS, flat_to_ring, ring_area, ring_box, turned_ring
+from tidemark.operators.ranks import numbered  # noqa: F401
 from tidemark.operators.spatial import BOX, box_pairs
 from tidemark.sources.manifest import strip_variant
 
@@ -130,11 +131,6 @@ def clip_rings(objects: DataFrame, tiles: DataFrame, size: float = 64.0) -> Data
     return made.where("area > 0").drop("flat")
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """Ids 1, 2, ... within each group, in order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
-
-
 def policy_counts(annotated: DataFrame, group: list[str]) -> DataFrame:
     """Counts per group of every outcome of the policy."""
     names = ("boulder", "crowd", "deposit", "dropped_small", "dropped_deposit")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import box_area, box_iou, let
+from tidemark.operators.ranks import PART, ranged, totals_before
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair
+from tidemark.storage import stored
 
 THRESHOLDS = [0.5 + 0.05 * k for k in range(10)]
 #: Size classes by area: lower and upper bound, both in.
@@ -117,11 +119,25 @@ def coco_metrics(dets: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     counted = truth.withColumn("area", area).withColumn("k", sizes).where("iscrowd = 0 and area >= k.lo and area <= k.hi").groupBy(*by, F.col("k.size").alias("size")).agg(F.count(F.lit(1)).alias("npig"))
     flagged = coco_matches(dets, truth).where(~F.col("ignored")).join(counted, [*by, "size"])
     order = [F.desc("score"), F.col("image_id"), F.col("place")]
-    up_to = Window.partitionBy(*by, "size", "t").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by, "size", "t").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    curve = flagged.withColumns({"tps": F.sum(F.col("tp").cast("int")).over(up_to), "n": F.count(F.lit(1)).over(up_to)})
-    curve = curve.withColumns({"envelope": F.max(F.col("tps") / F.col("n")).over(after), "steps": F.floor(100 * F.col("tps") / F.col("npig")) + 1})
-    before = F.lag("steps", 1, 0).over(Window.partitionBy(*by, "size", "t").orderBy(*order))
+    group = [*by, "size", "t"]
+    # an image's curve is short; the curve over all is cut into ranges of its order, whose totals are added
+    cut = flagged.withColumn(PART, F.lit(0)) if by else ranged(flagged, [F.col("size"), F.col("t"), *order])
+    done = F.broadcast(totals_before(cut, group, {"tps_before": F.count_if("tp"), "n_before": F.count(F.lit(1))}))
+    own = Window.partitionBy(*group, PART).orderBy(*order)
+    up_to, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    curve = cut.withColumns({"tps": F.sum(F.col("tp").cast("int")).over(up_to), "n": F.count(F.lit(1)).over(up_to)})
+    if not by:
+        curve = curve.join(done, [*group, PART]).withColumns({"tps": F.col("tps") + F.col("tps_before"), "n": F.col("n") + F.col("n_before")})
+    curve = curve.withColumn("envelope", F.max(F.col("tps") / F.col("n")).over(after))
+    if not by:
+        later = Window.partitionBy(*group).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+        best = stored(curve.select(*group, PART, "tp", "tps", "n", "npig", "envelope"))
+        ahead = best.groupBy(*group, PART).agg(F.max("envelope").alias("top")).select(*group, PART, F.max("top").over(later).alias("ahead"))
+        curve = best.join(F.broadcast(ahead), [*group, PART]).withColumn("envelope", F.greatest("envelope", "ahead"))
+    # recall reaches a step of the 101 when the share of found objects does; the row before had one object less if this one is found
+    steps = lambda found: F.floor(100 * found / F.col("npig")) + 1
+    curve = curve.withColumn("steps", steps(F.col("tps")))
+    before = F.when(F.col("n") == 1, 0).otherwise(steps(F.col("tps") - F.col("tp").cast("int")))
     ap = curve.withColumn("gain", F.col("envelope") * (F.col("steps") - before)).groupBy(*by, "size", "t").agg((F.sum("gain") / 101).alias("ap"))
     recalls = flagged.groupBy(*by, "size", "t").agg(*[(F.count_if(F.col("tp") & (F.col("place") <= m)) / F.first("npig")).alias(f"ar{m}") for m in (1, 10, MAX_DETECTIONS)])
     grid = counted.withColumn("t", F.explode(F.array(*[F.lit(k) for k in range(len(THRESHOLDS))])))

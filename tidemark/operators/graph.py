@@ -41,14 +41,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def greedy_select(nodes: DataFrame, conflicts: DataFrame, order: list[Column], max_rounds: int = 500) -> DataFrame:
+def greedy_select(nodes: DataFrame, conflicts: DataFrame, order: list[Column]) -> DataFrame:
     """Visit nodes (id: long) in order; keep a node unless a kept one conflicts with it.
 
     conflicts (a, b): pairs of ids, either way round. Returns id, leader: the
     node itself if kept, else the first kept node in order that conflicts with
     it. Every round keeps the nodes all of whose earlier neighbours are decided,
     so only conflicting nodes are ever compared and no component is gathered.
-    order must be total (end with the id).
+    order must be total (end with the id). At least the first open node is
+    decided in a round: there are as many rounds as the longest chain of conflicts
+    in order has decisions, some six jobs each.
     """
     rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     ranked = nodes.select("id", rank.alias("rank"))
@@ -58,17 +60,13 @@ def greedy_select(nodes: DataFrame, conflicts: DataFrame, order: list[Column], m
     # each pair from the node visited first to the other
     pairs = stored(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("ra")).otherwise(F.col("rb")).alias("ru")))
     open_pairs, lost = pairs, None
-    for _ in range(max_rounds):
-        if open_pairs.isEmpty():
-            break
+    while not open_pairs.isEmpty():
         heads = open_pairs.select(F.col("u").alias("id")).distinct().join(open_pairs.select(F.col("v").alias("id")).distinct(), "id", "left_anti")
         fallen = stored(open_pairs.join(heads.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct())
         lost = fallen if lost is None else lost.union(fallen)
         decided = stored(heads.union(fallen))
         rest = open_pairs.join(decided.withColumnRenamed("id", "u"), "u", "left_anti")
         open_pairs = stored(rest.join(fallen.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "ru"))
-    else:
-        raise RuntimeError(f"greedy selection did not settle in {max_rounds} rounds")
     if lost is None:
         return nodes.select("id", F.col("id").alias("leader"))
     kept_pairs = pairs.join(lost.withColumnRenamed("id", "v"), "v", "left_semi").join(lost.withColumnRenamed("id", "u"), "u", "left_anti")

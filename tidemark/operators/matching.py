@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import axial_difference, pair_score
 from tidemark.operators.assign import assign
+from tidemark.operators.ranks import numbered
 from tidemark.operators.spatial import distance_pairs
 from tidemark.storage import stored
 
@@ -16,9 +17,7 @@ ATTRIBUTES = ("cx", "cy", "area", "volume", "orientation")
 
 def with_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """Ids 0, 1, ... in the order of a key, for layers that come without."""
-    from pyspark.sql.window import Window
-
-    return df.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+    return numbered(df, [], [key], name).withColumn(name, F.col(name) - 1)
 
 
 def candidates(before: DataFrame, after: DataFrame, radius: float = RADIUS, min_score: float = MIN_SCORE) -> DataFrame:
