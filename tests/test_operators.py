@@ -261,3 +261,33 @@ def test_ids_in_order_over_ranges(spark):
         assert [r.n for r in mine] == list(range(1, len(mine) + 1))
     assert dataset.numbered(df.limit(0), ["g"], ["v"], "n").count() == 0
     assert sorted(r.i for r in matching.with_ids(df, "part", "i").collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("smooth", [0, 3])
+def test_cubic_volumes_against_a_plain_version(spark, smooth):
+    rng = random.Random(4)
+    z = {(r, c): 5 + 0.02 * r - 0.01 * c + rng.random() / 50 + (1.5 if 10 <= r < 14 and 8 <= c < 12 else 0) + (1 if 10 <= r < 13 and 17 <= c < 20 else 0) for r in range(24) for c in range(24)}
+    cells = spark.createDataFrame([(0, r, c, v) for (r, c), v in z.items()], "raster_id long, r long, c long, z double")
+    boxes = {1: (8.0, 10.0, 12.0, 14.0), 2: (17.0, 11.0, 20.0, 14.0)}
+    objects = spark.createDataFrame([(0, k, *b, 4.0, 3.0) for k, b in boxes.items()], "raster_id long, object_id long, x1 double, y1 double, x2 double, y2 double, major double, minor double")
+    away = lambda b, x, y: math.hypot(max(b[0] - x, x - b[2], 0), max(b[1] - y, y - b[3], 0))
+    for got in raster.cubic_base_volumes(objects, cells, 24, "z", smooth=smooth).collect():
+        box = boxes[got.object_id]
+        window = {(r, c): v for (r, c), v in z.items() if away(box, c + 0.5, 23.5 - r) <= 6}
+        if smooth:
+            top, left = min(r for r, _ in window), min(c for _, c in window)
+            bottom, right = max(r for r, _ in window), max(c for _, c in window)
+            flip = lambda v, lo, hi: lo + (lo - v) - 1 if v < lo else hi - (v - hi) + 1 if v > hi else v
+            around = lambda g, r, c: [g.get((flip(r + i, top, bottom), flip(c + j, left, right))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            whole = {(r, c): window[r, c] if (r, c) in window else (float(np.median(n)) if (n := [v for v in around(window, r, c) if v is not None]) else math.nan) for r in range(top, bottom + 1) for c in range(left, right + 1)}
+            window = {k: float(np.median(around(whole, *k))) for k in window}
+        base = [k for k in window if all(any((b[0] - 1 > k[1] + 0.5, k[1] + 0.5 > b[2] + 1, b[1] - 1 > 23.5 - k[0], 23.5 - k[0] > b[3] + 1)) for b in boxes.values())]
+        inside = [k for k in window if away(box, k[1] + 0.5, 23.5 - k[0]) == 0]
+        terms = lambda k: [((k[1] - 12) / 6) ** i * ((k[0] - 12) / 6) ** j for i in range(4) for j in range(4 - i)]
+        a, zs = np.array([terms(k) for k in base]), np.array([window[k] for k in base])
+        coef = np.linalg.solve(a.T @ a, a.T @ zs)
+        heights = [max(0.0, window[k] - float(np.dot(terms(k), coef))) for k in inside]
+        rmse = math.sqrt(float(((zs - a @ coef) ** 2).sum()) / (len(base) - 10))
+        want = (rmse, max(heights), float(np.median([h for h in heights if h > 0])), sum(heights), 12 * max(heights))
+        assert np.allclose((got.rmse, got.maxh, got.meanh, got.volume, got.abc), want, atol=1e-6), (got, want)
+        assert got.is_boulder == 1 and abs(got.ellipsoid - math.pi / 6 * got.abc) < 1e-9

@@ -215,11 +215,24 @@ def median_filtered(grid: np.ndarray, window: int) -> np.ndarray:
     return np.median(view(grid), axis=-1)
 
 
-def cubic_base_volumes(objects: DataFrame, cells: DataFrame, rows: int, value: str, gap: float = 1.0, reach: float = 6.0, mask_neighbours: bool = True) -> DataFrame:
+def smoothed_window(window: pd.DataFrame, size: int) -> pd.DataFrame | None:
+    """A window's cells (x, y, z) with z median-filtered over size cells a side; None if a filtered cell is exactly 0."""
+    c, r = (window["x"] - window["x"].min()).astype(int).to_numpy(), (window["y"].max() - window["y"]).astype(int).to_numpy()
+    grid = np.full((r.max() + 1, c.max() + 1), np.nan)
+    grid[r, c] = window["z"]
+    z = median_filtered(grid, size)[r, c]
+    return None if (z == 0).any() else window.assign(z=z)
+
+
+def cubic_base_volumes(objects: DataFrame, cells: DataFrame, rows: int, value: str, gap: float = 1.0, reach: float = 6.0, mask_neighbours: bool = True, smooth: int = 0, dof: bool = True) -> DataFrame:
     """cubic_base() of every object over the cells within reach of it.
 
     Base cells lie outside the object grown by gap and, with mask_neighbours,
-    outside every other object so grown.
+    outside every other object so grown. smooth: side of a median filter over
+    the window, in cells; an object with a filtered cell of exactly 0 is all
+    null. Objects with columns major and minor also get abc (their product with
+    the greatest height) and ellipsoid, the volume of such an ellipsoid.
+    is_boulder is 1 unless the fit is worse than 1, null without a fit.
     """
     near = zonal(objects, cells, rows, "ring", reach).select("raster_id", "object_id", "r", "c", F.col(value).alias("z"), F.lit(False).alias("inside"))
     own = zonal(objects, cells, rows, "centre").select("raster_id", "object_id", "r", "c", F.col(value).alias("z"), F.lit(True).alias("inside"))
@@ -234,9 +247,18 @@ def cubic_base_volumes(objects: DataFrame, cells: DataFrame, rows: int, value: s
     cellrows = joined.select("raster_id", "object_id", F.col("c").cast("double").alias("x"), (-F.col("r")).cast("double").alias("y"), "z", "inside", (~F.col("inside") & F.col("shut").isNull()).alias("base"))
 
     def one(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"raster_id": key[0], "object_id": key[1], **cubic_base(window.dropna(subset=["z"]).sort_values(["y", "x"]))}])
-
-    return cellrows.groupBy("raster_id", "object_id").applyInPandas(one, "raster_id long, object_id long, base_height double, rmse double, maxh double, meanh double, volume double")
+        w = window.dropna(subset=["z"]).sort_values(["y", "x"])
+        if smooth > 1 and len(w):
+            w = smoothed_window(w, smooth)
+        return pd.DataFrame([{"raster_id": key[0], "object_id": key[1], **cubic_base(cellless if w is None else w, dof)}])
+
+    cellless = pd.DataFrame({"x": [], "y": [], "z": [], "inside": pd.Series([], dtype=bool), "base": pd.Series([], dtype=bool)})
+    made = cellrows.groupBy("raster_id", "object_id").applyInPandas(one, "raster_id long, object_id long, base_height double, rmse double, maxh double, meanh double, volume double")
+    made = made.withColumn("is_boulder", F.when(F.col("rmse").isNotNull(), (F.col("rmse") <= 1).cast("int")))
+    if {"major", "minor"} <= set(objects.columns):
+        made = made.join(objects.select("raster_id", "object_id", "major", "minor"), ["raster_id", "object_id"])
+        made = made.withColumn("abc", F.col("major") * F.col("minor") * F.col("maxh")).withColumn("ellipsoid", F.lit(4 / 3 * math.pi) * F.col("abc") / 8)
+    return made
 
 
 def section(window: pd.DataFrame, cx: float, cy: float, theta: float) -> pd.DataFrame:
