@@ -123,3 +123,17 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
     q.awaitTermination(120)
     assert [(r.tile_id, r.n, r.best) for r in spark.table("counts").collect()] == [(7, 1, 0.5)]
+
+
+def test_predictions_by_ends_of_names(spark):
+    images = spark.createDataFrame([(1, "24_site_07_38.png"), (2, "24_site_07_39.png"), (3, "07_40.png"), (4, "25_only.png"), (5, "none.png")], "image_id long, file_name string")
+    dets = spark.createDataFrame([("24_site_07_38", 0.1), ("site_07_38", 0.2), ("site_07_39", 0.3), ("run2_24_07_40", 0.4), ("run_only", 0.5)], "stem string, score double")
+    got = {r.image_id: r.score for r in readers.with_predictions(images, dets).collect()}
+    assert got == {1: 0.1, 2: 0.3, 3: 0.4, 4: 0.5, 5: None}
+
+
+def test_windows_move_rings_and_count_border_pixels(spark):
+    dets = spark.sql("select 1L as window_id, 2 as x1, 3 as y1, 5 as x2, 9 as y2, array(named_struct('x', 2D, 'y', 3D)) as ring")
+    windows = spark.sql("select 1L as window_id, 100L as c0, 50L as r0")
+    (r,) = manifest.stitch(dets, windows).collect()
+    assert (r.x1, r.y1, r.x2, r.y2, r.w, r.h) == (102, 53, 105, 59, 4, 7) and tuple(r.ring[0]) == (102.0, 53.0)

@@ -77,6 +77,11 @@ def window_grid(images: DataFrame, window: int, rate: float) -> DataFrame:
 
 
 def stitch(dets: DataFrame, windows: DataFrame) -> DataFrame:
-    """Window-local boxes (window_id, x1..y2) moved to the whole picture by their window's origin (c0, r0)."""
+    """Window-local boxes (window_id, x1..y2) moved to the whole picture by their window's origin (c0, r0).
+
+    A column ring moves along. w and h count both border pixels: x2 - x1 + 1 and y2 - y1 + 1.
+    """
     w = windows.select("window_id", *[c for c in windows.columns if c in ("image_id", "tile_id")], "c0", "r0")
-    return dets.join(w, "window_id").withColumns({"x1": F.col("x1") + F.col("c0"), "x2": F.col("x2") + F.col("c0"), "y1": F.col("y1") + F.col("r0"), "y2": F.col("y2") + F.col("r0")}).drop("c0", "r0")
+    ring = {"ring": F.transform("ring", lambda p: F.struct((p["x"] + F.col("c0")).cast("double").alias("x"), (p["y"] + F.col("r0")).cast("double").alias("y")))} if "ring" in dets.columns else {}
+    size = {"w": F.col("x2") - F.col("x1") + 1, "h": F.col("y2") - F.col("y1") + 1}
+    return dets.join(w, "window_id").withColumns(ring | size | {"x1": F.col("x1") + F.col("c0"), "x2": F.col("x2") + F.col("c0"), "y1": F.col("y1") + F.col("r0"), "y2": F.col("y2") + F.col("r0")}).drop("c0", "r0")

@@ -63,13 +63,23 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 def with_predictions(images: DataFrame, detections: DataFrame) -> DataFrame:
     """images (image_id, file_name) with their detections; images without any keep one row of nulls.
 
-    A stem matches an image's name without suffix, or without its year in front.
+    An image's detections are those of the stem that equals its name without
+    suffix, else of one that ends with it or with which it ends, else of one that ends
+    with it without its year in front; of several the longest, then the first by name.
     """
-    stem = file_stem(F.col("file_name"))
-    i = images.select("image_id", stem.alias("s0"), F.regexp_replace(stem, r"^2[45]_", "").alias("s1"))
-    exact = i.join(detections, i.s0 == detections.stem, "left_semi").select("image_id", F.col("s0").alias("use"))
-    rest = i.join(exact, "image_id", "left_anti").select("image_id", F.col("s1").alias("use"))
-    return exact.union(rest).join(detections.withColumnRenamed("stem", "use"), "use", "left").drop("use")
+    i = images.select("image_id", file_stem(F.col("file_name")).alias("s"))
+    stems = detections.select("stem").distinct()
+    tails = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(F.col(c), k, F.length(c))))
+    ends = stems.withColumn("t", tails("stem"))
+    bare = i.select("image_id", F.regexp_extract("s", r"^2[45]_(.+)$", 1).alias("t")).where("t <> ''")
+    pairs = (
+        i.withColumn("t", tails("s")).join(stems, F.col("t") == F.col("stem")).select("image_id", "stem", F.when(F.col("s") == F.col("stem"), 0).otherwise(1).alias("rank"))
+        .union(ends.join(i, F.col("t") == F.col("s")).select("image_id", "stem", F.lit(1)))
+        .union(ends.join(bare, "t").select("image_id", "stem", F.lit(2)))
+    )
+    use = pairs.groupBy("image_id").agg(F.min_by("stem", F.struct("rank", (-F.length("stem")).alias("size"), "stem")).alias("use"))
+    found = detections.withColumnRenamed("stem", "use")
+    return i.select("image_id").join(use, "image_id", "left").join(found, "use", "left").drop("use")
 
 
 def existing(wanted: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,13 +234,14 @@ def read_split_config(spark: SparkSession, path: str) -> DataFrame:
     return tiles.where("k IS NOT NULL").select("setup", "leakage_check", "split", "year", F.col("k.tile_row").alias("tile_row"), F.col("k.tile_col").alias("tile_col"))
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """Final metrics documents: run, metric (bbox/... or segm/...), value; other blocks and non-finite values are left out.
 
-    The run is the name of the document's folder.
+    The run is the name of the document's folder without prefix; folders of other names are left out.
     """
     docs = spark.read.schema("bbox map<string,double>, segm map<string,double>").option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
-    run = F.element_at(F.split("file", "/"), -2)
+    run = F.substring(F.element_at(F.split("file", "/"), -2), F.lit(len(prefix) + 1), F.length("file"))
+    docs = docs.where(F.element_at(F.split("file", "/"), -2).startswith(prefix))
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.coalesce(F.col(b), F.create_map().cast("map<string,double>")).alias("m")) for b in ("bbox", "segm")]))
     rows = docs.select(run.alias("run"), blocks.alias("b")).select("run", "b.block", F.explode("b.m").alias("key", "value"))
     return rows.select("run", F.concat_ws("/", "block", "key").alias("metric"), finite(F.col("value")).alias("value")).where("value IS NOT NULL")
