@@ -9,9 +9,9 @@ not the label. One aggregation counts, for every vector that occurs in the corpu
 and either half of the documents (by a hash of the text), the candidates with
 and without the label; the number of vectors is bounded by the product of the
 features' ranges, whatever the corpus. Trees are boosted on the counts of one half on the
-driver; on those of the other the threshold of each kind is calibrated: the lowest
-score at which the labelled share of the candidates at or above it reaches PRECISION, with one
-failure added. Both return to the cluster as one SQL expression. Base spans are
+driver; on those of the other the threshold of each kind is calibrated: from the highest
+score down, each level must have a labelled share of PRECISION, with one failure
+added; many sure candidates do not carry doubtful ones. Both return to the cluster as one SQL expression. Base spans are
 always kept; candidates beyond them count if their score does.
 """
 
@@ -27,7 +27,7 @@ from tidemark.storage import stored
 
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.9
-ROUNDS, RATE = 24, 0.4
+ROUNDS, RATE, DEPTH = 32, 0.4, 3
 
 #: Fixed patterns. Each is the contract's, with possessive repeats where no shorter repeat could match
 #: and, for email, a start at the border of a run or where the match before ended.
@@ -142,7 +142,7 @@ Tree = tuple  # (feature, border, left, right) or (value,)
 
 
 def boost(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list[Tree]]:
-    """Trees of depth two for the log odds of the label, from counts of (vector, with it, without it)."""
+    """Trees of depth DEPTH for the log odds of the label, from counts of (vector, with it, without it)."""
     pos, neg = sum(c[1] for c in counts), sum(c[2] for c in counts)
     start = math.log((pos + 1) / (neg + 1))
     score = [start] * len(counts)
@@ -172,7 +172,7 @@ def boost(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS,
         return (at[0], at[1], grow(at[2], depth - 1), grow(at[3], depth - 1))
 
     for _ in range(rounds):
-        tree = grow(list(range(len(counts))), 2) if counts else (0.0,)
+        tree = grow(list(range(len(counts))), DEPTH) if counts else (0.0,)
         trees.append(tree)
         for r, c in enumerate(counts):
             score[r] += leaf(tree, c[0])
@@ -186,14 +186,16 @@ def leaf(tree: Tree, vector: tuple[int, ...]) -> float:
 
 
 def threshold(counts: list[tuple[tuple[int, ...], int, int]], model: tuple[float, list[Tree]], precision: float = PRECISION) -> float:
-    """The lowest score at which the candidates at or above it are confirmed often enough; none: infinity."""
+    """The lowest score down to which the candidates of every level have the label often enough; none: infinity."""
     start, trees = model
     scored = sorted(((start + sum(leaf(t, v) for t in trees), p, n) for v, p, n in counts), reverse=True)
-    best, pos, neg = math.inf, 0, 1
+    best, pos, neg = math.inf, 0, 1  # of the level at hand
     for k, (s, p, n) in enumerate(scored):
         pos, neg = pos + p, neg + n
-        if (k + 1 == len(scored) or scored[k + 1][0] < s) and pos >= precision * (pos + neg):
-            best = s - 1e-9  # sums in another order round differently
+        if k + 1 == len(scored) or scored[k + 1][0] < s - 1e-9:
+            if pos < precision * (pos + neg):
+                break
+            best, pos, neg = s - 1e-9, 0, 1  # sums in another order round differently
     return best
 
 
