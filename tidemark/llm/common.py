@@ -10,6 +10,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: A table of at most so many bytes may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: The same for the groups of narrow rows, which cost little to shuffle.
+NARROW_BYTES = 1 << 20
 
 #: A key of more rows is never one task's.
 HOT_ROWS = 100_000
@@ -26,15 +28,18 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, small_
     return big.join(small.hint("merge"), on, how)
 
 
-def join_groups(big: DataFrame, groups: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_groups(big: DataFrame, groups: DataFrame, on: str, how: str = "inner", limit: int = NARROW_BYTES) -> DataFrame:
     """big with its groups (one row a key; n: rows of big that have it): inner or left, no key in one task.
 
-    Groups of a measured size within BROADCAST_BYTES are broadcast. Beyond it
-    those of more than HOT_ROWS rows are, of which there is at most one for so
-    many rows of big, and the others are joined by shuffle.
+    Groups of a measured size within limit are broadcast (where big's rows are
+    wide, up to BROADCAST_BYTES pay). Beyond it those of more than HOT_ROWS rows are,
+    of which there is at most one for so many rows of big, and the others are
+    joined by shuffle.
     """
-    if groups.count() * 64 <= BROADCAST_BYTES:
+    if groups.count() * 64 <= limit:
         return big.join(F.broadcast(groups), on, how)
+    if groups.where(F.col("n") > HOT_ROWS).isEmpty():
+        return big.join(groups.hint("merge"), on, how)
     hot, rest = groups.where(F.col("n") > HOT_ROWS), groups.where(F.col("n") <= HOT_ROWS)
     usual = big.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on, how)
     return usual.unionByName(big.join(F.broadcast(hot), on))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_ROWS, SPACES, hex_sha256, join_groups
+from tidemark.llm.common import BROADCAST_BYTES, HOT_ROWS, SPACES, hex_sha256, join_groups
 from tidemark.storage import stored
 
 
@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, hash128: Column | None = None) -> DataFrame:
     repeated = groups.select("h", F.col("keep_id").alias("first_id"), "n")
     # Bytes are compared only where a hash repeats. A large group is dealt to as many tasks as it needs, the text that stays to each.
     dealt = F.floor(F.rand(7) * (1 + F.floor(F.col("n") / HOT_ROWS))).cast("long")
-    suspects = stored(join_groups(base.withColumn("h", F.unhex(hash128)), repeated, "h").select("h", "doc_id", "first_id", "norm", "n", dealt.alias("deal")))
+    suspects = stored(join_groups(base.withColumn("h", F.unhex(hash128)), repeated, "h", limit=BROADCAST_BYTES).select("h", "doc_id", "first_id", "norm", "n", dealt.alias("deal")))
     keepers = suspects.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("kept_norm"), F.max("n").alias("kept_n"))
     keepers = stored(keepers).select("h", "kept_norm", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("kept_n") / HOT_ROWS).cast("long"))).alias("deal"))
     compared = suspects.join(keepers, ["h", "deal"]).select("h", "doc_id", "norm", (F.col("norm") == F.col("kept_norm")).alias("same"))
