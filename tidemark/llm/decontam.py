@@ -1,16 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test texts.
 
 Texts are normalised byte by byte (ASCII letters lowered, other ASCII marks
-to spaces) and cut into words; each distinct word of the benchmark gets a letter
-of its own, so that a 13-word window of an item is a pattern of 13 letters and a
-document a string of as many letters as it has words, those of no item being one
-letter that no pattern holds. One pass of the automaton over that string
-finds every occurrence of every window; places are word numbers, which map to
-the original text.
+to spaces) and cut into words; each distinct word of the benchmark gets a code of
+four letters, the first of which only begin codes, so that a 13-word window of an item
+is a pattern of 52 letters over a small alphabet and a match stands on whole words.
+A document is a string of four letters a word, words of no item being blanks that no
+pattern holds; runs between blanks that are shorter than every pattern are
+passed over. One pass of the automaton finds every occurrence of every window;
+places are word numbers, which map to the original text.
 
 The benchmark is sent to the executors in blocks of at most BLOCK_WINDOWS windows
 (or one item), whatever its size, as the items' texts: workers build the
-automaton, of some 1 KB a window. With one block (any usual benchmark) nothing is
+automaton, of some 2 KB a window. With one block (any usual benchmark) nothing is
 shuffled, with more the hits of the blocks are combined by row.
 """
 
@@ -30,7 +31,10 @@ from tidemark.storage import stored
 
 WINDOW = 13
 #: Windows of a block: some 0.2 GB in a Python worker.
-BLOCK_WINDOWS = 200_000
+BLOCK_WINDOWS = 100_000
+#: Letters of a word, and how many there are at each place: enough words for any block.
+CODE, BASE = 4, 32
+BLANK = "\x00" * CODE
 #: Bytes of words stay (letters lowered); every other ASCII byte becomes a space.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: A word in a text whose letters are not lowered.
@@ -44,7 +48,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """The items of one block; builds its letters and automaton where and when it is first used."""
+    """The items of one block; builds its codes and automaton where and when it is first used."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.items, self.window = items, window
@@ -54,21 +58,22 @@ class Matcher:
         if self.automaton is None:
             import ahocorasick
 
-            self.automaton, self.letters = ahocorasick.Automaton(), {}
+            self.automaton, self.codes = ahocorasick.Automaton(), {}
+            shortest = self.window
             for item, text in self.items:
                 found = words(text)
-                # letters from 1 on, without the surrogates; 0 stands for all other words
                 for w in found:
-                    if w not in self.letters:
-                        n = len(self.letters) + 1
-                        self.letters[w] = chr(n if n < 0xD800 else n + 0x800)
-                line = "".join(map(self.letters.get, found))
-                for k in range(max(1, len(line) - self.window + 1) if line else 0):
-                    pattern = line[k : k + self.window]
-                    n, ids = self.automaton.get(pattern, (len(pattern), []))
+                    if w not in self.codes:
+                        self.codes[w] = code(len(self.codes))
+                line = "".join(map(self.codes.get, found))
+                shortest = min(shortest, len(found)) if found else shortest
+                for k in range(max(1, len(found) - self.window + 1) if found else 0):
+                    pattern = line[CODE * k : CODE * (k + self.window)]
+                    n, ids = self.automaton.get(pattern, (len(pattern) // CODE, []))
                     if item not in ids:
                         ids.append(item)
                         self.automaton.add_word(pattern, (n, ids))
+            self.runs = re.compile("[^\\x00]{%d,}" % (CODE * shortest))
             if len(self.automaton):
                 self.automaton.make_automaton()
         return self.automaton
@@ -79,12 +84,21 @@ class Matcher:
         if not len(automaton) or not found:
             return [], set()
         spans, items = [], set()
-        for last, (n, ids) in automaton.iter("".join(map(self.letters.get, found, repeat("\x00")))):
-            spans.append((last - n + 1, last))
-            items.update(ids)
+        for run in self.runs.finditer("".join(map(self.codes.get, found, repeat(BLANK)))):
+            for end, (n, ids) in automaton.iter(run.group()):
+                last = (run.start() + end) // CODE
+                spans.append((last - n + 1, last))
+                items.update(ids)
         return merged(spans), items
 
 
+def code(n: int) -> str:
+    """The n-th word's letters: the first from @ on, the others from ` on."""
+    if n >= BASE**CODE:
+        raise ValueError("too many words in a block")
+    return "".join(chr((0x60 if k else 0x40) + n // BASE ** (CODE - 1 - k) % BASE) for k in range(CODE))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
