@@ -38,7 +38,7 @@ from tidemark.storage import discard, stored, written
 
 LENGTH, GRAM = 400, 32
 #: Batches into which a table is cut; suffixes and contexts of one task; contexts of one core in one task.
-BATCHES, TASK_SUFFIXES, TASK_CONTEXTS, GROUP = 2, 500_000, 12_000, 4_000
+BATCHES, TASK_SUFFIXES, TASK_CONTEXTS, GROUP = 2, 500_000, 12_000, 500
 #: Contexts compared at a time, strings of a text anchored at a time.
 CHUNK, STRETCH = 1_000, 1 << 19
 
