@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup, token_store
+from tidemark.llm import chat, decontam, exact_dedup, learned_index, mixing, pii, quality, secret_scan, simhash, suffix_dedup, token_store, whitening
 from tidemark.llm.common import hex_sha256, table
 from tidemark.llm.spans import joined
 
@@ -78,6 +78,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_index.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +99,8 @@ QUERIES = {
         op8_mixing,
         op9_chat_format,
         op10_suffix_dedup,
+        op11_nearest_neighbours,
+        op12_whitening,
     )
 }
 
