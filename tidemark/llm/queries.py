@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact_dedup, learned_index, mixing, pii, quality, secret_scan, simhash, suffix_dedup, token_store, whitening
+from tidemark.llm import chat, collocations, decontam, exact_dedup, learned_index, mixing, pii, quality, secret_scan, simhash, suffix_dedup, token_store, whitening
 from tidemark.llm.common import hex_sha256, table
 from tidemark.llm.spans import joined
 
@@ -86,6 +86,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +105,7 @@ QUERIES = {
         op10_suffix_dedup,
         op11_nearest_neighbours,
         op12_whitening,
+        op13_collocations,
     )
 }
 
@@ -144,4 +149,30 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(n) as bigint) as formatted_chars
 from e group by conv_id""",
+    "op13_collocations": rf"""
+with pieces as (
+  select row_number() over () as p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, w[i:i + k - 1] as ws, count(*) as f
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (values (1), (2), (3)) as s(k))
+  group by all),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+cuts as (
+  select c.lang, c.k, c.phrase, c.ws, c.f as a, x.cut, l.f as l, r.f as r,
+    cast(1000000::hugeint * c.f * c.f // (l.f::hugeint * r.f) as bigint) as score
+  from grams c join (values (1), (2)) as x(cut) on x.cut < c.k
+  join grams l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1:x.cut], ' ')
+  join grams r on r.lang = c.lang and r.phrase = array_to_string(c.ws[x.cut + 1:c.k], ' ')
+  where c.k > 1 and c.f >= 10),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (
+  select lang, phrase, max(f) as m from (
+    select lang, array_to_string(ws[1:2], ' ') as phrase, f from grams where k = 3 and f >= 10
+    union all select lang, array_to_string(ws[2:3], ' '), f from grams where k = 3 and f >= 10)
+  group by lang, phrase),
+kept as (select b.* from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase and b.k = 2 where m is null or 100 * m < 50 * a)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join totals using (lang)
+where rank <= 2000""",
 }
