@@ -43,8 +43,8 @@ SHARD_BYTES, STRETCH_BYTES = 16 << 20, 2 << 20
 SHARD_WORDS = 1 << 21
 #: Keys in a bucket, about.
 BUCKET_KEYS = 1 << 21
-#: Candidates of a language that are ranked in one task, about.
-RANK_ROWS = 50_000
+#: Candidates of a language that are ranked in one task, about, and the least number of parts they are cut into first.
+RANK_ROWS, SALTS = 50_000, 16
 BREAK, RESUME = b"\n", b"\r"
 #: A-Z lowered, tabs to spaces, and the marks that end a piece to line ends.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -266,8 +266,9 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, share: i
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(at_one, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(at_one, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("early", "late").alias("score"))
     scored = stored(two.unionByName(three))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salts = max(1, -(-scored.count() // rank_rows))
-    part = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
-    part = part.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= best).drop("salt", "place")
-    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
+    top, salts = scored, max(SALTS, -(-scored.count() // rank_rows))
+    while salts:  # in ever fewer parts of a language, of which each keeps as many as the result may hold
+        place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
+        top = top.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts))).withColumn("rank", place).where(F.col("rank") <= best).drop("salt")
+        salts = max(1, salts // SALTS) if salts > 1 else 0
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
