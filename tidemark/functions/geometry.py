@@ -128,6 +128,16 @@ def in_ring(edges: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
+def on_ring(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge, exactly."""
+
+    def meets(e: Column) -> Column:
+        between = (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"])) & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"]))
+        return between & ((e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"]))
+
+    return F.exists(edges, meets)
+
+
 def edge_distance(edges: Column, x: Column, y: Column) -> Column:
     """Distance of a point to the nearest edge; null without edges."""
 
@@ -157,7 +167,7 @@ def edge_meets_box(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column
 
 
 def usable_ring(ring: Column) -> Column:
-    """At least three distinct points and an area."""
+    """At least three distinct points and an area. A ring that crosses itself passes here: outlines.checked() finds those."""
     return (F.size(F.array_distinct(ring)) >= 3) & (ring_area(ring) > 0)
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import axial_difference, pair_score
+from tidemark.functions.geometry import axial_difference, pair_score, ring_box
+from tidemark.functions.overlay import edges_meet
 from tidemark.operators.assign import assign
+from tidemark.operators.outlines import points
+from tidemark.operators.overlap import covered_area, even_odd_area
 from tidemark.operators.ranks import numbered
-from tidemark.operators.spatial import distance_pairs
+from tidemark.operators.spatial import BOX, box_pairs, distance_pairs
 from tidemark.storage import stored
 
 RADIUS, MIN_SCORE = 5.0, 0.55
@@ -68,6 +72,34 @@ def match(before: DataFrame, after: DataFrame, radius: float = RADIUS, min_score
     }
 
 
+def hits_by_outline(objects: DataFrame, marks: DataFrame, key: str, mark: str, size: float, min_iou: float = 0.05) -> DataFrame:
+    """For each object (key, ring) the marks (mark, ring) whose outlines meet its own: fids, best_fid, best_iou.
+
+    fids are those with an IoU of min_iou or more, or all that meet it if there are none, by IoU, then id. best_fid is the
+    first with any area in common. Outlines that only touch count with an IoU of 0; objects without a mark have an empty list.
+    """
+    side = lambda df, k, s: df.withColumn("b", ring_box(F.col("ring"))).select(F.col(k).alias(s + "id"), F.col("ring").alias(s + "ring"), *[F.col(f"b.{c}").alias(s + c) for c in BOX])
+    pairs = box_pairs(side(objects, key, "l"), side(marks, mark, "r"), size).select("lid", "rid", "lring", "rring")
+
+    def run(batches):
+        for b in batches:
+            iou, meet = [], []
+            for x, y in zip(b["lring"], b["rring"]):
+                x, y = points(x), points(y)
+                shared = covered_area([x, y], 2)
+                iou.append(shared / (even_odd_area(x) + even_odd_area(y) - shared) if shared > 0 else 0.0)
+                meet.append(shared > 0 or edges_meet(x, y))
+            yield pd.DataFrame({"lid": b["lid"], "rid": b["rid"], "iou": iou})[meet]
+
+    hits = pairs.mapInPandas(run, "lid long, rid long, iou double")
+    best = F.struct((-F.col("iou")).alias("k"), F.col("rid").alias("fid"))
+    per = hits.groupBy("lid").agg(F.sort_array(F.collect_list(F.when(F.col("iou") >= min_iou, best))).alias("good"), F.sort_array(F.collect_list(best)).alias("every"), F.max("iou").alias("iou"))
+    some = F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("every"))
+    done = objects.select(key).join(per, F.col(key) == F.col("lid"), "left")
+    fids = F.coalesce(F.transform(some, lambda h: h["fid"]), F.array().cast("array<long>"))
+    return done.select(key, fids.alias("fids"), F.when(F.col("iou") > 0, F.col("every")[0]["fid"]).alias("best_fid"), F.coalesce("iou", F.lit(0.0)).alias("best_iou"))
+
+
 def outcomes(found: dict[str, DataFrame]) -> DataFrame:
     """One row per object: outcome, before_id, after_id, score, distance."""
     none = F.lit(None).cast("double")

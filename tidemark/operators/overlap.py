@@ -1,4 +1,4 @@
-"""Exact areas covered by simple rings: overlaps of pairs, unions of groups."""
+"""Exact areas covered by rings, each read even-odd: overlaps of pairs, unions of groups."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import ring_area, ring_box
+from tidemark.functions.geometry import ring_box
+from tidemark.functions.overlay import crosses_itself, shoelace
 from tidemark.operators.spatial import BOX, box_pairs
 
 Ring = list[tuple[float, float]]
@@ -57,20 +58,25 @@ def _points(ring) -> Ring:
     return [(p["x"], p["y"]) for p in ring]
 
 
+def even_odd_area(ring: Ring) -> float:
+    """What a ring covers, read like overlaps: of one that crosses itself the area in an odd number of turns."""
+    return covered_area([ring]) if crosses_itself(ring) else abs(shoelace(ring)) if len(ring) > 2 else 0.0
+
+
 def ring_overlaps(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None, once: bool = False) -> DataFrame:
     """left (l_id, ring) and right (r_id, ring) whose boxes meet: both ids, overlap, iou, over_smaller (overlap over the smaller area).
 
-    Pairs without area in common are left out. on: equal columns of both.
+    Pairs without area in common are left out. Areas are even-odd like the overlaps, so a ring that crosses itself is like its copies. on: equal columns of both.
     once: only pairs whose left id is the smaller, for a table with itself.
     """
     on = on or []
     spread = lambda df, key, side: df.withColumn("b", ring_box(F.col("ring"))).select(*on, key, F.col("ring").alias(side + "ring"), *[F.col(f"b.{c}").alias(side + c) for c in BOX])
-    pairs = box_pairs(spread(left, "l_id", "l"), spread(right, "r_id", "r"), size, on).where(F.lit(not once) | (F.col("l_id") < F.col("r_id"))).select("l_id", "r_id", "lring", "rring", ring_area(F.col("lring")).alias("la"), ring_area(F.col("rring")).alias("ra"))
+    pairs = box_pairs(spread(left, "l_id", "l"), spread(right, "r_id", "r"), size, on).where(F.lit(not once) | (F.col("l_id") < F.col("r_id"))).select("l_id", "r_id", "lring", "rring")
 
     def run(batches):
         for b in batches:
-            shared = [covered_area([_points(x), _points(y)], 2) for x, y in zip(b["lring"], b["rring"])]
-            yield pd.DataFrame({"l_id": b["l_id"], "r_id": b["r_id"], "la": b["la"], "ra": b["ra"], "overlap": shared})
+            both = [(_points(x), _points(y)) for x, y in zip(b["lring"], b["rring"])]
+            yield pd.DataFrame({"l_id": b["l_id"], "r_id": b["r_id"], "la": [even_odd_area(x) for x, _ in both], "ra": [even_odd_area(y) for _, y in both], "overlap": [covered_area([x, y], 2) for x, y in both]})
 
     got = pairs.mapInPandas(run, "l_id long, r_id long, la double, ra double, overlap double").where("overlap > 0")
     o, a, b = F.col("overlap"), F.col("la"), F.col("ra")

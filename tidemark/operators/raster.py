@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import edge_distance, edge_meets_box, in_ring, let, ring_box, ring_edges
+from tidemark.functions.geometry import edge_distance, edge_meets_box, in_ring, let, on_ring, ring_box, ring_edges
 from tidemark.operators.spatial import BOX
 
 #: Below this an elevation is missing.
@@ -74,8 +74,9 @@ def aligned(targets: DataFrame, source: DataFrame, value: str, fill: float | Non
 def zonal(objects: DataFrame, cells: DataFrame, rows: int, rule: str, grow: float = 0.0) -> DataFrame:
     """Each object (raster_id, object_id, box) with its cells.
 
-    rule: centre (the cell's centre lies in the box), touched (they meet at
-    all) or ring (the centre lies outside and within grow of the box). Objects
+    rule: centre (the cell's centre lies in the box or on its border), touched (they meet at
+    all) or ring (the centre lies outside and within grow of the box). A centre on the border,
+    at distance 0, is the object's on every side and never its ring's. Objects
     with a column ring are taken by that outline, the box being its own. An
     object is spread over the rows of cells it can reach, so the join is an equi join.
     """
@@ -84,7 +85,7 @@ def zonal(objects: DataFrame, cells: DataFrame, rows: int, rule: str, grow: floa
         boxed = edges.select(*[c for c in objects.columns if c not in BOX], "edges", *[F.col(f"b.{c}").alias(c) for c in BOX])
         near = zonal(boxed.drop("ring"), cells, rows, "touched") if rule != "ring" else zonal(boxed.drop("ring").withColumns({"y1": F.col("y1") - grow, "y2": F.col("y2") + grow, "x1": F.col("x1") - grow, "x2": F.col("x2") + grow}), cells, rows, "touched")
         x, y = F.col("c") + 0.5, rows - F.col("r") - 0.5
-        inside = in_ring(F.col("edges"), x, y)
+        inside = on_ring(F.col("edges"), x, y) | in_ring(F.col("edges"), x, y)
         if rule == "touched":
             return near.where(inside | edge_meets_box(F.col("edges"), F.col("c").cast("double"), (rows - F.col("r") - 1).cast("double"), (F.col("c") + 1).cast("double"), (rows - F.col("r")).cast("double")))
         return near.where(inside) if rule == "centre" else near.where(~inside & (edge_distance(F.col("edges"), x, y) <= grow))

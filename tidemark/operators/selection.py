@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import box_area, box_iou, ring_area
 from tidemark.operators.graph import greedy_select
-from tidemark.operators.overlap import ring_overlaps, union_areas
+from tidemark.operators.outlines import union_outlines
+from tidemark.operators.overlap import ring_overlaps
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair, self_box_pairs, sides
 
 
@@ -65,8 +66,8 @@ def merge_under_leaders(objects: DataFrame, size: float, overlap: float = 0.15,
     overlaps its own outline by more than overlap of the smaller of the two,
     if their areas differ by no more than min_ratio (None: whatever they are). nested drops engulfing
     objects first. Groups under min_group members are left out. Objects with a
-    column ring overlap and are ordered by that outline, and union_area is the
-    area that the members' outlines cover together.
+    column ring overlap and are ordered by that outline, and what the members' outlines cover together is
+    returned: outline (the outer ring of its largest part), holes, parts, union_area.
     """
     outlined = "ring" in objects.columns
     area = ring_area(F.col("ring")) if outlined else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
@@ -80,4 +81,7 @@ def merge_under_leaders(objects: DataFrame, size: float, overlap: float = 0.15,
     joined = rows.join(chosen, "id")
     merged = joined.groupBy("leader").agg(F.count(F.lit(1)).alias("duplicate"), F.max("score").alias("score"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     merged = merged.where(F.col("duplicate") >= min_group)
-    return merged.join(union_areas(joined, ["leader"]), "leader") if outlined else merged
+    if not outlined:
+        return merged
+    together = union_outlines(joined, ["leader"]).groupBy("leader").agg(F.min_by("ring", "part").alias("outline"), F.min_by("holes", "part").alias("holes"), F.count(F.lit(1)).alias("parts"), F.sum("area").alias("union_area"))
+    return merged.join(together, "leader")

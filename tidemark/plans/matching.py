@@ -110,12 +110,6 @@ def topk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
-def ordered(df: DataFrame, order: str) -> DataFrame:
-    """Rows in a named order; an unknown name leaves them as they are."""
-    return df.orderBy(*ORDERS[order]()) if order in ORDERS else df
-
-
 def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each object within its band of rows, largest first and west to east."""
     (before,) = load(spark, sf_dir, "survey_before")

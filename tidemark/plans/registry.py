@@ -1,8 +1,8 @@
 """Queries over the given tables by name, each with its SQL where SQL can say it."""
 
-from tidemark.plans import datasets, evaluation, layers, matching, rasters, selection, splits
+from tidemark.plans import datasets, evaluation, layers, matching, outlines, rasters, selection, splits
 
-_PLANS = (matching, selection, evaluation, splits, rasters, datasets, layers)
+_PLANS = (matching, selection, evaluation, splits, rasters, datasets, layers, outlines)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
