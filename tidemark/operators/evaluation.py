@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import box_area, box_iou, let
+from tidemark.operators.graph import components
 from tidemark.operators.ranks import PART, ranged, totals_before
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair
 from tidemark.storage import stored
@@ -37,12 +38,14 @@ def overlaps(dets: DataFrame, truth: DataFrame, size: float = 64.0, crowd: bool
 def greedy_match(dets: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, det_id, gt_id (null: none): each detection, best score first, takes the free object of highest overlap.
 
-    Ties go to the smaller gt_id and the smaller det_id. Crowd objects are to be left out before.
+    Ties go to the smaller gt_id and the smaller det_id. Crowd objects are to be left out before. Only
+    detections that share a candidate, directly or through others, wait for each other: each such
+    component is a fold of its own, however many objects its image has.
     """
-    found = overlaps(dets, truth).where(F.col("iou") >= threshold)
-    lists = found.groupBy("det_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("k"), "gt_id"))).alias("c"))
-    rows = dets.select("image_id", "det_id", "score").join(lists, "det_id", "left")
-    per = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("det_id"), F.coalesce(F.transform("c", lambda x: x["gt_id"]), F.array().cast("array<bigint>")).alias("c")))).alias("ds"))
+    found = stored(overlaps(dets, truth).where(F.col("iou") >= threshold).join(dets.select("det_id", "score"), "det_id"))
+    roots = components(found.select((2 * F.col("det_id")).alias("u"), (2 * F.col("gt_id") + 1).alias("v"))).select(F.col("node").alias("u"), "root")
+    lists = found.groupBy("det_id", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("k"), "gt_id"))).alias("c")).withColumn("u", 2 * F.col("det_id"))
+    per = lists.join(roots, "u").groupBy("root").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("det_id"), F.transform("c", lambda x: x["gt_id"]).alias("c")))).alias("ds"))
 
     def step(a: Column, d: Column) -> Column:
         free = F.filter(d["c"], lambda g: ~F.array_contains(a["used"], g))
@@ -50,7 +53,8 @@ def greedy_match(dets: DataFrame, truth: DataFrame, threshold: float = 0.5) -> D
         return let(F.slice(free, 1, 1), row)
 
     done = F.aggregate("ds", F.expr("struct(cast(array() as array<bigint>) as used, cast(array() as array<struct<det_id:bigint,gt_id:bigint>>) as out)"), step, lambda a: a["out"])
-    return per.select("image_id", F.explode(done).alias("m")).select("image_id", "m.det_id", "m.gt_id")
+    taken = per.select(F.explode(done).alias("m")).select("m.det_id", "m.gt_id")
+    return dets.select("image_id", "det_id").join(taken, "det_id", "left").select("image_id", "det_id", "gt_id")
 
 
 def precision_recall(images: DataFrame, dets: DataFrame, truth: DataFrame, threshold: float = 0.5, empty_is_right: bool = True) -> DataFrame:
@@ -117,7 +121,7 @@ def coco_metrics(dets: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, (lo, hi) in SIZES.items()]))
     counted = truth.withColumn("area", area).withColumn("k", sizes).where("iscrowd = 0 and area >= k.lo and area <= k.hi").groupBy(*by, F.col("k.size").alias("size")).agg(F.count(F.lit(1)).alias("npig"))
-    flagged = coco_matches(dets, truth).where(~F.col("ignored")).join(counted, [*by, "size"])
+    flagged = stored(coco_matches(dets, truth).where(~F.col("ignored")).join(counted, [*by, "size"]))
     order = [F.desc("score"), F.col("image_id"), F.col("place")]
     group = [*by, "size", "t"]
     # an image's curve is short; the curve over all is cut into ranges of its order, whose totals are added

@@ -10,6 +10,7 @@ from tidemark.operators.graph import greedy_select
 from tidemark.operators.outlines import union_outlines
 from tidemark.operators.overlap import ring_overlaps
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair, self_box_pairs, sides
+from tidemark.storage import stored
 
 
 def _pair_boxes() -> tuple[tuple, tuple]:
@@ -52,7 +53,10 @@ def suppress(objects: DataFrame, size: float, iou: float = 0.4, near: float | No
 
 def engulfing(objects: DataFrame, size: float, inside: float = 0.5, ratio: float = 0.25, group: list[str] | None = None) -> DataFrame:
     """Ids of objects with a strictly smaller one that lies in them by the share inside or more and is smaller than ratio of them."""
-    pairs = _overlapping(objects, size, group or [])
+    return _engulfing(_overlapping(objects, size, group or []), inside, ratio)
+
+
+def _engulfing(pairs: DataFrame, inside: float = 0.5, ratio: float = 0.25) -> DataFrame:
     left, right = F.col("l_area"), F.col("r_area")
     small, large = F.least(left, right), F.greatest(left, right)
     bad = pairs.where((small < large) & (F.col("overlap") >= inside * small) & (small / large < ratio))
@@ -71,14 +75,17 @@ def merge_under_leaders(objects: DataFrame, size: float, overlap: float = 0.15,
     """
     outlined = "ring" in objects.columns
     area = ring_area(F.col("ring")) if outlined else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    rows = objects.join(engulfing(objects, size, group=group), "id", "left_anti") if nested else objects
-    pairs = _overlapping(rows, size, group or [])
+    pairs, rows = stored(_overlapping(objects, size, group or [])), objects
+    if nested:
+        outer = stored(_engulfing(pairs))
+        rows = objects.join(outer, "id", "left_anti")
+        pairs = pairs.join(outer.withColumnRenamed("id", "lid"), "lid", "left_anti").join(outer.withColumnRenamed("id", "rid"), "rid", "left_anti")
     small, large = F.least("l_area", "r_area"), F.greatest("l_area", "r_area")
     linked = pairs.where(F.col("overlap") > overlap * small)
     if min_ratio is not None:
         linked = linked.where(small >= min_ratio * large)
     chosen = greedy_select(rows.withColumn("area", area), linked.select(F.col("lid").alias("a"), F.col("rid").alias("b")), [-F.col("area"), F.col("id")])
-    joined = rows.join(chosen, "id")
+    joined = stored(rows.join(chosen, "id"))
     merged = joined.groupBy("leader").agg(F.count(F.lit(1)).alias("duplicate"), F.max("score").alias("score"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     merged = merged.where(F.col("duplicate") >= min_group)
     if not outlined:
