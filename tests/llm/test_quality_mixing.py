@@ -47,50 +47,66 @@ def test_odd_rows_and_labels(spark):
     assert quality.keep_good(df, labels).columns == df.columns
 
 
-def plain_schedule(units):
-    """Slot by slot, over all blocks of a period."""
-    period = sum(units.values())
-    left = [(s, j, Fraction(j * period, units[s]), Fraction((j + 1) * period, units[s])) for s in units for j in range(units[s])]
-    out = []
-    for t in range(period):
-        free = [b for b in left if b[2].__floor__() <= t]
-        best = min(free, key=lambda b: (b[3].__ceil__(), b[0], b[1]))
-        left.remove(best)
-        out.append(best[0])
+def plain_pfair(shares, blocks):
+    """Slot by slot over every block's window, from the definition: slot of each (source, block)."""
+    left = {(s, j): (j / shares[s], (j + 1) / shares[s]) for s in shares for j in range(blocks.get(s, 0))}
+    out, t = {}, 0
+    while left:
+        free = [(-(-d.numerator // d.denominator), s, j) for (s, j), (r, d) in left.items() if r.numerator // r.denominator <= t]
+        if free:
+            deadline, s, j = min(free)
+            assert deadline > t
+            del left[s, j]
+            out[s, j] = t
+        t += 1
     return out
 
 
-@pytest.mark.parametrize("units", [{"a": 1}, {"a": 3, "b": 2, "c": 1}, {"a": 17, "b": 1, "c": 1, "d": 5}, {"a": 5, "b": 5}])
-def test_schedule_against_brute_force(units):
-    got = mixing.schedule(units)
-    assert got == plain_schedule(units)
-
-
-def test_schedule_deviates_by_less_than_a_block():
-    rng = np.random.default_rng(1)
-    for _ in range(30):
-        units = mixing.quotas({f"s{k}": float(w) for k, w in enumerate(rng.pareto(1, rng.integers(1, 40)) + 0.01)}, 200)
-        assert sum(units.values()) == 200
-        seen, period = Counter(), 200
-        for t, s in enumerate(mixing.schedule(units), 1):
-            seen[s] += 1
-            assert all(abs(seen[x] * period - t * units[x]) < period for x in units)
-
-
-def brute_mix(rows, hashes, weights, block_chars, period):
-    units = mixing.quotas(weights, period)
-    order = plain_schedule(units)
-    out = []
+def shares_of(weights):
+    return {s: Fraction(w, mixing.PARTS) for s, w in mixing.whole(weights).items()}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 1.0, "b": 2.0}, {"a": 3, "b": 2, "c": 1}, {"a": 17, "b": 1, "c": 1, "d": 5}, {"a": 5, "b": 5}, {"a": 0.37, "b": 0.11, "c": 2.9}])
+def test_schedule_against_brute_force(weights):
+    blocks = {s: 5 + 9 * k for k, s in enumerate(weights)} | {"other": 3}
+    parts = mixing.whole(weights)
+    got = list(mixing.schedule(parts, blocks))
+    assert {(s, j): t for t, s, j in got} == plain_pfair(shares_of(weights), {s: n for s, n in blocks.items() if s in weights})
+    again = []
+    for slot, done, n in mixing.notes(parts, blocks, 7):
+        again += list(zip(range(n), mixing.schedule(parts, blocks, dict(zip(parts, done)), slot)))
+    assert [x for _, x in again] == got
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 2.0}, {"a": 0.9, "b": 0.05, "c": 0.03, "d": 0.02}, {f"s{k}": float(k % 7 + 1) ** 0.5 for k in range(20)}, {f"s{k}": 1.0 / (k + 1) for k in range(60)}, {"big": 500.0} | {f"t{k}": 1.0 for k in range(500)}])
+def test_every_source_is_less_than_a_block_off_its_weight_at_every_slot(weights):
+    total, slots = sum(map(Fraction, weights.values())), 20_000
+    share = {s: float(Fraction(w) / total) for s, w in weights.items()}
+    seen, worst = np.zeros(len(share)), 0.0
+    place, want = {s: k for k, s in enumerate(share)}, np.array(list(share.values()))
+    blocks = {s: int(slots * w) + 2 for s, w in share.items()}
+    for t, (slot, s, j) in enumerate(mixing.schedule(mixing.whole(weights), blocks)):
+        if t == slots - 10:
+            break
+        assert slot == t and j == seen[place[s]]
+        seen[place[s]] += 1
+        worst = max(worst, abs(seen - (t + 1) * want).max())
+    assert worst < 1 + 1e-9
+
+
+def brute_mix(rows, hashes, weights, block_chars):
+    placed = []
     for s in {r[2] or "" for r in rows}:
-        own = sorted((hashes[r[0]] & (2**64 - 1), r[0], len(r[1] or "")) for r in rows if (r[2] or "") == s)
         at = 0
-        places = [t for t, x in enumerate(order) if x == s]
-        for _, i, n in own:
-            block = at // block_chars
-            slot = block // len(places) * len(order) + places[block % len(places)] if places else None
-            out.append((i, s, block, slot))
+        for _, i, n in sorted((hashes[r[0]] & (2**64 - 1), r[0], len(r[1] or "")) for r in rows if (r[2] or "") == s):
+            placed.append((i, s, at // block_chars))
             at += n
-    return sorted(out)
+        placed.append((None, s, at // block_chars))
+    blocks = Counter()
+    for _, s, block in placed:
+        blocks[s] = max(blocks[s], block + 1)
+    slots = plain_pfair(shares_of(weights), {s: n for s, n in blocks.items() if s in weights})
+    return sorted((i, s, block, slots.get((s, block))) for i, s, block in placed if i is not None)
 
 
 def test_mix_against_brute_force(spark):
@@ -98,23 +114,39 @@ def test_mix_against_brute_force(spark):
     rows += [(900, "x y", None, 1), (901, None, None, 1), (902, "late", "left out", 1)]
     rows = list({r[0]: r for r in rows}.values())
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
-    weights = {"hot": 4.0, "s0": 1.0, "s1": 2.0, "s2": 1.0, "": 0.5}
-    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    got = mixing.mix(df, weights, 500, 20)
+    weights = {"hot": 4.0, "s0": 1.0, "s1": 2.0, "s2": 1.0, "": 0.5, "absent": 1.0}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    got = mixing.mix(df, weights, 500)
     assert got.columns[:4] == df.columns
     have = sorted((r.doc_id, r.mix_source, r.mix_block, r.mix_slot if r.mix_slot < 1 << 61 else None) for r in got.collect())
-    assert have == brute_mix(rows, hashes, weights, 500, 20)
+    assert have == brute_mix(rows, hashes, weights, 500)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_rows_without_ids_or_with_one_id_all_stay_and_fill_their_blocks(spark):
+    rows = [(None, "t" * (k % 9), "a", 5, "z") for k in range(60)] + [(7, "u" * (k % 13), "a", 5, "z") for k in range(80)] + [(7, "u", "b", 5, "z")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot int, `mix_cut` string")
+    got = mixing.mix(df, {"a": 1.0, "b": 1.0}, 10).toPandas()
+    assert len(got) == len(rows) and got["mix_slot"].ne(5).any() and (got["mix_cut"] == "z").all()
+    for s, own in got.groupby("mix_source"):
+        at = 0
+        for _, r in own.assign(u=own["mix_order"].astype("int64").to_numpy().view("uint64")).sort_values(["mix_block"]).iterrows():
+            at += len(r["text"])
+        assert own["mix_block"].max() <= at // 10
+        starts = sorted(own["mix_block"])
+        assert starts[0] == 0 and all(y - x <= 2 for x, y in zip(starts, starts[1:]))
+    back = mixing.in_mixed_order(df, {"a": 1.0, "b": 1.0}, 10)
+    assert back.columns == df.columns and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
 def test_query_places_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op8_mixing(spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
     weights = mixing.smoothed_weights(docs)
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    assert sorted((r.doc_id, r.source, r.block, r.slot) for r in got) == brute_mix(rows, hashes, weights, mixing.BLOCK_CHARS, mixing.PERIOD)
+    assert sorted((r.doc_id, r.source, r.block, r.slot) for r in got) == brute_mix(rows, hashes, weights, mixing.BLOCK_CHARS)
 
 
 def test_mixed_order_of_rows(spark, tmp_path):
@@ -125,21 +157,19 @@ def test_mixed_order_of_rows(spark, tmp_path):
     assert [r.doc_id for r in back] == sorted(slots, key=lambda i: slots[i])
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 2.0}, {f"s{k}": float(k % 7 + 1) ** 0.5 for k in range(20)}, {"big": 500.0} | {f"t{k}": 1.0 for k in range(500)}])
-def test_the_rounding_of_weights_never_adds_up(weights):
-    total, period, seen, at = sum(weights.values()), mixing.PERIOD, Counter(), 0
-    for _, units in zip(range(400), mixing.deal(weights, period)):
-        assert sum(units.values()) == period
-        seen.update(units)
-        at += period
-        assert all(abs(seen[s] - at * w / total) < 1 + 1e-6 for s, w in weights.items())
+def test_blocks_grow_so_that_the_driver_deals_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 20)
+    rows = [(k, "x" * 20, "a" if k % 3 else "b") for k in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == 3000 and 50 <= len(got[["mix_source", "mix_block"]].drop_duplicates()) <= 52
 
 
-def test_mix_keeps_to_the_weights_over_many_periods(spark):
+def test_mix_keeps_to_the_weights(spark):
     rows = [(k, "x" * 20, "a" if k % 3 else "b") for k in range(12000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 2.0, "b": 1.0}, 20).collect()
     assert len(got) == len(rows) == len({r.mix_slot for r in got})
     seen = Counter()
     for t, r in enumerate(sorted(got, key=lambda r: r.mix_slot), 1):
         seen[r.mix_source] += 1
-        assert abs(seen["a"] - t * 2 / 3) < 2 and (t % mixing.PERIOD or abs(seen["a"] - t * 2 / 3) < 1)
+        assert abs(seen["a"] - t * 2 / 3) < 1

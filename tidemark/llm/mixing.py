@@ -1,27 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in the order of a hash of their ids, are cut into blocks
+A source's documents, in the order of a hash of their ids and texts, are cut into blocks
 of BLOCK_CHARS characters. Time runs in slots of one block. Block j of a
 source of weight w may run from slot floor(j / w) on and must run before slot
-ceil((j + 1) / w); the earliest deadline among the released blocks runs. With
-weights that sum to one, every block meets its window, so that at any time
-each source is less than one block away from its weight's share.
-
-The slots are dealt in periods. At a period's end each source has had its
-exact share of all slots so far, rounded up or down: every block that is due by
-then and, in the order of their deadlines, some that are released (deal()).
-Rounding is carried on to the next period and never adds up: a source is less
-than one block away from its weight's share at every period's end and less than
-two within a period, however long the corpus. The driver deals the periods from
-the weights and the sources' lengths; tasks lay out the slots of each. Slots of
-a source that has run out stay empty, the others keep their proportions;
-nothing is dropped or repeated.
+ceil((j + 1) / w), in whole numbers without rounding; the earliest deadline among the released
+blocks runs. With weights that sum to one, every block meets its window, so that at any slot
+each source that has blocks left is less than one block away from its weight's share, however long the corpus.
+
+The state of a schedule is how many blocks each source has had. The driver runs it once and
+notes this state every so many slots; tasks lay out the slots between two notes. To bound what the
+driver does, blocks grow with the corpus beyond BLOCKS of them.
+Slots of a source that has run out stay empty or take another's released block; nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,8 +27,8 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import BROADCAST_BYTES
 from tidemark.storage import stored
 
-#: Characters in a block, slots in a period, exponent that smooths shares.
-BLOCK_CHARS, PERIOD, EXPONENT = 1 << 16, 1000, 0.5
+#: Characters in a block, blocks at most before they grow, blocks between two notes, exponent that smooths shares.
+BLOCK_CHARS, BLOCKS, NOTED, EXPONENT = 1 << 16, 1 << 22, 4096, 0.5
 #: Ranges of the hash into which a source is cut for counting: the least number of bits; more if a cut of 2**20 rows of all needs them.
 CUT_BITS, CUT_ROWS = 10, 1 << 20
 #: What mix() adds.
@@ -49,114 +45,75 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def deal(weights: dict[str, float], period: int) -> Iterator[dict[str, int]]:
-    """Slots of each source in the first, second, ... period; each source's sum is its exact share rounded up or down."""
-    parts = whole(weights)
-    done = dict.fromkeys(parts, 0)
-    end = 0
-    while True:
-        end += period
-        now = {s: max(done[s], end * w // PARTS) for s, w in parts.items()}
-        more = [(-(-(now[s] + 1) * PARTS // w), s) for s, w in parts.items() if now[s] * PARTS < end * w]
-        for _, s in sorted(more)[: end - sum(now.values())]:
-            now[s] += 1
-        if sum(now.values()) != end:
-            raise AssertionError("a period is not full")
-        yield {s: now[s] - done[s] for s in parts}
-        done = now
-
-
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in the first period, at least one each (of more slots if there are more sources)."""
-    out = next(deal(weights, max(period, len(weights))))
-    for s in sorted(s for s in out if not out[s]):
-        out[max(out, key=lambda x: (out[x], x))] -= 1
-        out[s] = 1
-    return out
+def window(block: int, weight: int) -> tuple[int, int]:
+    """First slot of a block's window and the slot it must come before."""
+    return block * PARTS // weight, -(-(block + 1) * PARTS // weight)
 
 
-def schedule(units: dict[str, int]) -> list[str]:
-    """The source of each slot of a period: earliest deadline first among released blocks."""
-    period = sum(units.values())
-    waiting = [(0, s, 0) for s in units if units[s]]  # (release, source, block)
+def schedule(weights: dict[str, int], blocks: dict[str, int], done: dict[str, int] | None = None, slot: int = 0) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) in order, from a state on: earliest deadline first among released blocks, ties by source. Slots without one are left out."""
+    waiting, ready = [], []  # (release, source, block), (deadline, source, block)
+    for s in weights:
+        if (j := (done or {}).get(s, 0)) < blocks.get(s, 0):
+            waiting.append((window(j, weights[s])[0], s, j))
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // units[s]), s, j))
+            heapq.heappush(ready, (window(j, weights[s])[1], s, j))
         deadline, s, j = heapq.heappop(ready)
-        if deadline <= t:
+        if deadline <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if j + 1 < units[s]:
-            heapq.heappush(waiting, ((j + 1) * period // units[s], s, j + 1))
-    return out
+        yield slot, s, j
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (window(j + 1, weights[s])[0], s, j + 1))
+        slot += 1
 
 
 def smoothed_weights(docs: DataFrame, exponent: float = EXPONENT) -> dict[str, float]:
-    """Each source's share of all characters to a power; one number per source comes to the driver."""
+    """Each source's share of all characters to a power; one number per source comes to the driver.
+
+    Null sources count as the empty one, null texts as empty, a source without characters as if it had one; an empty table has no weights.
+    """
     rows = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n")).collect()
     return {r["s"]: float(max(r["n"], 1)) ** exponent for r in rows}
 
 
-def periods(weights: dict[str, float], blocks: dict[str, int], period: int, fixed: bool) -> Iterator[tuple[int, list[str], list[int], list[int]]]:
-    """Each period's number, sources, their first blocks and slots, until all blocks are placed; periods without any are left out."""
-    if not weights:
-        return
-    same = quotas(weights, period) if fixed else None
-    dealt = deal(weights, period)
+def notes(weights: dict[str, int], blocks: dict[str, int], every: int = NOTED) -> Iterator[tuple[int, list[int], int]]:
+    """The slot, the blocks done of each source of weights, and the blocks to come until the next note."""
+    every = max(every, 16 * len(weights))
+    total = sum(n for s, n in blocks.items() if s in weights)
     done = dict.fromkeys(weights, 0)
-    left = {s for s in weights if blocks.get(s)}
-    k = 0
-    while left:
-        units = same or next(dealt)
-        if any(units[s] for s in left):
-            yield k, list(units), [done[s] for s in units], list(units.values())
-        for s in units:
-            done[s] += units[s]
-        left = {s for s in left if done[s] < blocks[s]}
-        k += 1
-
-
-def laid_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The slots of periods() for the blocks that there are."""
-    for f in frames:
-        for r in f.itertuples():
-            at = dict(zip(r.sources, r.first))
-            last = dict(zip(r.sources, r.blocks))
-            rows = []
-            start = r.period * sum(r.units)
-            for t, s in enumerate(schedule(dict(zip(r.sources, map(int, r.units))))):
-                if at[s] < last[s]:
-                    rows.append((s, at[s], start + t))
-                at[s] += 1
-            yield pd.DataFrame(rows, columns=["mix_source", "mix_block", "mix_slot"])
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
+    for k, (slot, s, _) in enumerate(schedule(weights, blocks)):
+        if k % every == 0:
+            yield slot, list(done.values()), min(every, total - k)
+        done[s] += 1
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int | None = None) -> DataFrame:
     """docs with its columns and mix_source, mix_block, mix_slot, mix_order.
 
     Documents in order of (mix_slot, mix_order) are the mix. docs needs doc_id,
     text and source. A null source counts as the empty one; sources that weights
     leave out come after all others; null text is empty; a document longer than
-    a block takes the slot it starts in. Rows that tie in id stand in the order
-    of their texts' lengths, equal rows are interchangeable; rows without an id
-    go by a hash of their text. Columns of docs that bear one of the new names give
-    way to them here and stay in in_mixed_order(). An empty table gives no rows. A period
-    that is given is repeated as it is, with whole slots for weights; by default
-    the weights are exact and the rounding is carried on.
+    a block takes the slot it starts in. Rows that tie in the hash stand in the order
+    of their ids and their texts' lengths, equal rows are interchangeable; rows without an id
+    go by their text. Columns of docs that bear one of the new names give
+    way to them here and stay in in_mixed_order(). An empty table gives no rows. Blocks
+    have block_chars characters; by default BLOCK_CHARS, or more if the corpus has over BLOCKS such blocks.
     """
-    timed = _timed(docs, weights, block_chars, period)
+    timed = _timed(docs, weights, block_chars)
     return timed.select(*[F.col(f"mix_c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in MIX_COLUMNS], *MIX_COLUMNS)
 
 
-def _timed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, period: int | None) -> DataFrame:
+def _timed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int | None) -> DataFrame:
     """The columns of docs, as mix_c0, mix_c1, ..., mix_id (the doc_id) and MIX_COLUMNS."""
     spark = docs.sparkSession
     weights = smoothed_weights(docs) if weights is None else weights
-    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    # of an id, however many rows have it, each text has a hash of its own
+    hashed = F.xxhash64("doc_id", "text")
     bits = max(CUT_BITS, (docs.count() // CUT_ROWS).bit_length())
     rows = docs.select(
         *[docs[c].alias(f"mix_c{k}") for k, c in enumerate(docs.columns)],
@@ -170,25 +127,34 @@ def _timed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int,
     cuts = rows.groupBy("mix_source", "mix_cut").agg(F.sum("mix_chars").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = stored(cuts.withColumn("mix_before", before).withColumnRenamed("n", "mix_own"))
+    if block_chars is None:
+        size = cuts.agg(F.sum("mix_own").alias("n")).first()["n"] or 0
+        block_chars = max(BLOCK_CHARS, -(-size // BLOCKS))
     own = Window.partitionBy("mix_source", "mix_cut").orderBy("mix_order", "mix_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("mix_chars", F.coalesce(F.sum("mix_chars").over(own), F.lit(0)))
     placed = placed.join(cuts, ["mix_source", "mix_cut"]).drop("mix_own").withColumn("mix_block", F.floor((F.col("mix_before") + F.col("mix_chars")) / block_chars))
     ends = cuts.groupBy("mix_source").agg(F.max(F.col("mix_before") + F.col("mix_own")).alias("n")).collect()
     blocks = {r["mix_source"]: r["n"] // block_chars + 1 for r in ends}
-    rows = ((k, names, first, units, [blocks.get(s, 0) for s in names]) for k, names, first, units in periods(weights, blocks, period or PERIOD, period is not None))
-    schema = "period long, sources array<string>, first array<long>, units array<long>, blocks array<long>"
-    plan = spark.createDataFrame(list(rows), schema)
-    times = plan.repartition("period").mapInPandas(laid_out, "mix_source string, mix_block long, mix_slot long")
+    parts = whole(weights) if weights else {}
+    plan = spark.createDataFrame(list(notes(parts, blocks)), "slot long, done array<long>, n long")
+
+    def laid_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                there = islice(schedule(parts, blocks, dict(zip(parts, map(int, r.done))), int(r.slot)), int(r.n))
+                yield pd.DataFrame([(s, j, t) for t, s, j in there], columns=["mix_source", "mix_block", "mix_slot"])
+
+    times = plan.repartition("slot").mapInPandas(laid_out, "mix_source string, mix_block long, mix_slot long")
     small = sum(n for s, n in blocks.items() if s in weights) * 128 <= BROADCAST_BYTES
     timed = placed.join(F.broadcast(times) if small else times, ["mix_source", "mix_block"], "left")
     return timed.select(*[f"mix_c{k}" for k in range(len(docs.columns))], "mix_id", "mix_source", "mix_block", F.coalesce("mix_slot", F.lit((1 << 62)) + F.col("mix_block")).alias("mix_slot"), "mix_order")
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int | None = None) -> DataFrame:
     """The rows and columns of docs, written out in the order of the mix: partition by partition, row by row.
 
     Every row stays, with its columns, whatever their names. Cases as for mix().
     """
     keys = ["mix_slot", "mix_source", "mix_order", "mix_id"]
-    mixed = _timed(docs, weights, block_chars, period)
+    mixed = _timed(docs, weights, block_chars)
     return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[F.col(f"mix_c{k}").alias(c) for k, c in enumerate(docs.columns)])
