@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
-from tidemark.operators import assign, dataset, evaluation, graph, matching, raster, selection, spatial
+from tidemark.operators import assign, dataset, evaluation, graph, grids, matching, raster, selection, spatial
 
 SURVEY = "id long, cx double, cy double, side double, volume double, orientation double"
 
@@ -179,10 +179,10 @@ def test_raster_kernels(spark):
     g = np.zeros((5, 5))
     g[2, 2], g[0, 0] = 9, np.nan
     assert (raster.median_filtered(g, 3) == 0).all()
-    chunk = raster.chunks(spark.createDataFrame([(1, r, c, float(r * 10 + c)) for r in range(9) for c in range(7)], "raster_id long, r long, c long, z double"), "z", 4)
-    back = sorted((r.r, r.c, r.z) for r in raster.cells_of(chunk).collect())
+    chunk = grids.chunks(spark.createDataFrame([(1, r, c, float(r * 10 + c)) for r in range(9) for c in range(7)], "raster_id long, r long, c long, z double"), "z", 4)
+    back = sorted((r.r, r.c, r.z) for r in grids.cells_of(chunk).collect())
     assert back == [(r, c, float(r * 10 + c)) for r in range(9) for c in range(7)]
-    assert len(raster.cells_of(chunk, (2, 3, 1, 2), 1).collect()) == 16
+    assert len(grids.window(chunk, (2, 1, 4, 3), 1).collect()) == 16
 
 
 def test_clipped_parts_of_a_comb(spark):

@@ -13,12 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import edge_distance, edge_meets_box, in_ring, let, on_ring, ring_box, ring_edges
 from tidemark.operators.spatial import BOX
 
 #: Below this an elevation is missing.
 LOWEST = -100.0
+#: Columns of cells in a block.
+COLUMNS = 32
 
 
 def clean(z: Column) -> Column:
@@ -26,23 +29,6 @@ def clean(z: Column) -> Column:
     return F.when(~F.isnan(z) & (z >= LOWEST), z)
 
 
-def chunks(cells: DataFrame, value: str, side: int = 256) -> DataFrame:
-    """The chunk table of a raster: raster_id, chunk_r, chunk_c, r0, c0, h, w, vals (rows of cells in order; missing cells null)."""
-    placed = cells.withColumns({"chunk_r": F.floor(F.col("r") / side), "chunk_c": F.floor(F.col("c") / side)})
-    rows = placed.groupBy("raster_id", "chunk_r", "chunk_c").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") - F.min("r") + 1).alias("h"), (F.max("c") - F.min("c") + 1).alias("w"), F.map_from_entries(F.collect_list(F.struct((F.col("r") * (1 << 20) + F.col("c")).alias("k"), F.col(value).cast("float").alias("v")))).alias("m"))
-    at = lambda i: F.col("m")[(F.col("r0") + F.floor(i / F.col("w"))) * (1 << 20) + F.col("c0") + i % F.col("w")]
-    return rows.withColumn("vals", F.transform(F.sequence(F.lit(0).cast("long"), F.col("h") * F.col("w") - 1), at)).drop("m")
-
-
-def cells_of(chunk: DataFrame, bounds: tuple[int, int, int, int] | None = None, pad: int = 0) -> DataFrame:
-    """Cells of a chunk table; bounds (r0, r1, c0, c1, ends in) are padded and read by pruning whole chunks first."""
-    if bounds is not None:
-        r0, r1, c0, c1 = bounds[0] - pad, bounds[1] + pad, bounds[2] - pad, bounds[3] + pad
-        chunk = chunk.where((F.col("r0") <= r1) & (F.col("r0") + F.col("h") > r0) & (F.col("c0") <= c1) & (F.col("c0") + F.col("w") > c0))
-    out = chunk.select("raster_id", "r0", "c0", "w", F.posexplode("vals").alias("i", "z")).select("raster_id", (F.col("r0") + F.floor(F.col("i") / F.col("w"))).alias("r"), (F.col("c0") + F.col("i") % F.col("w")).alias("c"), "z")
-    return out if bounds is None else out.where(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
-
-
 def filled(cells: DataFrame, value: str) -> DataFrame:
     """Missing values replaced by the raster's median, or 0 where all are missing."""
     m = cells.groupBy("raster_id").agg(F.median(value).alias("fill"))
@@ -78,7 +64,7 @@ def zonal(objects: DataFrame, cells: DataFrame, rows: int, rule: str, grow: floa
     all) or ring (the centre lies outside and within grow of the box). A centre on the border,
     at distance 0, is the object's on every side and never its ring's. Objects
     with a column ring are taken by that outline, the box being its own. An
-    object is spread over the rows of cells it can reach, so the join is an equi join.
+    object is spread over the rows and blocks of columns it can reach, so the join is an equi join of near ones.
     """
     if "ring" in objects.columns:
         edges = objects.withColumns({"b": ring_box(F.col("ring")), "edges": ring_edges(F.col("ring"))})
@@ -91,8 +77,10 @@ def zonal(objects: DataFrame, cells: DataFrame, rows: int, rule: str, grow: floa
         return near.where(inside) if rule == "centre" else near.where(~inside & (edge_distance(F.col("edges"), x, y) <= grow))
     reach = grow if rule == "ring" else 0.0
     first, last = F.floor(rows - F.col("y2") - reach) - 1, F.ceil(rows - F.col("y1") + reach)
+    block = lambda c: F.floor(F.greatest(c, F.lit(0.0)) / COLUMNS).cast("long")
     o = objects.withColumn("r", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.greatest(last, F.lit(0)).cast("long"))))
-    both = o.join(cells, ["raster_id", "r"])
+    o = o.withColumn("zonal_block", F.explode(F.sequence(block(F.col("x1") - reach - 1), block(F.col("x2") + reach + 1))))
+    both = o.join(cells.withColumn("zonal_block", block(F.col("c"))), ["raster_id", "r", "zonal_block"]).drop("zonal_block")
     x, y = F.col("c") + 0.5, rows - F.col("r") - 0.5
     if rule == "touched":
         return both.where((F.col("c") <= F.col("x2")) & (F.col("c") + 1 >= F.col("x1")) & (rows - F.col("r") - 1 <= F.col("y2")) & (rows - F.col("r") >= F.col("y1")))
@@ -262,37 +250,52 @@ def cubic_base_volumes(objects: DataFrame, cells: DataFrame, rows: int, value: s
     return made
 
 
-def section(window: pd.DataFrame, cx: float, cy: float, theta: float) -> pd.DataFrame:
-    """Nearest cells along the line through (cx, cy), 1-based, at theta - 90 degrees: x, y, z, step.
-
-    A line that leaves the grid through top and bottom steps by rows. Missing
-    cells are 0; the first point and zero cells have step 0.
-    """
-    n_cols, n_rows = int(window["c"].max()) + 1, int(window["r"].max()) + 1
-    grid = np.zeros((n_rows, n_cols))
-    grid[window["r"], window["c"]] = window["z"].fillna(0.0)
-    slope = math.tan(math.radians(math.fmod(theta - 90, 360)))
-    x = np.arange(1, n_cols + 1, dtype=float)
-    y = x * slope + (cy - slope * cx)
-    if (y[0] < 1 and y[-1] > n_rows) or (y[-1] < 1 and y[0] > n_rows):
-        y = np.arange(1, n_rows + 1, dtype=float)
-        x = (y - (cy - slope * cx)) / slope
-    near = lambda v: np.floor(v + 0.5).astype(int)
-    ok = (near(x) > 0) & (near(x) <= n_cols) & (near(y) > 0) & (near(y) <= n_rows)
-    x, y = x[ok], y[ok]
-    z = grid[near(y) - 1, near(x) - 1]
-    step = np.r_[0.0, np.hypot(np.diff(x), np.diff(y))] if len(x) else x
-    return pd.DataFrame({"x": near(x), "y": near(y), "z": z, "step": np.where(z != 0, step, 0.0)})
-
-
 def sections(objects: DataFrame, cells: DataFrame, value: str) -> DataFrame:
-    """objects (raster_id, object_id, cx, cy, theta) to length and area of their profile; a raster is one window."""
-    joined = objects.join(cells.select("raster_id", "r", "c", F.col(value).alias("z")), "raster_id")
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        s = section(g, *g.iloc[0][["cx", "cy", "theta"]].astype(float))
-        return pd.DataFrame([{"raster_id": key[0], "object_id": key[1], "length": float(s["step"].sum()), "area": float((s["z"] * s["step"]).sum())}])
-
-    return joined.groupBy("raster_id", "object_id").applyInPandas(one, "raster_id long, object_id long, length double, area double")
-
+    """objects (raster_id, object_id, cx, cy, theta) to length and area of their profile: the nearest cells along the line through (cx, cy), 1-based, at theta - 90 degrees.
 
+    The line takes a step a column, or a row if it leaves the grid through top and bottom. Missing
+    cells are 0; the first point and zero cells have step 0. Steps outside the grid count nothing; an object whose line meets no cell has 0 and 0.
+    """
+    size = cells.groupBy("raster_id").agg((F.max("c") + 1).alias("n_cols"), (F.max("r") + 1).alias("n_rows"))
+    slope = F.tan(F.radians((F.col("theta") - 90) % 360))
+    line = objects.join(size, "raster_id").withColumn("slope", slope).withColumn("lift", F.col("cy") - F.col("slope") * F.col("cx"))
+    first, last = 1 * F.col("slope") + F.col("lift"), F.col("n_cols") * F.col("slope") + F.col("lift")
+    steep = ((first < 1) & (last > F.col("n_rows"))) | ((last < 1) & (first > F.col("n_rows")))
+    line = line.withColumn("steep", steep).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.when(steep, F.col("n_rows")).otherwise(F.col("n_cols")).cast("long"))))
+    k = F.col("k").cast("double")
+    line = line.withColumn("x", F.when(F.col("steep"), (k - F.col("lift")) / F.col("slope")).otherwise(k)).withColumn("y", F.when(F.col("steep"), k).otherwise(k * F.col("slope") + F.col("lift")))
+    near = lambda v: F.floor(F.col(v) + 0.5)
+    line = line.where((F.col("x").between(-1e9, 1e9)) & (F.col("y").between(-1e9, 1e9))).withColumns({"c": near("x") - 1, "r": near("y") - 1}).where("c >= 0 AND c < n_cols AND r >= 0 AND r < n_rows")
+    before = Window.partitionBy("raster_id", "object_id").orderBy("k")
+    stepped = line.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(before), F.col("y") - F.lag("y").over(before)), F.lit(0.0)))
+    met = stepped.select("raster_id", "object_id", "r", "c", "step").join(cells.select("raster_id", "r", "c", F.col(value).alias("z")), ["raster_id", "r", "c"], "left")
+    z = F.coalesce("z", F.lit(0.0))
+    sums = met.groupBy("raster_id", "object_id").agg(F.sum(F.when(z != 0, F.col("step")).otherwise(0.0)).alias("length"), F.sum(z * F.col("step")).alias("area"))
+    return objects.select("raster_id", "object_id").join(sums, ["raster_id", "object_id"], "left").na.fill(0.0, ["length", "area"])
+
+
+def change_labels(before: DataFrame, after: DataFrame, matches: DataFrame, cells: DataFrame, rows: int, lod: float, least: float, stationary: float) -> DataFrame:
+    """What elevation change (cells with dz) says of the outcomes of a match: layer, before_id, after_id, label, v_neg, v_pos, mean_before, mean_after, ratio.
+
+    before (raster_id, before_id, box) and after (raster_id, after_id, box) are all objects;
+    matches (before_id, after_id, distance), of which a null distance is that of the centres; ids are
+    unique over the rasters. v_neg is the loss under the object before, v_pos the gain under the one after (of a loss or gain both are under the one object); ratio is the smaller
+    over the larger if both are there.
+    """
+    under = lambda objects, key: change_stats(objects.withColumnRenamed(key, "object_id"), cells, rows, lod).select("object_id", "v_neg", "v_pos", "mean_dz")
+    centre = lambda objects, key, s: objects.select(F.col(key).alias(f"{s}_id"), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}y"))
+    b, a = under(before, "before_id"), under(after, "after_id")
+    sources = b.select(F.col("object_id").alias("before_id"), "v_neg", F.col("v_pos").alias("b_pos"), F.col("mean_dz").alias("mean_before"))
+    sinks = a.select(F.col("object_id").alias("after_id"), "v_pos", F.col("v_neg").alias("a_neg"), F.col("mean_dz").alias("mean_after"))
+    placed = matches.join(centre(before, "before_id", "before"), "before_id").join(centre(after, "after_id", "after"), "after_id")
+    distance = F.coalesce("distance", F.hypot(F.col("afterx") - F.col("beforex"), F.col("aftery") - F.col("beforey")))
+    both = placed.select("before_id", "after_id", distance.alias("distance")).join(sources, "before_id").join(sinks, "after_id")
+    ratio = F.when((F.col("v_neg") > 0) & (F.col("v_pos") > 0), F.least("v_neg", "v_pos") / F.greatest("v_neg", "v_pos"))
+    none, no_id = F.lit(None).cast("double"), F.lit(None).cast("long")
+    lost = sources.join(matches.select("before_id"), "before_id", "left_anti")
+    new = sinks.join(matches.select("after_id"), "after_id", "left_anti")
+    return (
+        both.select(F.lit("matches").alias("layer"), "before_id", "after_id", match_label(F.col("v_neg"), F.col("v_pos"), F.col("distance"), stationary, least).alias("label"), "v_neg", "v_pos", "mean_before", "mean_after", ratio.alias("ratio"))
+        .union(lost.select(F.lit("disappeared"), "before_id", no_id, loss_label(F.col("v_neg"), F.col("b_pos"), least), "v_neg", F.col("b_pos"), "mean_before", none, none))
+        .union(new.select(F.lit("appeared"), no_id, "after_id", gain_label(F.col("a_neg"), F.col("v_pos"), least), F.col("a_neg"), "v_pos", none, "mean_after", none))
+    )
