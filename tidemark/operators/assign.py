@@ -1,11 +1,13 @@
 """Optimal one-to-one assignment: most pairs first, then the highest total score.
 
 Candidate pairs fall into connected components, which cannot influence each
-other; each is solved by itself, in parallel, in numpy.
+other; each is solved by itself, in parallel, in memory that grows with its candidates.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,63 +15,77 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
 
-#: Candidate ids of both sides in one component, at most; a smaller radius makes smaller components.
-MAX_COMPONENT = 20_000
-
 
-def cheapest(cost: np.ndarray) -> np.ndarray:
-    """Row of each column (-1: none) of a least-cost assignment of all rows; needs rows <= columns.
+def cheapest(edges: list[list[tuple[int, float]]], columns: int, far: float) -> list[int]:
+    """Column of each row (-1: none) of a least-cost assignment; edges: each row's (column, cost), far: the cost of a row without one.
 
-    Shortest augmenting paths with potentials, one row at a time.
+    Shortest augmenting paths with prices. Every row starts at its cheapest column if that is free; each
+    other row searches over its candidates, nearest first, for a free column or a row that is best left without.
     """
-    n, m = cost.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
-    for r in range(n):
-        best = np.full(m, np.inf)
-        came = np.full(m, -1)
-        done = np.zeros(m, bool)
-        i, j = r, -1
+    row_price = [min((c for _, c in own), default=far) for own in edges]
+    col_price = [0.0] * columns
+    row_of, col_of = [-1] * columns, [-1] * len(edges)
+    late = []
+    for r, own in enumerate(edges):
+        j = next((j for j, c in own if c == row_price[r] and row_of[j] < 0), -1)
+        if j >= 0:
+            row_of[j], col_of[r] = r, j
+        else:
+            late.append(r)
+    for r in late:
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}  # the row from which a column was reached
+        done: dict[int, float] = {}
+        queue: list[tuple[float, int]] = []
+        i, so_far, bare, bare_row = r, 0.0, float("inf"), -1
         while True:
-            spare = cost[i] - row_price[i] - col_price + (best[j] if j >= 0 else 0.0)
-            closer = ~done & (spare < best)
-            best[closer], came[closer] = spare[closer], j
-            j = int(np.argmin(np.where(done, np.inf, best)))
-            done[j] = True
+            if (d := so_far + far - row_price[i]) < bare:
+                bare, bare_row = d, i
+            for j, c in edges[i]:
+                if j not in done and (d := so_far + c - row_price[i] - col_price[j]) < best.get(j, bare):
+                    best[j], came[j] = d, i
+                    heapq.heappush(queue, (d, j))
+            while queue and (queue[0][1] in done or queue[0][0] > best[queue[0][1]]):
+                heapq.heappop(queue)
+            if not queue or queue[0][0] >= bare:
+                length, j = bare, -1
+                break
+            so_far, j = heapq.heappop(queue)
             if row_of[j] < 0:
+                length = so_far
                 break
+            done[j] = so_far
             i = row_of[j]
-        length = best[j]
-        passed = done & (row_of >= 0)
-        row_price[row_of[passed]] += length - best[passed]
         row_price[r] += length
-        col_price[passed] -= length - best[passed]
-        while j >= 0:
-            back = came[j]
-            row_of[j] = row_of[back] if back >= 0 else r
-            j = back
-    return row_of
+        for k, d in done.items():
+            row_price[row_of[k]] += length - d
+            col_price[k] -= length - d
+        if j < 0:  # the row that is left without gives up its column
+            i = bare_row
+            j, col_of[i] = col_of[i], -1
+            if i == r:
+                continue
+        while True:
+            i = came[j]
+            row_of[j] = i
+            j, col_of[i] = col_of[i], j
+            if i == r:
+                break
+    return col_of
 
 
 def solve(pairs: pd.DataFrame) -> pd.DataFrame:
     """The chosen rows of one component's candidates (a, b, score)."""
     pairs = pairs.sort_values(["a", "b"], kind="stable")
-    a, ai = np.unique(pairs["a"].to_numpy(), return_inverse=True)
-    b, bi = np.unique(pairs["b"].to_numpy(), return_inverse=True)
-    if len(a) + len(b) > MAX_COMPONENT:
-        raise ValueError(f"{len(a) + len(b)} objects are linked by candidates; use a smaller search radius")
-    # No candidate costs more than all real costs together: pairs count before score.
-    far = float(min(len(a), len(b)) + 1) * 2
-    cost = np.full((len(a), len(b)), far)
-    cost[ai, bi] = 1.0 - pairs["score"].to_numpy()
-    if len(a) <= len(b):
-        cols = cheapest(cost)
-        chosen = {(cols[j], j) for j in range(len(b)) if cols[j] >= 0}
-    else:
-        rows = cheapest(cost.T.copy())
-        chosen = {(i, rows[i]) for i in range(len(a)) if rows[i] >= 0}
-    keep = [(x, y) in chosen for x, y in zip(ai.tolist(), bi.tolist())]
-    return pairs[keep]
+    sides = [np.unique(pairs[s].to_numpy(), return_inverse=True) for s in "ab"]
+    turned = len(sides[0][0]) > len(sides[1][0])
+    (rows, ri), (cols, ci) = sides[::-1] if turned else sides
+    edges: list[list[tuple[int, float]]] = [[] for _ in rows]
+    for i, j, s in zip(ri.tolist(), ci.tolist(), pairs["score"].tolist()):
+        edges[i].append((j, 1.0 - s))
+    # a row without a column costs more than all real costs together: pairs count before score
+    chosen = np.array(cheapest(edges, len(cols), float(len(rows) + 1) * 2))
+    return pairs[chosen[ri] == ci]
 
 
 def assign(candidates: DataFrame) -> DataFrame:

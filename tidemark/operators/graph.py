@@ -75,7 +75,8 @@ def components(edges: DataFrame) -> DataFrame:
     smaller neighbours and itself to the smallest of them (small-star); rounds grow with the logarithm
     of a component's length, and the edge table is written out after each. What is then left fits one task, which ends it.
     """
-    now = stored(_contracted(edges.where("u <> v")).distinct())
+    # the distinct before parts this from what made the edges: a task runs one Python worker at a time
+    now = stored(_contracted(edges.where("u <> v").select("u", "v").distinct()).distinct())
     seen = _stats(now)
     while seen[0] > FEW_EDGES:
         both = stored(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))

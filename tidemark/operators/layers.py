@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.geometry import point, ring_area, ring_box, world_to_ratio
-from tidemark.operators.overlap import ring_overlaps
+from tidemark.functions.geometry import finite, point, ring_area, ring_box, world_to_ratio
+from tidemark.operators.outlines import clip_to_regions
 from tidemark.operators.spatial import distance_pairs
+from tidemark.storage import stored
 
 #: Orders of an output by name; ties by id.
 ORDERS = {
@@ -62,21 +64,20 @@ def outlines_to_annotations(layer: DataFrame, bounds: tuple[float, float, float,
 
 
 def inside_region(objects: DataFrame, region: DataFrame, size: float) -> DataFrame:
-    """objects (id, ring) with inside_area, the part of their area in a region's outlines (part_id, ring); those without any are left out.
+    """objects (id, ring) with inside_area, the part of their area in a region's outlines (ring); those without any are left out.
 
-    The region's parts must not overlap one another. An empty region is an error: it would drop every object.
+    The region's parts may overlap one another. An empty region is an error: it would drop every object.
     """
     if region.isEmpty():
         raise ValueError("the region has no outlines")
-    shared = ring_overlaps(objects.select(F.col("id").alias("l_id"), "ring"), region.select(F.col("part_id").alias("r_id"), "ring"), size)
-    inside = shared.groupBy(F.col("l_id").alias("id")).agg(F.sum("overlap").alias("inside_area"))
-    return objects.join(inside, "id")
+    parts = clip_to_regions(objects.select(F.col("id").alias("object_id"), "ring"), region, size)
+    return objects.join(parts.groupBy(F.col("object_id").alias("id")).agg(F.sum("area").alias("inside_area")), "id")
 
 
 def nearest_pairs(objects: DataFrame, radius: float, k: int = 30) -> DataFrame:
     """Each object's k nearest others within radius (id, other, distance, place), ties by id: a cut of candidates.
 
-    The radius bounds what an object meets; overlaps are found whole without this cut.
+    The radius bounds what an object meets; overlaps are found whole without this cut. nearest() needs no radius.
     """
     left = objects.select(F.col("id"), F.col("cx").alias("lx"), F.col("cy").alias("ly"))
     right = objects.select(F.col("id").alias("other"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
@@ -85,6 +86,51 @@ def nearest_pairs(objects: DataFrame, radius: float, k: int = 30) -> DataFrame:
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
+def nearest(objects: DataFrame, k: int = 30) -> DataFrame:
+    """Each object's k nearest others, however far (id, other, distance, place), ties by id; all others if there are fewer.
+
+    Objects (id, cx, cy) at one place are one site with its smallest ids, so piles do not multiply. Sites search in rings
+    that double from round to round, starting where the most crowded cell holds a few; a site is done when its
+    ring holds enough ids, and all are when the ring spans the layer. Null or infinite places pair with nothing.
+    """
+    dots = objects.select("id", finite(F.col("cx")).alias("cx"), finite(F.col("cy")).alias("cy")).where("cx IS NOT NULL AND cy IS NOT NULL")
+    few = dots.withColumn("at", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id"))).where(F.col("at") <= k + 1)
+    sites = stored(few.groupBy("cx", "cy").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("site", F.col("ids")[0]))
+    span = sites.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.count(F.lit(1)), F.sum(F.size("ids"))).first()
+    width = max(span[0] or 0.0, span[1] or 0.0)
+    size = width or 1.0
+    while size > width * 2.0**-40:
+        crowd = sites.groupBy(F.floor(F.col("cx") / size), F.floor(F.col("cy") / size)).agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0]
+        if not crowd or crowd <= 4 * (k + 1):
+            break
+        size /= 2
+    open_sites, found = sites.select("site", "cx", "cy"), []
+    while True:
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
+        around = F.explode(F.array(*[F.struct((cell("cx") + dx).alias("gx"), (cell("cy") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+        asks = open_sites.withColumn("g", around).select("site", "cx", "cy", "g.gx", "g.gy")
+        there = sites.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "ids", cell("cx").alias("gx"), cell("cy").alias("gy"))
+        distance = F.sqrt((F.col("ox") - F.col("cx")) * (F.col("ox") - F.col("cx")) + (F.col("oy") - F.col("cy")) * (F.col("oy") - F.col("cy")))
+        met = asks.join(there, ["gx", "gy"]).select("site", distance.alias("distance"), F.explode("ids").alias("other"))
+        last = size > width
+        near = met if last else met.where(F.col("distance") <= size)
+        place = F.row_number().over(Window.partitionBy("site").orderBy("distance", "other"))
+        got = stored(near.withColumn("place", place).where(F.col("place") <= k + 1))
+        if last:
+            found.append(got)
+            break
+        done = got.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("site")
+        found.append(got.join(done, "site", "left_semi"))
+        open_sites = stored(open_sites.join(done, "site", "left_anti"))
+        if open_sites.isEmpty():
+            break
+        size *= 2
+    lists = reduce(DataFrame.unionByName, found).select("site", "distance", "other")
+    own = dots.join(sites.select("cx", "cy", "site"), ["cx", "cy"]).select("id", "site").join(lists, "site").where("id <> other")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other")).cast("long")
+    return own.withColumn("place", place).where(F.col("place") <= k).select("id", "other", "distance", "place")
+
+
 def column_means(rows: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
     """Means of columns over rows (per group); nulls are skipped."""
     return rows.groupBy(*(group or [])).agg(*[F.avg(c).alias(c) for c in columns])

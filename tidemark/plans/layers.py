@@ -43,6 +43,13 @@ def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("id", "other", F.round("distance", 6).alias("distance"), "place")
 
 
+def nearest_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest other objects of each, however far."""
+    (before,) = load(spark, sf_dir, "survey_before")
+    near = L.nearest(before.select(F.col("before_id").alias("id"), "cx", "cy"), 4)
+    return near.select("id", "other", F.round("distance", 6).alias("distance"), "place")
+
+
 def column_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean size and volume of objects by whether a detector is sure of them; missing volumes are skipped."""
     (before,) = load(spark, sf_dir, "survey_before")
@@ -72,7 +79,7 @@ def output_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("before_id", "band", *[F.row_number().over(Window.partitionBy("band").orderBy(*L.output_order(o, "before_id"))).cast("long").alias(o) for o in L.ORDERS])
 
 
-QUERIES = {f.__name__: f for f in (tiles_to_whole, outlines_to_annotations, nearest_pairs, column_means, class_list, segment_counts, first_windows, output_orders)}
+QUERIES = {f.__name__: f for f in (tiles_to_whole, outlines_to_annotations, nearest_pairs, nearest_others, column_means, class_list, segment_counts, first_windows, output_orders)}
 
 _PLACES = ", ".join(f"row_number() OVER (PARTITION BY floor(cy / 64) ORDER BY {by}, before_id) AS {name}" for name, by in {"large2small": "side DESC", "small2large": "side", "north2south": "cy", "south2north": "cy DESC", "west2east": "cx", "east2west": "cx DESC"}.items())
 
@@ -86,6 +93,9 @@ SELECT before_id AS ann_id, CAST(1 AS BIGINT) AS image_id, before_id % 3 + 1 AS
   FROM survey_before a JOIN survey_before b ON a.before_id <> b.before_id AND abs(a.cx - b.cx) <= 16 AND abs(a.cy - b.cy) <= 16),
 q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS place FROM p WHERE d <= 16)
 SELECT id, other, round(d, 6) AS distance, place FROM q WHERE place <= 5"""),
+    "nearest_others": with_tables(["survey_before"], """p AS (SELECT a.before_id AS id, b.before_id AS other, sqrt((b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy)) AS d FROM survey_before a JOIN survey_before b ON a.before_id <> b.before_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS place FROM p)
+SELECT id, other, round(d, 6) AS distance, place FROM q WHERE place <= 4"""),
     "column_means": with_tables(["survey_before"], "SELECT CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS sure, round(avg(side), 6) AS side, round(avg(volume), 6) AS volume FROM survey_before GROUP BY 1"),
     "class_list": "SELECT DISTINCT CAST(p_size AS BIGINT) AS category_id, 'size ' || p_size AS name FROM part",
     "segment_counts": with_tables(["tiles"], "SELECT year, CAST(floor((y1 + y2) / 128) AS BIGINT) AS segment, count(*) AS n FROM tiles GROUP BY ALL"),

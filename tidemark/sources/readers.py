@@ -7,13 +7,17 @@ infinities are turned into nulls here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
-from tidemark.functions.geometry import RING, finite, normalised_box, usable_ring
+from tidemark.functions.geometry import RING, finite, normalised_box, ring_area, usable_ring
+from tidemark.operators.outlines import repaired
 from tidemark.sources.manifest import tile_key
 
 COCO = """images array<struct<id:bigint,width:int,height:int,file_name:string>>,
@@ -106,23 +110,67 @@ def resolve_tiles(tiles: DataFrame, listing: DataFrame, how: str = "left") -> Da
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of the collections at path: file, feature_no, properties, part_no, ring (outer rings; holes are dropped)."""
+    """Features of the collections at path: file, feature_no, properties, part_no, ring (outer rings; holes are dropped).
+
+    Polygons inside geometry collections, one level deep, are parts like those of multipolygons. A path without a file is a layer without rows.
+    """
     schema = "features array<struct<properties:map<string,string>,geometry:string>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    try:
+        docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"file string, feature_no int, properties map<string,string>, part_no int, ring {RING}")
     feats = docs.select("file", F.posexplode("features").alias("feature_no", "f")).select("file", "feature_no", "f.properties", "f.geometry")
-    kind = F.get_json_object("geometry", "$.type")
-    one = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<double>>>")
-    many = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<array<double>>>>")
-    rings = F.when(kind == "Polygon", F.array(one[0])).when(kind == "MultiPolygon", F.transform(many, lambda p: p[0]))
-    parts = feats.select("file", "feature_no", "properties", F.posexplode(rings).alias("part_no", "flat"))
+
+    def outer(geometry: Column) -> Column:
+        kind, text = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+        one, many = F.from_json(text, "array<array<array<double>>>"), F.from_json(text, "array<array<array<array<double>>>>")
+        return F.when(kind == "Polygon", F.array(one[0])).when(kind == "MultiPolygon", F.transform(many, lambda p: p[0])).otherwise(F.array().cast("array<array<array<double>>>"))
+
+    members = F.from_json(F.get_json_object("geometry", "$.geometries"), "array<string>")
+    several = feats.select("file", "feature_no", "properties", F.explode(F.when(members.isNotNull(), members).otherwise(F.array("geometry"))).alias("g")).select("file", "feature_no", "properties", outer(F.col("g")).alias("rings"))
+    rings = several.groupBy("file", "feature_no").agg(F.first("properties").alias("properties"), F.flatten(F.collect_list("rings")).alias("rings"))
+    parts = rings.select("file", "feature_no", "properties", F.posexplode("rings").alias("part_no", "flat"))
     return parts.select("file", "feature_no", "properties", "part_no", F.transform("flat", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).cast(RING).alias("ring"))
 
 
-def clean_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, counts of those dropped by reason): rings without three points or without area go."""
+def clean_layer(layer: DataFrame, repair: bool = False, year: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, counts of those dropped or mended by reason): rings without three points or without area go.
+
+    repair: a ring that crosses itself gives way to its simple parts (a row each, reason crossing); without it such rings stay. year: a column year with
+    it for every row.
+    """
     reason = F.when(F.col("ring").isNull(), "null").when(F.size("ring") == 0, "empty").when(~usable_ring(F.col("ring")), "invalid")
     marked = layer.withColumn("reason", reason)
-    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    if repair:
+        # a ring that crosses itself may have turns that cancel out: no area by the shoelace, but parts
+        mended = repaired(layer.withColumn("row_struct", F.struct(*layer.columns)), ["row_struct"])
+        why = F.when(F.col("problem") == "missing", "null").when(F.size("row_struct.ring") == 0, "empty").when(F.col("part").isNull(), "invalid").when(F.col("problem") == "crossing", "crossing")
+        marked = mended.withColumn("reason", why).select(*[F.col("ring") if c == "ring" else F.col(f"row_struct.{c}").alias(c) for c in layer.columns], "reason", F.coalesce("part", F.lit(0)).alias("clean_part"))
+        counts = marked.where("reason IS NOT NULL AND clean_part = 0").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+        kept = marked.where("reason IS NULL OR reason = 'crossing'").drop("reason", "clean_part")
+    else:
+        counts = marked.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+        kept = marked.where("reason IS NULL").drop("reason")
+    return (kept if year is None else kept.withColumn("year", F.lit(year))), counts
+
+
+def read_regions(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The outlines of a region of interest that lies in any number of GeoJSON and GeoPackage files: path, ring (simple, repaired). None at all is an error."""
+    layers = []
+    for path in paths:
+        layer = read_gpkg(spark, path) if path.lower().endswith(".gpkg") else read_geojson(spark, path)
+        layers.append(layer.select(F.lit(path).alias("path"), "ring"))
+    if not layers or (region := clean_layer(reduce(DataFrame.unionByName, layers), repair=True)[0]).isEmpty():
+        raise ValueError(f"no outlines in {paths}")
+    return region
+
+
+def largest_part(layer: DataFrame, key: list[str]) -> DataFrame:
+    """Of each feature (key) its part of the largest area, the first of equal ones; columns as given."""
+    by = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(ring_area(F.col("ring"))), "part_no"))
+    return layer.withColumn("largest_place", by).where("largest_place = 1").drop("largest_place")
 
 
 class GpkgSource(DataSource):
@@ -218,7 +266,11 @@ def read_gpkg(spark: SparkSession, path: str, layer: str = "") -> DataFrame:
     """A layer's polygons: file, fid, properties, part_no, ring; unreadable geometry has a null ring."""
     spark.dataSource.register(GpkgSource)
     raw = spark.read.format("gpkg").option("path", path).option("layer", layer).load()
-    rings = F.udf(lambda g: [[{"x": x, "y": y} for x, y in r] for r in wkb_rings(bytes(g) if g else None)], f"array<{RING}>")
+
+    @F.pandas_udf(f"array<{RING}>")
+    def rings(geometry: pd.Series) -> pd.Series:
+        return geometry.map(lambda g: [[{"x": x, "y": y} for x, y in r] for r in wkb_rings(bytes(g) if g else None)])
+
     return raw.select("file", "fid", "properties", F.posexplode_outer(rings("geometry")).alias("part_no", "ring"))
 
 
