@@ -51,6 +51,12 @@ def open_ring(ring: Column) -> Column:
     return F.when(closed, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
 
 
+def closed(ring: Column) -> Column:
+    """The ring with its first point again at the end."""
+    same = F.element_at(ring, 1) == F.element_at(ring, -1)
+    return F.when(same & (F.size(ring) > 1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+
 def _turned(ring: Column) -> Column:
     """Each point's successor, the first point after the last."""
     return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
@@ -300,6 +306,11 @@ def whole_pixel_to_world(x: Column, y: Column, x0: Column, ytop: Column, px: Col
     return point(x0 + (x - 1) * px, ytop - (y - 1) * py)
 
 
+def whole_pixel_to_limits(x: Column, y: Column, west: Column, north: Column, cell_lon: Column, cell_lat: Column) -> Column:
+    """whole_pixel_to_world() on a raster in degrees: its limits of longitude and latitude and its cells' extents take the plane's place."""
+    return F.struct((west + (x - 1) * cell_lon).alias("lon"), (north - (y - 1) * cell_lat).alias("lat"))
+
+
 def world_to_ratio(x: Column, y: Column, bounds: tuple, width: Column, height: Column) -> Column:
     """1-based share of the bounds' extent (xmin, ymin, xmax, ymax), y downwards."""
     return point(1 + width * (x - bounds[0]) / (bounds[2] - bounds[0]), 1 + height * (bounds[3] - y) / (bounds[3] - bounds[1]))
@@ -311,6 +322,7 @@ _A, _F = 6378137.0, 1 / 298.257222101
 _N = _F / (2 - _F)
 _R = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
@@ -327,3 +339,16 @@ def utm_to_lonlat(x: Column, y: Column, meridian: float = -9.0) -> Column:
         lat = lat + d * F.sin(2 * j * chi)
     lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + meridian
     return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def lonlat_to_utm(lon: Column, lat: Column, meridian: float = -9.0) -> Column:
+    """point of easting and northing from degrees: the inverse of utm_to_lonlat()."""
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = F.radians(lat), F.radians(lon - meridian)
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi1, eta1 = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    xi, eta = xi1, eta1
+    for j, a in enumerate(_ALPHA, 1):
+        xi = xi + a * F.sin(2 * j * xi1) * F.cosh(2 * j * eta1)
+        eta = eta + a * F.cos(2 * j * xi1) * F.sinh(2 * j * eta1)
+    return point(500000.0 + _R * 0.9996 * eta, _R * 0.9996 * xi)

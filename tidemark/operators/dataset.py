@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import SWAPPING, VARIANTS, flat_to_ring, ring_area, ring_box, turned_ring
+from tidemark.operators.lookups import stacked
 from tidemark.operators.ranks import numbered  # noqa: F401
 from tidemark.operators.spatial import BOX, box_pairs
-from tidemark.sources.manifest import strip_variant
+from tidemark.sources.manifest import class_of, strip_variant  # noqa: F401
+from tidemark.sources.readers import existing
 
 
 @dataclass(frozen=True)
@@ -25,14 +28,6 @@ class Policy:
     min_area: float = 0.0
 
 
-def class_of(raw: Column) -> Column:
-    """0 boulder, 1 deposit: null is 0, a number 1 if it is one, text by its words."""
-    text = F.lower(F.trim(raw.cast("string")))
-    number = text.try_cast("double").cast("int")
-    by_text = F.when(text.isin("", "0", "boulder", "boulders"), 0).when(text.contains("deposit") | text.contains("1"), 1).otherwise(0)
-    return F.when(raw.isNull(), 0).when(number.isNotNull(), (number == 1).cast("int")).otherwise(by_text)
-
-
 def clip_boxes(objects: DataFrame, tiles: DataFrame) -> DataFrame:
     """Objects (object_id, year, class, box) by tiles (tile_id, year, box): the clipped box and its area, if any is left.
 
@@ -47,7 +42,10 @@ def clip_boxes(objects: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def annotate(clipped: DataFrame, policy: Policy) -> DataFrame:
-    """clipped with category_id, iscrowd, reason and outcome (kept, or what dropped it); the whole object's area decides smallness."""
+    """clipped with category_id, iscrowd, reason and outcome (kept, or what dropped it).
+
+    Smallness goes by whole_area: the object's before tiles cut it, inside the region of interest if outlines.clip_to_tiles() had one.
+    """
     deposit = F.col("class") == 1
     small = ~deposit & (F.col("whole_area") < policy.min_area)
     category = F.when(deposit & F.lit(policy.deposits == "class"), 2).otherwise(1)
@@ -137,6 +135,22 @@ def policy_counts(annotated: DataFrame, group: list[str]) -> DataFrame:
     return annotated.groupBy(*group).agg(*[F.count_if(F.col("outcome") == n).alias(n) for n in names])
 
 
+def pooled(layers: dict[str, DataFrame]) -> DataFrame:
+    """All rows of named layers with column layer; columns that a layer lacks are null, ids are kept apart by (layer, id)."""
+    rows = [df.withColumn("layer", F.lit(name)) for name, df in layers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def with_bands(images: DataFrame, listing: DataFrame, bands: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(images with path and a column of values for each named band, images whose file is missing).
+
+    images (file_name), listing (path) of the files there are, bands (path, band, vals). A file that lacks a band raises
+    when its row is read: a dataset of four bands has all of them.
+    """
+    found, missing = existing(images, listing)
+    return found.join(stacked(bands.join(found.select("path").distinct(), "path", "left_semi"), names, ["path"]), "path", "left"), missing
+
+
 def dataset_summary(annotated: DataFrame, images: DataFrame) -> DataFrame:
     """Per split: images, annotations, trainable (no crowd), crowd."""
     a = annotated.groupBy("split").agg(F.count(F.lit(1)).alias("annotations"), F.count_if(F.col("iscrowd") == 0).alias("trainable"), F.count_if(F.col("iscrowd") == 1).alias("crowd"))

@@ -9,13 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.geometry import ring_to_flat
-
-
-def closed(ring: Column) -> Column:
-    """The ring with its first point again at the end."""
-    same = F.element_at(ring, 1) == F.element_at(ring, -1)
-    return F.when(same & (F.size(ring) > 1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+from tidemark.functions.geometry import closed, ring_to_flat
 
 
 def coco_annotation(ann_id: Column, image_id: Column, category_id: Column, ring: Column, area: Column, box: Column, iscrowd: Column) -> Column:
@@ -96,17 +90,21 @@ def read_lineage(spark: SparkSession, table: str) -> DataFrame:
 
 
 def append_lineage(spark: SparkSession, table: str, path: str, kind: str, tool: str, flags: dict, command: list[str] | None = None, parents: list[str] | None = None) -> None:
-    """One more row of a lineage table; parents are looked up there; flag values are kept as JSON."""
+    """One more row of a lineage table; parents are looked up there; flag values are kept as JSON, of a long list its length and first five."""
     known = read_lineage(spark, table)
     found = [{"path": p, "kind": None, "tool": None} for p in parents or []]
     for f in found:
         got = known.where(F.col("path") == f["path"]).orderBy(F.desc("created_utc")).select("kind", "tool").first()
         if got:
             f["kind"], f["tool"] = got
-    row = spark.createDataFrame([(path, kind, tool, command or [], {k: json.dumps(v, sort_keys=True) for k, v in flags.items()}, [(f["path"], f["kind"], f["tool"]) for f in found])], "path string, kind string, tool string, command array<string>, flags map<string,string>, parents array<struct<path:string,kind:string,tool:string>>")
+    row = spark.createDataFrame([(path, kind, tool, command or [], {k: json.dumps(_short(v), sort_keys=True) for k, v in flags.items()}, [(f["path"], f["kind"], f["tool"]) for f in found])], "path string, kind string, tool string, command array<string>, flags map<string,string>, parents array<struct<path:string,kind:string,tool:string>>")
     row.withColumn("created_utc", F.date_trunc("second", F.current_timestamp())).select("path", "kind", "tool", "created_utc", "command", "flags", "parents").write.mode("append").parquet(table)
 
 
+def _short(value):
+    return {"count": len(value), "first": list(value[:5])} if isinstance(value, (list, tuple)) and len(value) > 5 else value
+
+
 def lineage_of(spark: SparkSession, table: str, path: str) -> DataFrame:
     """The latest record of a path, a dataset's before a training's before a tiling's."""
     rank = F.when(F.col("kind") == "dataset", 0).when(F.col("kind") == "training", 1).otherwise(2)
@@ -116,7 +114,7 @@ def lineage_of(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 def flags_match(stored: dict | None, expected: dict) -> bool:
     """Every expected flag is stored with the same value; one that is missing differs."""
-    return all(stored is not None and k in stored and stored[k] == json.dumps(v, sort_keys=True) for k, v in expected.items())
+    return all(stored is not None and k in stored and stored[k] == json.dumps(_short(v), sort_keys=True) for k, v in expected.items())
 
 
 def write_if_changed(df: DataFrame, path: str, table: str, flags: dict, tool: str, kind: str = "dataset", force: bool = False) -> bool:
@@ -166,3 +164,11 @@ def save_labels(labels: DataFrame, path: str) -> DataFrame:
     """Write label records in order of label_id as JSON lines; returns how many there are of each label."""
     labels.orderBy("label_id").write.mode("overwrite").json(path)
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_split_config(maps: DataFrame, path: str) -> None:
+    """Split configs (setup and a map from year to tiles for valid, test and excluded, as from splits.split_map()) as JSON documents under path/setup=<name>; readers.read_split_config() reads them back."""
+    names = ("valid", "test", "excluded")
+    keyed = {n: F.map_from_entries(F.transform(F.map_entries(n), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value")))) for n in names}
+    doc = F.to_json(F.struct(F.col("setup").alias("id"), *[F.coalesce(c, F.create_map().cast("map<string,array<string>>")).alias(n) for n, c in keyed.items()]))
+    maps.select("setup", doc.alias("value")).write.partitionBy("setup").mode("overwrite").text(path)

@@ -58,6 +58,14 @@ def tile_key(name: Column) -> Column:
     return out
 
 
+def class_of(raw: Column) -> Column:
+    """0 boulder, 1 deposit: null is 0, a number 1 if it is one, text by its words."""
+    text = F.lower(F.trim(raw.cast("string")))
+    number = text.try_cast("double").cast("int")
+    by_text = F.when(text.isin("", "0", "boulder", "boulders"), 0).when(text.contains("deposit"), 1).otherwise(0)
+    return F.when(raw.isNull(), 0).when(number.isNotNull(), (number == 1).cast("int")).otherwise(by_text)
+
+
 def canonical_tile(year: Column, row: Column, col: Column) -> Column:
     """YY_RR_CC."""
     return F.format_string("%02d_%02d_%02d", year.cast("int"), row.cast("int"), col.cast("int"))

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
-from tidemark.functions.geometry import RING, finite, normalised_box, ring_area, usable_ring
+from tidemark.functions.geometry import RING, finite, lonlat_to_utm, normalised_box, ring_area, usable_ring
 from tidemark.operators.outlines import repaired
-from tidemark.sources.manifest import tile_key
+from tidemark.sources.manifest import class_of, tile_key
 
 COCO = """images array<struct<id:bigint,width:int,height:int,file_name:string>>,
 annotations array<struct<id:bigint,image_id:bigint,category_id:int,segmentation:array<array<double>>,area:double,bbox:array<double>,iscrowd:int,score:string,attributes:map<string,string>>>,
@@ -156,6 +156,41 @@ def clean_layer(layer: DataFrame, repair: bool = False, year: int | None = None)
     return (kept if year is None else kept.withColumn("year", F.lit(year))), counts
 
 
+#: Codes of systems in degrees whose datum is that of the working system, to what a map needs.
+DEGREES = (4326, 4258)
+WORKING = 25829
+
+
+def reprojected(layer: DataFrame, srid: int | None) -> DataFrame:
+    """layer with its ring in the working system (UTM zone 29 north): rings in degrees (longitude first) are projected, those of the system itself or of none stay."""
+    if srid is None or srid == WORKING:
+        return layer
+    if srid not in DEGREES:
+        raise ValueError(f"reference system {srid} is not known")
+    return layer.withColumn("ring", F.transform("ring", lambda p: lonlat_to_utm(p["x"], p["y"])))
+
+
+def read_annotations(spark: SparkSession, path: str, class_field: str, year: int | None = None, srid: int | None = None, layer: str = "") -> tuple[DataFrame, DataFrame]:
+    """(annotations, counts by reason): a layer's outlines, mended and in the working system, with class (0 boulder, 1 deposit), year (null: any) and the feature's file and number.
+
+    Reasons: null, empty, invalid (left out), crossing (mended), unknown_class (taken as 0).
+    """
+    raw = read_gpkg(spark, path, layer).withColumnRenamed("fid", "feature_no") if path.lower().endswith(".gpkg") else read_geojson(spark, path)
+    kept, counts = clean_layer(reprojected(raw, srid), repair=True)
+    kind = F.col("properties")[class_field]
+    unknown = raw.where(kind.isNull()).select("file", "feature_no").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown_class").alias("reason"), "n").where("n > 0")
+    return kept.withColumns({"class": class_of(kind), "year": F.lit(year).cast("int")}), counts.union(unknown)
+
+
+def read_manual(spark: SparkSession, path: str, srid: int | None = None) -> DataFrame:
+    """Manual annotations: ann_fid, properties, part_no, ring (mended, in the working system). ann_fid is a GeoPackage's row id, else the feature's place in its file from 1 on; rows without an outline are left out."""
+    if path.lower().endswith(".gpkg"):
+        raw = read_gpkg(spark, path).withColumnRenamed("fid", "ann_fid")
+    else:
+        raw = read_geojson(spark, path).withColumn("ann_fid", (F.col("feature_no") + 1).cast("long"))
+    return clean_layer(reprojected(raw, srid), repair=True)[0].select("ann_fid", "properties", "part_no", "ring")
+
+
 def read_regions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The outlines of a region of interest that lies in any number of GeoJSON and GeoPackage files: path, ring (simple, repaired). None at all is an error."""
     layers = []
