@@ -170,6 +170,13 @@ def test_redaction(spark):
     assert got == {1: "call [phone] or é [email] now", 2: ""}
 
 
+def test_rows_of_one_id_are_redacted_by_their_own_texts(spark):
+    rows = [(1, "to a@b.c"), (1, "to nobody"), (1, "to a@b.c"), (None, "x@y.z!"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in pii.redact(df, pii.find_pii(df)).collect())))
+    assert got == sorted(map(str, [(1, "to [email]"), (1, "to nobody"), (1, "to [email]"), (None, "[email]!"), (None, "")]))
+
+
 def names_and_randoms(lengths, texts, randoms):
     """(kind, length, token): names made of words, then random strings, so many of each kind and length."""
     rng = random.Random(5)

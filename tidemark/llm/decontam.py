@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import sha256
 from itertools import repeat
 
 import pyarrow as pa
@@ -125,10 +124,6 @@ def blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Ma
         yield Matcher(held, window)
 
 
-def _digest(items: list) -> str:
-    return sha256(",".join(sorted(str(i) for i in items)).encode()).hexdigest()
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, thash (xxhash64 of the text), n_words, hit_words (ranges of word numbers), items (ids, sorted).
 

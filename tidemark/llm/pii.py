@@ -212,7 +212,7 @@ def score_sql(model: tuple[float, list[Tree]], f: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """One row per row of docs: doc_id, base and spans (array<struct<kind,start,end>>; spans holds base too).
+    """One row per row of docs: doc_id, base, spans (array<struct<kind,start,end>>; spans holds base too) and thash (xxhash64 of the text).
 
     docs needs doc_id and text; other columns are ignored. Null text is empty;
     texts without matches have no spans; repeated rows are repeated; an empty
@@ -220,21 +220,21 @@ def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     half = F.pmod(F.crc32(text.cast("binary")), F.lit(2)).alias("half")
-    found = stored(docs.select("doc_id", half, let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("more"))).alias("s")).select("doc_id", "half", "s.base", "s.more"))
+    found = stored(docs.select("doc_id", F.xxhash64("text").alias("thash"), half, let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("more"))).alias("s")).select("doc_id", "thash", "half", "s.base", "s.more"))
     names = list(FEATURES)
     vectors = found.select("half", F.explode("more").alias("c")).groupBy("half", "c.kind", *[F.col(f"c.f.{n}").alias(n) for n in names]).agg(F.count_if("c.label").alias("pos"), F.count_if(~F.col("c.label")).alias("neg"))
     counts = sorted((r["half"], r["kind"], tuple(r[n] for n in names), r["pos"], r["neg"]) for r in vectors.collect())  # at most 8 times the product of the ranges
     model = boost([c[2:] for c in counts if c[0] == 0])
     least = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(threshold([c[2:] for c in counts if c[0] == 1 and c[1] == k], model, precision)))])
     extra = F.filter("more", lambda c: ~c["confirmed"] & (score_sql(model, c["f"]) >= least[c["kind"]]))
-    return found.select("doc_id", "base", F.concat("base", F.transform(extra, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).alias("spans"))
+    return found.select("doc_id", "base", F.concat("base", F.transform(extra, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).alias("spans"), "thash")
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id and redacted: each found span, merged where they overlap, replaced by its kind in brackets.
 
-    found is find_pii()'s result for docs, whose ids must be those of one row
-    each, or of rows with equal texts; null ids pair with null ids. Null text is
+    found is find_pii()'s result for docs: rows meet by id and text, so rows that
+    share an id and differ in their texts keep apart; null ids pair with null ids. Null text is
     empty, texts without spans stay as they are.
     """
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -244,8 +244,9 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         put = F.when(s["start"] >= a["at"], F.concat(cut, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
         return F.struct(a["text"].alias("text"), F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["done"], put).alias("done"))
 
-    d = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = d.join(found.select("doc_id", "spans").distinct(), d["id"].eqNullSafe(found["doc_id"]))
+    d = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    once = found.groupBy("doc_id", "thash").agg(F.first("spans").alias("spans"))
+    both = d.join(once, d["id"].eqNullSafe(once["doc_id"]) & (d["hash"] == once["thash"]))
     done = F.aggregate(order, F.struct(F.col("text").alias("text"), F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda a: F.concat(a["done"], F.substring(a["text"], a["at"] + 1, F.length(a["text"]))))
     return both.select(F.col("id").alias("doc_id"), done.alias("redacted"))
 

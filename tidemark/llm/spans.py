@@ -77,8 +77,3 @@ def joined(spans: Column, kinds: list[str]) -> Column:
 
 def overlaps(a: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
-
-
-def normal_cdf(z: Column) -> Column:
-    """P(Z <= z), by a published logistic approximation (error under 0.0002, tails monotone)."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))

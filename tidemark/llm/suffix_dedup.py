@@ -24,7 +24,6 @@ is not gathered, its strings become suffixes of their own and are scanned alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -461,7 +460,3 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches
 
     rows = _keyed(docs).join(spans.hint("merge"), ["k1", "k2"], "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:long,last:long>>, kept binary")
-
-
-def digest(kept: bytes) -> str:
-    return sha256(kept).hexdigest()
