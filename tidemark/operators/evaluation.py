@@ -1,12 +1,14 @@
 """Detections against ground truth: greedy matching, precision and recall, COCO AP and AR.
 
-Matching is a fold over an image's detections, best first, in built-in array
-functions: an image's candidates are gathered in one row, never more. Curves
-are window aggregates per class of threshold and size.
+Greedy matching is a fold over detections that share candidates, best first, in built-in array
+functions; COCO matching is a walk over a picture's best detections, which carries
+all classes of threshold and size at once. Curves are window aggregates per class.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,34 +83,56 @@ def micro_totals(per_image: DataFrame) -> DataFrame:
     return t.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def _match_picture(dets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Flags of a picture's detections (in order of place) under every class of size and threshold: tp, ignored."""
+    low, high, at = (np.array(v) for v in zip(*[(lo, hi, min(t, 1 - 1e-10)) for lo, hi in SIZES.values() for t in THRESHOLDS]))
+    truth, column = np.unique(pairs["gt_id"].to_numpy(), return_inverse=True)
+    crowd, area = np.zeros(len(truth), bool), np.zeros(len(truth))
+    crowd[column], area[column] = pairs["iscrowd"] == 1, pairs["area"]
+    aside = crowd | (area < low[:, None]) | (area > high[:, None])
+    used = np.zeros(aside.shape, bool)
+    dets = dets.sort_values("place")
+    row_of = {d: k for k, d in enumerate(dets["det_id"])}
+    near: list[list[tuple[float, int]]] = [[] for _ in row_of]
+    for d, g, iou in zip(pairs["det_id"], column.tolist(), pairs["iou"]):
+        near[row_of[d]].append((-iou, -g))  # later ids first among equals
+    size = dets["area"].to_numpy()
+    ignored = (size[:, None] < low) | (size[:, None] > high)
+    tp = np.zeros(ignored.shape, bool)
+    for k, own in enumerate(near):
+        if own:
+            iou, g = (np.array(v) for v in zip(*sorted(own)))
+            g = -g
+            free = (-iou >= at[:, None]) & (crowd[g] | ~used[:, g])
+            counts = free & ~aside[:, g]
+            best = np.where(counts.any(axis=1), counts.argmax(axis=1), free.argmax(axis=1))
+            hit = np.flatnonzero(free.any(axis=1))
+            taken = g[best[hit]]
+            used[hit, taken] = True
+            ignored[k, hit] = aside[hit, taken]
+            tp[k, hit] = ~aside[hit, taken]
+    return dets.assign(tp=list(tp), ignored=list(ignored))[["image_id", "place", "det_id", "score", "tp", "ignored"]]
+
+
 def coco_matches(dets: DataFrame, truth: DataFrame) -> DataFrame:
-    """Each of an image's best MAX_DETECTIONS detections under every threshold and size class: tp, ignored.
+    """Each of an image's best MAX_DETECTIONS detections under every threshold (t) and size class: tp, ignored.
 
     A detection takes the free object of highest overlap that counts, later ids
     first among equals, else one that is ignored (crowd, or out of the class);
-    crowds may be taken again. Unmatched detections out of the class are ignored.
+    crowds may be taken again. Unmatched detections out of the class are ignored. A picture is one walk that
+    carries all classes, in a task.
     """
     best = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
     top = dets.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_DETECTIONS)
-    area = truth.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).select(F.col("gt_id").alias("g"), "area")
-    found = overlaps(top, truth, crowd=True).where("iou >= 0.5").join(area, F.col("gt_id") == F.col("g")).drop("g")
-    lists = found.groupBy("det_id").agg(F.collect_list(F.struct("iou", "gt_id", "iscrowd", "area")).alias("c"))
-    rows = top.join(lists, "det_id", "left").withColumn("det_area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    kind = "array<struct<iou:double,gt_id:bigint,iscrowd:int,area:double>>"
-    per = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "det_id", "score", F.col("det_area").alias("area"), F.coalesce("c", F.array().cast(kind)).alias("c")))).alias("ds"))
-    classes = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("t"), F.lit(min(t, 1 - 1e-10)).alias("at")) for n, (lo, hi) in SIZES.items() for k, t in enumerate(THRESHOLDS)]))
-    spread = per.withColumn("k", classes).select("image_id", "ds", "k.*")
-    out = "array<struct<place:int,det_id:bigint,score:double,tp:boolean,ignored:boolean>>"
-
-    def step(a: Column, d: Column) -> Column:
-        free = F.filter(d["c"], lambda g: (g["iou"] >= F.col("at")) & ((g["iscrowd"] == 1) | ~F.array_contains(a["used"], g["gt_id"])))
-        keyed = F.transform(free, lambda g: F.struct(((g["iscrowd"] == 1) | (g["area"] < F.col("lo")) | (g["area"] > F.col("hi"))).alias("ig"), (-g["iou"]).alias("k"), (-g["gt_id"]).alias("id")))
-        outside = (d["area"] < F.col("lo")) | (d["area"] > F.col("hi"))
-        row = lambda p: F.struct(d["place"].alias("place"), d["det_id"].alias("det_id"), d["score"].alias("score"), (p.isNotNull() & ~F.coalesce(p["ig"], F.lit(False))).alias("tp"), F.coalesce(p["ig"], outside).alias("ignored"))
-        return let(F.array_min(keyed), lambda p: F.struct(F.concat(a["used"], F.when(p.isNotNull(), F.array(-p["id"])).otherwise(F.array().cast("array<bigint>"))).alias("used"), F.concat(a["out"], F.array(row(p))).alias("out")))
-
-    done = F.aggregate("ds", F.expr(f"struct(cast(array() as array<bigint>) as used, cast(array() as {out}) as out)"), step, lambda a: a["out"])
-    return spread.select("image_id", "size", "t", F.explode(done).alias("m")).select("image_id", "size", "t", "m.*")
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    size = truth.select(F.col("gt_id").alias("g"), area.alias("area"))
+    found = overlaps(top, truth, crowd=True).where("iou >= 0.5").join(size, F.col("gt_id") == F.col("g")).select(F.col("image_id").alias("of_image"), "det_id", "gt_id", "iou", "iscrowd", "area")
+    rows = top.select("image_id", "place", "det_id", "score", area.alias("area"))
+    flags = rows.groupBy("image_id").cogroup(found.groupBy("of_image")).applyInPandas(_match_picture, f"image_id {dict(rows.dtypes)['image_id']}, place int, det_id long, score double, tp array<boolean>, ignored array<boolean>")
+    spread = flags.select("image_id", "place", "det_id", "score", F.posexplode(F.arrays_zip("tp", "ignored")).alias("k", "f"))
+    names = F.array(*[F.lit(n) for n in SIZES])
+    n = len(THRESHOLDS)
+    return spread.select("image_id", F.get(names, F.floor(F.col("k") / n).cast("int")).alias("size"), (F.col("k") % n).alias("t"), "place", "det_id", "score", "f.tp", "f.ignored")
 
 
 def coco_metrics(dets: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
@@ -128,7 +152,9 @@ def coco_metrics(dets: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     cut = flagged.withColumn(PART, F.lit(0)) if by else ranged(flagged, [F.col("size"), F.col("t"), *order])
     done = F.broadcast(totals_before(cut, group, {"tps_before": F.count_if("tp"), "n_before": F.count(F.lit(1))}))
     own = Window.partitionBy(*group, PART).orderBy(*order)
-    up_to, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    up_to = own.rowsBetween(Window.unboundedPreceding, 0)
+    # from the end backwards: a frame that reaches to the end would be read anew for every row
+    after = Window.partitionBy(*group, PART).orderBy(F.asc("score"), F.desc("image_id"), F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     curve = cut.withColumns({"tps": F.sum(F.col("tp").cast("int")).over(up_to), "n": F.count(F.lit(1)).over(up_to)})
     if not by:
         curve = curve.join(done, [*group, PART]).withColumns({"tps": F.col("tps") + F.col("tps_before"), "n": F.col("n") + F.col("n_before")})
