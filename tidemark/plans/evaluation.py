@@ -13,9 +13,9 @@ METRICS = ["bbox_ap50", "segm_ap50"]
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, detections, ground truth, with corners."""
-    d, g = load(spark, sf_dir, "detections", "gt_boxes")
+    d, g, pictures = load(spark, sf_dir, "detections", "gt_boxes", "pictures")
     corners = [F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2")]
-    return spark.range(97).withColumnRenamed("id", "image_id"), d.select("det_id", "image_id", "score", *corners), g.select("gt_id", "image_id", "iscrowd", *corners)
+    return pictures, d.select("det_id", "image_id", "score", *corners), g.select("gt_id", "image_id", "iscrowd", *corners)
 
 
 def greedy_pr_per_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,10 @@ def detection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.precision_recall(*_sides(spark, sf_dir)).select("image_id", "precision", "recall")
+    sides = _sides(spark, sf_dir)
+    rows = E.precision_recall(*sides).select("image_id", "precision", "recall")
     setup = F.explode(F.array(*[F.struct(F.lit(f"setup{k}").alias("setup"), F.when(F.col("image_id") % (k + 3) == 0, "test").otherwise("train").alias("split")) for k in range(3)]))
-    setups = spark.range(97).withColumnRenamed("id", "image_id").withColumn("s", setup).select("image_id", "s.*")
+    setups = sides[0].withColumn("s", setup).select("image_id", "s.*")
     out = E.difficulty(rows, setups, ["precision", "recall"], ["image_id"])
     return out.select("setup", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most")])
 
@@ -84,7 +85,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (greedy_pr_per_tile, pr_micro_totals, coco_ap_ar_split, coco_ap_ar_per_tile, ignore_regions, detection_filter, split_difficulty, metric_grid, run_compare, run_best, early_stop)}
 
-_TABLES = ["detections", "gt_boxes"]
+_TABLES = ["detections", "gt_boxes", "pictures"]
 _BOTH = """
 d AS (SELECT det_id, image_id AS g, score, x AS x1, y AS y1, x + w AS x2, y + h AS y2, w * h AS area FROM detections),
 t AS (SELECT gt_id, image_id AS g, iscrowd, x AS x1, y AS y1, x + w AS x2, y + h AS y2, w * h AS area FROM gt_boxes),
@@ -97,7 +98,7 @@ walk(g, k, used) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[])
   UNION ALL SELECT w.g, w.k + 1, list_concat(w.used, list_filter(r.c, lambda x: NOT list_contains(w.used, x))[1:1]) FROM walk w JOIN r ON r.g = w.g AND r.k = w.k + 1),
 tp AS (SELECT g, max(len(used)) AS tp, max(k) AS n FROM walk GROUP BY g),
 n AS (SELECT g, count(*) AS n FROM t WHERE iscrowd = 0 GROUP BY g),
-counts AS (SELECT CAST(m AS BIGINT) AS image_id, CAST(coalesce(tp.tp, 0) AS BIGINT) AS tp, coalesce(tp.n, 0) - coalesce(tp.tp, 0) AS fp, coalesce(n.n, 0) - coalesce(tp.tp, 0) AS fn FROM range(97) x(m) LEFT JOIN tp ON tp.g = m LEFT JOIN n ON n.g = m),
+counts AS (SELECT CAST(m AS BIGINT) AS image_id, CAST(coalesce(tp.tp, 0) AS BIGINT) AS tp, coalesce(tp.n, 0) - coalesce(tp.tp, 0) AS fp, coalesce(n.n, 0) - coalesce(tp.tp, 0) AS fn FROM (SELECT image_id FROM pictures) x(m) LEFT JOIN tp ON tp.g = m LEFT JOIN n ON n.g = m),
 pr AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision, CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM counts)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Statements in order: each may use the given tables and those before it. Rows that
 #: a statement adds have negative ids (odd and even ones where it adds twice), so that
-#: ids are unique at any size. A grid has 1,024 cells: the orders after the last whole grid make none.
+#: ids are unique at any size. There are 97 pictures for each 15,000 orders, so that boxes a picture stay as many. A grid has 1,024 cells: the orders after the last whole grid make none.
 STATEMENTS = {
     "survey_before": """
 SELECT p_partkey AS before_id,
@@ -61,13 +61,15 @@ SELECT CAST((p_partkey - p_partkey % 64) / 64 AS BIGINT) AS site, y.yr AS year,
   CAST((p_partkey % 64 - p_partkey % 8)*8 + y.dy + 64 AS DOUBLE) AS y2,
   2 * p_partkey + CASE WHEN y.yr = 25 THEN 1 ELSE 0 END AS tile_id
 FROM part CROSS JOIN (SELECT 24 AS yr, 0 AS dx, 0 AS dy UNION ALL SELECT 25, 24, 10) y""",
+    "pictures": """
+SELECT o_orderkey AS image_id FROM orders CROSS JOIN (SELECT 97 * greatest(1, CAST((COUNT(*) - COUNT(*) % 15000) / 15000 AS BIGINT)) AS pictures FROM orders) c WHERE o_orderkey < c.pictures""",
     "gt_boxes": """
-SELECT o_orderkey AS gt_id, o_orderkey % 97 AS image_id,
+SELECT o_orderkey AS gt_id, o_orderkey % c.pictures AS image_id,
   CAST((o_orderkey*37 + o_orderkey*o_orderkey*11) % 1500 AS DOUBLE) AS x,
   CAST((o_orderkey*53 + o_orderkey*o_orderkey*7) % 1500 AS DOUBLE) AS y,
   CAST(20 + o_orderkey % 60 AS DOUBLE) AS w, CAST(20 + o_orderkey % 45 AS DOUBLE) AS h,
   CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS iscrowd
-FROM orders WHERE o_orderkey % 3 = 0""",
+FROM orders CROSS JOIN (SELECT 97 * greatest(1, CAST((COUNT(*) - COUNT(*) % 15000) / 15000 AS BIGINT)) AS pictures FROM orders) c WHERE o_orderkey % 3 = 0""",
     "detections": """
 SELECT gt_id*2 AS det_id, image_id, x + CAST(gt_id % 9 AS DOUBLE) AS x, y + CAST(gt_id % 7 AS DOUBLE) AS y,
   w, h, CAST((gt_id*7919) % 1000 AS DOUBLE)/1024 AS score
@@ -77,10 +79,10 @@ SELECT gt_id*2 + 1, image_id, x + CAST(gt_id % 13 AS DOUBLE), y + 3, w + 4, h,
   CAST((gt_id*613) % 1000 AS DOUBLE)/1024
 FROM gt_boxes WHERE gt_id % 5 = 0
 UNION ALL
-SELECT -1 - o_orderkey, o_orderkey % 97, CAST((o_orderkey*71) % 1500 AS DOUBLE),
+SELECT -1 - o_orderkey, o_orderkey % c.pictures, CAST((o_orderkey*71) % 1500 AS DOUBLE),
   CAST((o_orderkey*29) % 1500 AS DOUBLE), CAST(25 AS DOUBLE), CAST(30 AS DOUBLE),
   CAST((o_orderkey*331) % 1000 AS DOUBLE)/1024
-FROM orders WHERE o_orderkey % 33 = 1""",
+FROM orders CROSS JOIN (SELECT 97 * greatest(1, CAST((COUNT(*) - COUNT(*) % 15000) / 15000 AS BIGINT)) AS pictures FROM orders) c WHERE o_orderkey % 33 = 1""",
     "metric_events": """
 SELECT event_id % 5 AS run, CAST((event_id - event_id % 5) * 100 AS BIGINT) AS iteration,
   CAST((event_id*37 + event_id*event_id*5) % 1000 AS DOUBLE)/16 AS bbox_ap50,
