@@ -158,10 +158,30 @@ def train(v: np.ndarray, share: np.ndarray, seed: int = 5, rounds: int = 20, bat
 
 
 def fit(spark, sample: np.ndarray, recall: float = RECALL, parts: int = PARTS, part_sample: int = PART_SAMPLE) -> Router:
-    """The router of a sample of distinct vectors (at least two of them)."""
+    """The router of a sample of distinct vectors (at least two of them).
+
+    The graph is made by tasks. One task cuts it and trains: the sample is bounded, and a task's numpy keeps to its own core.
+    """
     n = len(sample)
     parts = max(1, min(parts, 1 << max(0, (n // part_sample).bit_length() - 1)))
     nearest = nearest_in_sample(spark, sample, min(EDGES, n - 1))
+    shared = spark.sparkContext.broadcast((sample, nearest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                router = learn(*shared.value, parts, recall)
+                flat = [w.ravel().tolist() for w in router.weights]
+                yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.list_(pa.float64()))), pa.array([router.visits])], ["weights", "visits"])
+
+    got = spark.range(1, numPartitions=1).mapInArrow(run, "weights array<array<double>>, visits long").first()
+    shapes = [(sample.shape[1], HIDDEN), (HIDDEN,), (HIDDEN, parts), (parts,)]
+    return Router([np.array(w).reshape(shape) for w, shape in zip(got["weights"], shapes)], got["visits"])
+
+
+def learn(sample: np.ndarray, nearest: np.ndarray, parts: int, recall: float) -> Router:
+    """Cut the graph, train the network on seven eighths of the sample, and measure on the rest how many parts to visit."""
+    n = len(sample)
     part = balanced_parts(nearest, parts)
     share = np.zeros((n, parts))
     np.add.at(share, (np.arange(n), part), 1.0)
@@ -197,7 +217,7 @@ def search(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding", e
     if not top:
         return spark.createDataFrame([], OUT)
     sample = np.array([r["v"] for r in top], np.float64)
-    router = fit(spark, sample, recall) if len(sample) > 1 else Router(train(sample, np.ones((1, 1))), 1)
+    router = fit(spark, sample, recall) if len(sample) > 1 else Router([np.zeros((length, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)], 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
