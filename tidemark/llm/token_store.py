@@ -31,7 +31,7 @@ BLOCK, SEGMENT, WIDTH = 1 << 16, 1 << 20, 4
 END_ID = 0
 LEVEL = 3
 #: Words whose ids a Python worker remembers, and the bytes of a remembered word at most: words beyond either are encoded anew.
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
 
 #: White space other than the space and the line feed.
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
