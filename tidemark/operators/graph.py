@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.storage import stored
 
 #: Edges that one task joins to an end; nodes that a task holds before it passes its stars on.
-FEW_EDGES, TASK_NODES = 1 << 19, 1 << 20
+FEW_EDGES, TASK_NODES = 1 << 18, 1 << 19
 #: Conflicts of a component that is visited inside a task.
 LOCAL_PAIRS = 100_000
 
@@ -69,15 +69,17 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v: long) to (node, root): root is the smallest node reachable.
 
-    Nodes without an edge to another node are left out; no edges give no rows. Each task first
-    joins the edges it reads, in bounded memory. While more than FEW_EDGES are left, a round ties every
+    Nodes without an edge to another node are left out; no edges give no rows. Of more than FEW_EDGES edges each task first
+    joins those it reads, in bounded memory. While more than FEW_EDGES are left, a round ties every
     node's larger neighbours to its smallest neighbour (large-star), then its
     smaller neighbours and itself to the smallest of them (small-star); rounds grow with the logarithm
     of a component's length, and the edge table is written out after each. What is then left fits one task, which ends it.
     """
-    # the distinct before parts this from what made the edges: a task runs one Python worker at a time
-    now = stored(_contracted(edges.where("u <> v").select("u", "v").distinct()).distinct())
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _stats(now)
+    if seen[0] > FEW_EDGES:
+        now = stored(_contracted(now).distinct())
+        seen = _stats(now)
     while seen[0] > FEW_EDGES:
         both = stored(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
