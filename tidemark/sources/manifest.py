@@ -59,7 +59,7 @@ def tile_key(name: Column) -> Column:
 
 
 def class_of(raw: Column) -> Column:
-    """0 boulder, 1 deposit: null is 0, a number 1 if it is one, text by its words."""
+    """0 boulder, 1 deposit: null is 0, a number 1 if its whole part is one, text 1 if it speaks of a deposit."""
     text = F.lower(F.trim(raw.cast("string")))
     number = text.try_cast("double").cast("int")
     by_text = F.when(text.isin("", "0", "boulder", "boulders"), 0).when(text.contains("deposit"), 1).otherwise(0)
