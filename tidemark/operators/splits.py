@@ -6,14 +6,20 @@ within which everything is done; groups are spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.graph import greedy_select
 from tidemark.operators.spatial import BOX, box_pairs, overlap_of_pair, sides
+from tidemark.storage import stored
 
 TOUCH, TOUCH_AREA, LEAK_AREA = 2.0, 0.01, 1.0
+#: Edges of a group that is paired inside a task.
+LOCAL_EDGES = 100_000
 
 
 def axis_scores(tiles: DataFrame, group: list[str]) -> DataFrame:
@@ -95,15 +101,45 @@ def leakage(tiles: DataFrame, group: list[str]) -> DataFrame:
 def cross_year_pairs(tiles: DataFrame, group: list[str], first: int, second: int) -> DataFrame:
     """Tiles of two years paired by overlap, the largest first, each tile once; ties by ids.
 
-    An edge conflicts with the edges that share a tile with it, a handful.
+    Groups of at most LOCAL_EDGES edges are walked inside tasks, many in each. In a larger one
+    an edge conflicts with the edges that share a tile with it, a handful.
     """
     a, b = (sides(tiles.where(F.col("year") == y), s, ["tile_id", *group]) for y, s in ((first, "l"), (second, "r")))
     for c in group:
         a, b = a.withColumnRenamed("l" + c, c), b.withColumnRenamed("r" + c, c)
     edges = box_pairs(a, b, 64.0, group).withColumn("area", overlap_of_pair()).where(F.col("area") >= LEAK_AREA)
-    edges = edges.select(F.xxhash64("ltile_id", "rtile_id").alias("id"), F.col("ltile_id").alias("tile_a"), F.col("rtile_id").alias("tile_b"), "area")
+    edges = stored(edges.select(F.xxhash64(*group).alias("g"), F.col("ltile_id").alias("tile_a"), F.col("rtile_id").alias("tile_b"), "area"))
+    large = stored(edges.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES).select("g"))
+    if large.isEmpty():
+        return _walked(edges)
+    return _walked(edges.join(large, "g", "left_anti")).union(_selected(stored(edges.join(large, "g", "left_semi"))))
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """Edges (g, tile_a, tile_b, area) taken in order within each g, whole in a task, as long as both tiles are free."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used = None, set()
+        for rows in batches:
+            kept = []
+            for g, a, b in zip(rows["g"], rows["tile_a"], rows["tile_b"]):
+                if g != at:
+                    at, used = g, set()
+                free = (1, a) not in used and (2, b) not in used
+                if free:
+                    used |= {(1, a), (2, b)}
+                kept.append(free)
+            yield rows.loc[kept, ["tile_a", "tile_b", "area"]]
+
+    ordered = edges.repartition("g").sortWithinPartitions("g", F.desc("area"), "tile_a", "tile_b")
+    return ordered.mapInPandas(walk, edges.select("tile_a", "tile_b", "area").schema)
+
+
+def _selected(edges: DataFrame) -> DataFrame:
+    """The same by conflicts of edges, whatever the size of a group."""
+    edges = edges.select(F.xxhash64("tile_a", "tile_b").alias("id"), "tile_a", "tile_b", "area")
     other = edges.select(F.col("id").alias("other"), F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb"))
-    shared = edges.join(other, F.col("tile_a") == F.col("ta")).select("id", "other").union(edges.join(other, F.col("tile_b") == F.col("tb")).select("id", "other"))
+    shared = edges.join(other.hint("merge"), F.col("tile_a") == F.col("ta")).select("id", "other").union(edges.join(other.hint("merge"), F.col("tile_b") == F.col("tb")).select("id", "other"))
     chosen = greedy_select(edges, shared.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")), [-F.col("area"), F.col("tile_a"), F.col("tile_b")])
     return edges.join(chosen.where("leader = id"), "id").select("tile_a", "tile_b", "area")
 
