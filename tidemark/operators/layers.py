@@ -14,6 +14,8 @@ from tidemark.operators.outlines import clip_to_regions
 from tidemark.operators.spatial import distance_pairs
 from tidemark.storage import stored
 
+#: Ids in one cell of nearest()'s first round.
+CROWD = 1024
 #: Orders of an output by name; ties by id.
 ORDERS = {
     "large2small": ("area", False),
@@ -90,8 +92,8 @@ def nearest(objects: DataFrame, k: int = 30) -> DataFrame:
     """Each object's k nearest others, however far (id, other, distance, place), ties by id; all others if there are fewer.
 
     Objects (id, cx, cy) at one place are one site with its smallest ids, so piles do not multiply. Sites search in rings
-    that double from round to round, starting where the most crowded cell holds a few; a site is done when its
-    ring holds enough ids, and all are when the ring spans the layer. Null or infinite places pair with nothing.
+    that double from round to round, starting where an id shares its cell with a few in the mean and no cell holds more than CROWD; a site is done
+    when its ring holds enough ids, and all are when the ring spans the layer. Null or infinite places pair with nothing.
     """
     dots = objects.select("id", finite(F.col("cx")).alias("cx"), finite(F.col("cy")).alias("cy")).where("cx IS NOT NULL AND cy IS NOT NULL")
     few = dots.withColumn("at", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id"))).where(F.col("at") <= k + 1)
@@ -100,8 +102,9 @@ def nearest(objects: DataFrame, k: int = 30) -> DataFrame:
     width = max(span[0] or 0.0, span[1] or 0.0)
     size = width or 1.0
     while size > width * 2.0**-40:
-        crowd = sites.groupBy(F.floor(F.col("cx") / size), F.floor(F.col("cy") / size)).agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0]
-        if not crowd or crowd <= 4 * (k + 1):
+        cells = sites.groupBy(F.floor(F.col("cx") / size), F.floor(F.col("cy") / size)).agg(F.sum(F.size("ids")).alias("n"))
+        crowd, met = cells.agg(F.max("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not crowd or crowd <= max(CROWD, k + 1) and met <= 4 * (k + 1) * span[3]:
             break
         size /= 2
     open_sites, found = sites.select("site", "cx", "cy"), []
@@ -111,7 +114,7 @@ def nearest(objects: DataFrame, k: int = 30) -> DataFrame:
         asks = open_sites.withColumn("g", around).select("site", "cx", "cy", "g.gx", "g.gy")
         there = sites.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "ids", cell("cx").alias("gx"), cell("cy").alias("gy"))
         distance = F.sqrt((F.col("ox") - F.col("cx")) * (F.col("ox") - F.col("cx")) + (F.col("oy") - F.col("cy")) * (F.col("oy") - F.col("cy")))
-        met = asks.join(there, ["gx", "gy"]).select("site", distance.alias("distance"), F.explode("ids").alias("other"))
+        met = asks.join(there.hint("merge"), ["gx", "gy"]).select("site", distance.alias("distance"), F.explode("ids").alias("other"))
         last = size > width
         near = met if last else met.where(F.col("distance") <= size)
         place = F.row_number().over(Window.partitionBy("site").orderBy("distance", "other"))
@@ -120,13 +123,13 @@ def nearest(objects: DataFrame, k: int = 30) -> DataFrame:
             found.append(got)
             break
         done = got.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("site")
-        found.append(got.join(done, "site", "left_semi"))
-        open_sites = stored(open_sites.join(done, "site", "left_anti"))
+        found.append(got.join(done.hint("merge"), "site", "left_semi"))
+        open_sites = stored(open_sites.join(done.hint("merge"), "site", "left_anti"))
         if open_sites.isEmpty():
             break
         size *= 2
     lists = reduce(DataFrame.unionByName, found).select("site", "distance", "other")
-    own = dots.join(sites.select("cx", "cy", "site"), ["cx", "cy"]).select("id", "site").join(lists, "site").where("id <> other")
+    own = dots.join(sites.select("cx", "cy", "site").hint("merge"), ["cx", "cy"]).select("id", "site").join(lists.hint("merge"), "site").where("id <> other")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other")).cast("long")
     return own.withColumn("place", place).where(F.col("place") <= k).select("id", "other", "distance", "place")
 
