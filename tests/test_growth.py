@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import SF
-from tidemark.operators import layers, spatial, splits
+from tidemark.operators import evaluation, groups, layers, spatial, splits
 from tidemark.plans import fixtures
 
 
@@ -42,3 +42,28 @@ def test_tiles_of_two_years_need_no_components(spark, monkeypatch, edges):
     else:
         monkeypatch.setattr(splits, "greedy_select", None)
         assert splits.cross_year_pairs(tiles, ["site"], 24, 25).count()
+
+
+def _pictures(spark, n=60):
+    """Two pictures with piles of boxes and ties, one without detections, one without objects."""
+    at = lambda i: (i % 2, float(i % 5 * 40), float(i % 3 * 50))
+    dets = [(i, *at(i), float(i % 7) / 8 if i % 11 else None) for i in range(n)] + [(1000, 3, 0.0, 0.0, 0.5)]
+    truth = [(i, *at(i), int(i % 17 == 0)) for i in range(n)] + [(1000, 2, 0.0, 0.0, 0)]
+    box = ["x AS x1", "y AS y1", "x + 20 + {0} % 4 AS x2", "y + 30 - {0} % 3 AS y2"]
+    d = spark.createDataFrame(dets, "det_id long, image_id long, x double, y double, score double")
+    t = spark.createDataFrame(truth, "gt_id long, image_id long, x double, y double, iscrowd int")
+    return d.selectExpr("det_id", "image_id", "score", *[b.format("det_id") for b in box]), t.selectExpr("gt_id", "image_id", "iscrowd", *[b.format("gt_id") for b in box])
+
+
+def _rows(df) -> list:
+    return sorted(map(str, df.collect()))
+
+
+def test_images_are_matched_without_components_and_large_ones_alike(spark, monkeypatch):
+    dets, truth = _pictures(spark)
+    with monkeypatch.context() as m:
+        m.setattr(evaluation, "components", None)
+        whole = _rows(evaluation.greedy_match(dets, truth))
+    assert sum("gt_id=None" not in r for r in whole) > 40
+    monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
+    assert _rows(evaluation.greedy_match(dets, truth)) == whole
