@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import SF
-from tidemark.operators import evaluation, groups, layers, spatial, splits
+from tidemark.operators import evaluation, groups, layers, selection, spatial, splits
 from tidemark.plans import fixtures
 
 
@@ -67,3 +67,25 @@ def test_images_are_matched_without_components_and_large_ones_alike(spark, monke
     assert sum("gt_id=None" not in r for r in whole) > 40
     monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
     assert _rows(evaluation.greedy_match(dets, truth)) == whole
+
+
+def _piles(spark):
+    """Boxes of three groups and of none, in piles, some nested, with ties and missing scores and corners."""
+    rows = [(i, i % 3 if i % 29 else None, float(i % 5 * 30 + i % 4), float(i % 2 * 40), float(8 + i % 6 * 7), float(i * 7 % 10) / 8 if i % 13 else None) for i in range(240)]
+    d = spark.createDataFrame(rows, "id long, g long, x1 double, y1 double, w double, score double")
+    return d.selectExpr("id", "g", "CASE WHEN id % 37 > 0 THEN x1 END AS x1", "y1", "x1 + w AS x2", "y1 + w + id % 3 AS y2", "score")
+
+
+def test_boxes_of_a_group_are_chosen_in_a_task_and_large_groups_alike(spark, monkeypatch):
+    boxes = _piles(spark)
+    chosen = lambda: [
+        _rows(selection.suppress(boxes, 16.0, 0.4, group=["g"]).select("id", "leader", "kept_from_n")),
+        _rows(selection.merge_under_leaders(boxes, 16.0, group=["g"])),
+        _rows(selection.merge_under_leaders(boxes, 16.0, min_ratio=None, min_group=2, nested=False, group=["g"])),
+    ]
+    with monkeypatch.context() as m:
+        m.setattr(selection, "greedy_select", None)
+        whole = chosen()
+    assert all(0 < len(rows) for rows in whole)
+    monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
+    assert chosen() == whole
