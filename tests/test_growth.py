@@ -89,3 +89,13 @@ def test_boxes_of_a_group_are_chosen_in_a_task_and_large_groups_alike(spark, mon
     assert all(0 < len(rows) for rows in whole)
     monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
     assert chosen() == whole
+
+
+def test_pictures_are_compared_in_tasks_and_large_ones_alike(spark, monkeypatch):
+    dets, truth = _pictures(spark)
+    with monkeypatch.context() as m:
+        m.setattr(evaluation, "overlaps", None)
+        whole = _rows(evaluation.coco_matches(dets.where("score IS NOT NULL"), truth))
+    assert any("tp=True" in r for r in whole) and any("ignored=True" in r for r in whole)
+    monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
+    assert _rows(evaluation.coco_matches(dets.where("score IS NOT NULL"), truth)) == whole
