@@ -3,8 +3,8 @@
 import pytest
 
 from tests.conftest import SF
-from tidemark.operators import evaluation, groups, layers, selection, spatial, splits
-from tidemark.plans import fixtures
+from tidemark.operators import evaluation, grids, groups, layers, selection, spatial, splits
+from tidemark.plans import fixtures, rasters
 
 
 def _plan(df) -> str:
@@ -99,3 +99,21 @@ def test_pictures_are_compared_in_tasks_and_large_ones_alike(spark, monkeypatch)
     assert any("tp=True" in r for r in whole) and any("ignored=True" in r for r in whole)
     monkeypatch.setattr(groups, "LOCAL_BOXES", 2)
     assert _rows(evaluation.coco_matches(dets.where("score IS NOT NULL"), truth)) == whole
+
+
+def test_differences_are_computed_once(spark):
+    assert "Pandas" not in _plan(rasters.change_qc(spark, SF))
+
+
+@pytest.mark.parametrize("query", [rasters.chunk_relief, rasters.chunk_median, rasters.grid_difference])
+def test_chunks_go_through_tasks_in_batches_and_to_all_cores(spark, query):
+    plan = _plan(query(spark, SF))
+    assert "GroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan and "map_from_entries" not in plan
+
+
+def test_chunks_of_cells_in_any_order_with_gaps(spark):
+    cells = [(0, r, c, float(r * 100 + c) if (r + c) % 5 else None) for r in range(40) for c in range(30) if (r * c) % 7 != 3]
+    made = grids.chunks(spark.createDataFrame(cells[::-1], "raster_id long, r long, c long, z double"), "z", 16)
+    got = {(x.r, x.c): x.z for x in grids.cells_of(made).collect()}
+    given = {(r, c): z for _, r, c, z in cells}
+    assert len(got) == 40 * 30 and all(given.get(k) == z for k, z in got.items())

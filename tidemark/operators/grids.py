@@ -9,16 +9,18 @@ No step holds more than a chunk and what touches it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import spread, walked
 from tidemark.operators.raster import _kernel, median_filtered
 
 CHUNK = "raster_id long, chunk_r long, chunk_c long, r0 long, c0 long, r1 long, c1 long, vals array<double>"
-KEY = ["raster_id", "chunk_r", "chunk_c"]
+KEY, BOUNDS = ["raster_id", "chunk_r", "chunk_c"], ["r0", "c0", "r1", "c1"]
 #: Cells on a chunk's side.
 SIDE = 256
 
@@ -26,10 +28,12 @@ SIDE = 256
 def chunks(cells: DataFrame, value: str, side: int = SIDE) -> DataFrame:
     """The chunks of cells (raster_id, r, c, value); cells must be unique, a chunk's bounds are those of its cells."""
     placed = cells.select(F.col("raster_id").cast("long"), F.floor(F.col("r") / side).alias("chunk_r"), F.floor(F.col("c") / side).alias("chunk_c"), F.col("r").cast("long"), F.col("c").cast("long"), F.col(value).cast("double").alias("v"))
-    rows = placed.groupBy(*KEY).agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"), F.map_from_entries(F.collect_list(F.struct((F.col("r") * (1 << 20) + F.col("c")).alias("k"), "v"))).alias("m"))
+    key = lambda r, c: r * (1 << 20) + c
+    rows = placed.groupBy(*KEY).agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"), F.collect_list(F.struct(key(F.col("r"), F.col("c")).alias("k"), "v")).alias("have"))
     w = F.col("c1") - F.col("c0")
-    at = lambda i: F.col("m")[(F.col("r0") + F.floor(i / w)) * (1 << 20) + F.col("c0") + i % w]
-    return rows.withColumn("vals", F.transform(F.sequence(F.lit(0).cast("long"), (F.col("r1") - F.col("r0")) * w - 1), at)).drop("m")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("r1") - F.col("r0")) * w - 1), lambda i: key(F.col("r0") + F.floor(i / w), F.col("c0") + i % w))
+    missing = F.transform(F.array_except(places, F.transform("have", lambda x: x["k"])), lambda k: F.struct(k.alias("k"), F.lit(None).cast("double").alias("v")))
+    return rows.withColumn("vals", F.transform(F.sort_array(F.concat("have", missing)), lambda x: x["v"])).drop("have")
 
 
 def cells_of(chunk: DataFrame, value: str = "z") -> DataFrame:
@@ -55,13 +59,25 @@ def _grid(r0: int, c0: int, r1: int, c1: int, vals) -> np.ndarray:
     return np.array(vals, dtype=float).reshape(r1 - r0, c1 - c0)
 
 
-def _assembled(patches: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    """One grid of all patches, NaN between them, and its first row and column."""
-    r0, c0 = int(patches["r0"].min()), int(patches["c0"].min())
-    out = np.full((int(patches["r1"].max()) - r0, int(patches["c1"].max()) - c0), np.nan)
-    for p in patches.itertuples():
-        out[p.r0 - r0 : p.r1 - r0, p.c0 - c0 : p.c1 - c0] = _grid(p.r0, p.c0, p.r1, p.c1, p.vals)
-    return out, r0, c0
+def _assembled(patches: list[tuple]) -> tuple[np.ndarray, int, int]:
+    """One grid of all patches (r0, c0, r1, c1, vals), NaN between them, and its first row and column."""
+    first, last = [min(p[k] for p in patches) for k in (0, 1)], [max(p[k] for p in patches) for k in (2, 3)]
+    out = np.full((last[0] - first[0], last[1] - first[1]), np.nan)
+    for p in patches:
+        out[p[0] - first[0] : p[2] - first[0], p[1] - first[1] : p[3] - first[1]] = _grid(*p)
+    return out, *first
+
+
+def _patches(rows: dict[str, np.ndarray]) -> list[tuple]:
+    return list(zip(*[rows[c].tolist() for c in BOUNDS], rows["vals"]))
+
+
+def _chunks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """The columns of chunks."""
+    vals = np.empty(len(rows), object)
+    for k, r in enumerate(rows):
+        vals[k] = r[-1]
+    return *(np.array([r[k] for r in rows], np.int64) for k in range(len(KEY) + len(BOUNDS))), vals
 
 
 def filtered(chunk: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndarray], side: int = SIDE) -> DataFrame:
@@ -83,22 +99,24 @@ def filtered(chunk: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.nda
                         c0, c1 = max(p.c0, tc * side - reach), min(p.c1, (tc + 1) * side + reach)
                         if r0 < r1 and c0 < c1:
                             out.append((p.raster_id, tr, tc, r0, c0, r1, c1, grid[r0 - p.r0 : r1 - p.r0, c0 - p.c0 : c1 - p.c0].ravel(), (tr, tc) == (p.chunk_r, p.chunk_c)))
-            yield pd.DataFrame(out, columns=[*KEY, "r0", "c0", "r1", "c1", "vals", "own"])
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["own"]]
-        if own.empty:  # a place next to a chunk where there is none
-            return pd.DataFrame([], columns=[*KEY, "r0", "c0", "r1", "c1", "vals"])
-        p = own.iloc[0]
-        grid, r0, c0 = _assembled(g)
-        want = ((p.r0 - reach, p.r1 + reach), (p.c0 - reach, p.c1 + reach))
+            yield pd.DataFrame(out, columns=[*KEY, *BOUNDS, "vals", "own"])
+
+    def one(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        own = np.flatnonzero(rows["own"])
+        if not len(own):  # a place next to a chunk where there is none
+            return _chunks([])
+        key, patches = [rows[c][0] for c in KEY], _patches(rows)
+        pr0, pc0, pr1, pc1, _ = patches[own[0]]
+        grid, r0, c0 = _assembled(patches)
+        want = ((pr0 - reach, pr1 + reach), (pc0 - reach, pc1 + reach))
         have = ((r0, r0 + grid.shape[0]), (c0, c0 + grid.shape[1]))
         grid = np.pad(grid, [(max(0, h[0] - w[0]), max(0, w[1] - h[1])) for w, h in zip(want, have)], mode="symmetric")
         cut = [max(0, w[0] - h[0]) for w, h in zip(want, have)]
         grid = grid[cut[0] : cut[0] + want[0][1] - want[0][0], cut[1] : cut[1] + want[1][1] - want[1][0]]
-        return pd.DataFrame([(*key, p.r0, p.c0, p.r1, p.c1, kernel(grid).ravel())], columns=[*KEY, "r0", "c0", "r1", "c1", "vals"])
+        return _chunks([(*key, pr0, pc0, pr1, pc1, kernel(grid).ravel())])
 
-    made = chunk.select(*KEY, "r0", "c0", "r1", "c1", "vals").mapInPandas(send, CHUNK + ", own boolean").groupBy(*KEY).applyInPandas(one, CHUNK)
+    sent = spread(chunk.select(*KEY, *BOUNDS, "vals"), *KEY).mapInPandas(send, CHUNK + ", own boolean")
+    made = walked(sent, KEY, ["own"], one, CHUNK)
     return made.withColumn("vals", F.transform("vals", lambda v: F.when(~F.isnan(v), v)))
 
 
@@ -149,18 +167,24 @@ def difference(before: DataFrame, after: DataFrame, transforms: DataFrame, bound
     given = after.select(F.col("raster_id"), F.col("chunk_r").alias("a_r"), F.col("chunk_c").alias("a_c"), "r0", "c0", "r1", "c1", "vals")
     patches = asks.join(given, ["raster_id", "a_r", "a_c"]).select(*[F.col(k).alias(f"of_{k}") for k in KEY], "r0", "c0", "r1", "c1", "vals")
 
-    def one(key: tuple, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        key, mine = [rows[c][0] for c in KEY], rows["own"].astype(bool)
+        others = _patches({c: rows[c][~mine] for c in (*BOUNDS, "vals")})
         out = []
-        for p in mine.itertuples(index=False):
+        for k in np.flatnonzero(mine):
+            p = SimpleNamespace(**{c: v[k] for c, v in rows.items()})
             r0, r1 = int(max(p.r0, p.w_r0)), int(min(p.r1, p.w_r1))
             c0, c1 = int(max(p.c0, p.w_c0)), int(min(p.c1, p.w_c1))
             grid = _grid(p.r0, p.c0, p.r1, p.c1, p.vals)[r0 - p.r0 : r1 - p.r0, c0 - p.c0 : c1 - p.c0]
             y, x = p.b_y0 - (np.arange(r0, r1) + 0.5) * p.b_dy, p.b_x0 + (np.arange(c0, c1) + 0.5) * p.b_dx
             there = _bilinear(others, (p.a_y0 - y) / p.a_dy - 0.5, (x - p.a_x0) / p.a_dx - 0.5)
             out.append((*key, r0, c0, r1, c1, (there - grid).ravel()))
-        return pd.DataFrame(out, columns=[*KEY, "r0", "c0", "r1", "c1", "vals"])
+        return _chunks(out)
 
-    made = own.groupBy(*KEY).cogroup(patches.groupBy(*[f"of_{k}" for k in KEY])).applyInPandas(one, CHUNK)
+    # the chunks and what they ask for, as rows of one table
+    place = [f"{s}_{c}" for s in "ba" for c in ("x0", "y0", "dx", "dy")] + ["w_r0", "w_c0", "w_r1", "w_c1"]
+    asked = patches.select(*[F.col(f"of_{k}").alias(k) for k in KEY], *BOUNDS, "vals", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(False).alias("own"))
+    made = walked(own.select(*KEY, *BOUNDS, "vals", *[F.col(c).cast("double") for c in place], F.lit(True).alias("own")).union(asked), KEY, ["own"], one, CHUNK)
     return made.withColumn("vals", F.transform("vals", lambda v: F.when(~F.isnan(v), v)))
 
 
@@ -169,9 +193,9 @@ def _place(b0: str, bd: str, a0: str, ad: str, edge: str, way: int):
     return ((F.col(b0) - F.col(a0)) * way + F.col(edge) * F.col(bd)) / F.col(ad)
 
 
-def _bilinear(patches: pd.DataFrame, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+def _bilinear(patches: list[tuple], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Values at fractional places; NaN where a cell of weight is missing."""
-    if patches.empty:
+    if not patches:
         return np.full((len(rows), len(cols)), np.nan)
     grid, r0, c0 = _assembled(patches)
     framed = np.pad(grid, 1, constant_values=np.nan)

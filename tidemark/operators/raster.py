@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import edge_distance, edge_meets_box, in_ring, let, on_ring, ring_box, ring_edges
 from tidemark.operators.spatial import BOX
+from tidemark.storage import stored
 
 #: Below this an elevation is missing.
 LOWEST = -100.0
@@ -284,7 +285,9 @@ def change_labels(before: DataFrame, after: DataFrame, matches: DataFrame, cells
     """
     under = lambda objects, key: change_stats(objects.withColumnRenamed(key, "object_id"), cells, rows, lod).select("object_id", "v_neg", "v_pos", "mean_dz")
     centre = lambda objects, key, s: objects.select(F.col(key).alias(f"{s}_id"), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}y"))
-    b, a = under(before, "before_id"), under(after, "after_id")
+    # each is read twice, and is much smaller than the cells
+    cells = stored(cells)
+    b, a = stored(under(before, "before_id")), stored(under(after, "after_id"))
     sources = b.select(F.col("object_id").alias("before_id"), "v_neg", F.col("v_pos").alias("b_pos"), F.col("mean_dz").alias("mean_before"))
     sinks = a.select(F.col("object_id").alias("after_id"), "v_pos", F.col("v_neg").alias("a_neg"), F.col("mean_dz").alias("mean_after"))
     placed = matches.join(centre(before, "before_id", "before"), "before_id").join(centre(after, "after_id", "after"), "after_id")
