@@ -1,10 +1,11 @@
 """Steps that must not grow faster than the input, against the same steps in another way."""
 
+import numpy as np
 import pytest
 
 from tests.conftest import SF
-from tidemark.operators import evaluation, grids, groups, layers, selection, spatial, splits
-from tidemark.plans import fixtures, rasters
+from tidemark.operators import evaluation, grids, groups, layers, overlap, selection, spatial, splits
+from tidemark.plans import fixtures, outlines, rasters
 
 
 def _plan(df) -> str:
@@ -117,3 +118,23 @@ def test_chunks_of_cells_in_any_order_with_gaps(spark):
     got = {(x.r, x.c): x.z for x in grids.cells_of(made).collect()}
     given = {(r, c): z for _, r, c, z in cells}
     assert len(got) == 40 * 30 and all(given.get(k) == z for k, z in got.items())
+
+
+@pytest.mark.parametrize("query", [outlines.outline_union, outlines.tile_clip_rings, outlines.ring_repair])
+def test_outlines_go_through_tasks_in_batches_and_to_all_cores(spark, query):
+    plan = _plan(query(spark, SF))
+    assert "GroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_overlaps_of_many_pairs_are_those_of_each(spark, monkeypatch):
+    rings = [[(float(i * k * 7 % 13), float((i + k * k * 5) % 11)) for k in range(3 + i % 4)] for i in range(60)]
+    rings += [[(x + 2.0, y), (x, y + 2.0), (x - 2.0, y), (x, y - 2.0)] for x in (3.0, 4.5, 9.0) for y in (3.0, 5.0)]
+    flat = np.empty(len(rings), object)
+    for k, r in enumerate(rings):
+        flat[k] = np.array(r).ravel()
+    i, j = (v.ravel() for v in np.indices((len(rings), len(rings))))
+    want = [overlap.covered_area([rings[a], rings[b]], 2) for a, b in zip(i, j)]
+    assert overlap.shared_areas(flat[i], flat[j]) == pytest.approx(np.array(want))
+    monkeypatch.setattr(overlap, "FEW", 0)
+    assert overlap.shared_areas(flat[i], flat[j]) == pytest.approx(np.array(want))
+    assert overlap.even_odd_areas(flat) == pytest.approx(np.array([overlap.even_odd_area(r) for r in rings]))
