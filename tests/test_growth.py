@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF
-from tidemark.operators import evaluation, grids, groups, layers, overlap, selection, spatial, splits
+from tidemark.operators import assign, evaluation, grids, groups, layers, overlap, selection, spatial, splits
 from tidemark.plans import fixtures, outlines, rasters
 
 
@@ -138,3 +138,11 @@ def test_overlaps_of_many_pairs_are_those_of_each(spark, monkeypatch):
     monkeypatch.setattr(overlap, "FEW", 0)
     assert overlap.shared_areas(flat[i], flat[j]) == pytest.approx(np.array(want))
     assert overlap.even_odd_areas(flat) == pytest.approx(np.array([overlap.even_odd_area(r) for r in rings]))
+
+
+def test_components_are_assigned_in_batches_on_all_cores(spark):
+    # pairs of their own, and squares in which the best pair must not be taken
+    pairs = [(4 * k, 4 * k, 0.9) for k in range(30)] + [(4 * k + i, 4 * k + j, s) for k in range(30, 60) for i, j, s in ((1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.8))]
+    chosen = assign.assign(spark.createDataFrame(pairs, "a long, b long, score double"))
+    assert "GroupsInPandas" not in _plan(chosen) and "REPARTITION_BY_NUM" in _plan(chosen)
+    assert sorted((r.a, r.b) for r in chosen.collect()) == sorted([(4 * k, 4 * k) for k in range(30)] + [p for k in range(30, 60) for p in ((4 * k + 1, 4 * k + 2), (4 * k + 2, 4 * k + 1))])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
+from tidemark.operators.groups import walked
 
 
 def cheapest(edges: list[list[tuple[int, float]]], columns: int, far: float) -> list[int]:
@@ -77,15 +78,26 @@ def cheapest(edges: list[list[tuple[int, float]]], columns: int, far: float) ->
 def solve(pairs: pd.DataFrame) -> pd.DataFrame:
     """The chosen rows of one component's candidates (a, b, score)."""
     pairs = pairs.sort_values(["a", "b"], kind="stable")
-    sides = [np.unique(pairs[s].to_numpy(), return_inverse=True) for s in "ab"]
+    return pairs[_chosen(*[pairs[c].to_numpy() for c in ("a", "b", "score")])]
+
+
+def _chosen(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which candidates, in order of a and b, are chosen."""
+    if len(a) == 1:
+        return np.ones(1, bool)
+    sides = [np.unique(s, return_inverse=True) for s in (a, b)]
     turned = len(sides[0][0]) > len(sides[1][0])
     (rows, ri), (cols, ci) = sides[::-1] if turned else sides
     edges: list[list[tuple[int, float]]] = [[] for _ in rows]
-    for i, j, s in zip(ri.tolist(), ci.tolist(), pairs["score"].tolist()):
+    for i, j, s in zip(ri.tolist(), ci.tolist(), score.tolist()):
         edges[i].append((j, 1.0 - s))
     # a row without a column costs more than all real costs together: pairs count before score
-    chosen = np.array(cheapest(edges, len(cols), float(len(rows) + 1) * 2))
-    return pairs[chosen[ri] == ci]
+    return np.array(cheapest(edges, len(cols), float(len(rows) + 1) * 2))[ri] == ci
+
+
+def _solved(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    chosen = _chosen(rows["a"], rows["b"], rows["score"])
+    return rows["a"][chosen], rows["b"][chosen], rows["score"][chosen]
 
 
 def assign(candidates: DataFrame) -> DataFrame:
@@ -96,8 +108,4 @@ def assign(candidates: DataFrame) -> DataFrame:
     numbered = candidates.select((2 * F.col("a")).alias("u"), (2 * F.col("b") + 1).alias("v"))
     roots = components(numbered).select(F.col("node").alias("u"), "root")
     grouped = candidates.withColumn("u", 2 * F.col("a")).join(roots, "u").select("root", "a", "b", "score")
-    single = grouped.withColumn("n", F.lit(1)).groupBy("root").agg(F.count("n").alias("n"))
-    marked = grouped.join(single, "root")
-    alone = marked.where("n = 1").select("a", "b", "score")
-    solved = marked.where("n > 1").select("root", "a", "b", "score").groupBy("root").applyInPandas(lambda g: solve(g)[["a", "b", "score"]], "a long, b long, score double")
-    return alone.union(solved)
+    return walked(grouped, ["root"], ["a", "b"], _solved, "a long, b long, score double")
